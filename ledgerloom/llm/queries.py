@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .bpe import decode_ids, encode_texts, ids_sha256
 from .common import table
 from .url_filter import Rule, filter_urls
 
@@ -16,11 +17,28 @@ URL_RULES = (
 )
 
 
+def bpe_vocabulary() -> tuple[bytes, str]:
+    """The vocabulary file's bytes and the pattern that cuts texts into pieces."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = bpe_vocabulary()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_texts(docs, ranks, pattern).drop("text")
+    decoded = decode_ids(encoded, ranks, with_text=False)
+    return decoded.select("doc_id", "n_tokens", ids_sha256("ids").alias("ids_sha256"), "decoded_sha256")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op4_url_filters": op4_url_filters,
 }
