@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,7 +57,7 @@ def bucket_of(doc_id: Column, parts: int = 5) -> Column:
 def chunks(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
     """Slices of a record batch with at most about limit bytes in one column."""
     start, size = 0, 0
-    lengths = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    lengths = [0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()]
     for i, n in enumerate(lengths):
         if size and size + n > limit:
             yield batch.slice(start, i - start)
