@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import decode_ids, encode_texts, ids_sha256
-from .common import table
+from .common import bucket_of, table
+from . import lang_id
 from .url_filter import Rule, filter_urls
 
 URL_RULES = (
@@ -38,7 +39,14 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", bucket_of(F.col("doc_id")) == 0)
+    model = lang_id.fit(docs.where("not held_out"))
+    return lang_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
+
+
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_url_filters": op4_url_filters,
+    "op10_language_id": op10_language_id,
 }
