@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import chunks
 
 #: Entries of a worker's tables; a full table is emptied and fills again.
-MAX_STATES, MAX_PIECES = 300_000, 400_000
+MAX_STATES, MAX_PIECES = 150_000, 250_000
 
 
 def read_ranks(text: bytes) -> dict[bytes, int]:
