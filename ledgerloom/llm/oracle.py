@@ -25,6 +25,39 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
+_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _kind(name: str, number: int, pattern: str, group: int, least: int, more: str = "true") -> str:
+    """Spans of a kind: places from the texts between the matches, values from a group."""
+    return f"""
+  SELECT rn, doc_id, source, {number} AS k, '{name}' AS kind, pos AS s, pos + length(m) AS e, v FROM (
+    SELECT rn, doc_id, source, m, v, sum(length(g)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY rn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    FROM (
+      SELECT rn, doc_id, source, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g
+      FROM (SELECT rn, doc_id, source, regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_extract_all(t, '{pattern}', {group}) AS vs, string_split_regex(t, '{pattern}') AS gs FROM d)
+    ) WINDOW w AS (PARTITION BY rn ORDER BY i)
+  ) WHERE length(v) >= {least} AND {more}"""
+
+
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+base AS ({_kind("assign", 0, _ASSIGN, 2, 12)} UNION ALL {_kind("access", 1, "AKIA[A-Z0-9]+", 0, 18)} UNION ALL {_kind("hex", 2, "[0-9a-f]+", 0, 16)}),
+tokens AS ({_kind("token", 3, "[A-Za-z0-9_-]{24,}", 0, 24, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')")}),
+apart AS (SELECT * FROM tokens t WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rn = t.rn AND b.s < t.e AND t.s < b.e)),
+owners AS (SELECT v, count(DISTINCT source) AS n FROM (SELECT v, source FROM base UNION ALL SELECT v, source FROM apart) GROUP BY v),
+spans AS (SELECT rn, s, k, e, kind FROM base UNION ALL SELECT rn, s, k, e, kind FROM apart JOIN owners USING (v) WHERE n < 4),
+held AS (
+  SELECT rn, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+  FROM spans GROUP BY rn
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN held USING (rn)
+"""
+
 ORACLES = {
     "op4_url_filters": OP4,
+    "op8_secret_scans": OP8,
 }

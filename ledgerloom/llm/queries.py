@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import decode_ids, encode_texts, ids_sha256
 from .common import bucket_of, table
 from . import lang_id
+from .secrets_scan import scan_secrets
 from .url_filter import Rule, filter_urls
 
 URL_RULES = (
@@ -39,6 +40,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return scan_secrets(docs, keep=["doc_id"]).drop("found")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", bucket_of(F.col("doc_id")) == 0)
     model = lang_id.fit(docs.where("not held_out"))
@@ -48,5 +54,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_url_filters": op4_url_filters,
+    "op8_secret_scans": op8_secret_scans,
     "op10_language_id": op10_language_id,
 }
