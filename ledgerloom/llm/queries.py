@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import decode_ids, encode_texts, ids_sha256
 from .common import bucket_of, table
 from . import lang_id
+from .html_extract import extract
 from .secrets_scan import scan_secrets
 from .url_filter import Rule, filter_urls
 
@@ -45,6 +46,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(docs, keep=["doc_id"]).drop("found")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", bucket_of(F.col("doc_id")) == 0)
     model = lang_id.fit(docs.where("not held_out"))
@@ -55,5 +61,6 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_url_filters": op4_url_filters,
     "op8_secret_scans": op8_secret_scans,
+    "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
 }
