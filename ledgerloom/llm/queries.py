@@ -8,6 +8,7 @@ from .bpe import decode_ids, encode_texts, ids_sha256
 from .common import bucket_of, table
 from . import lang_id
 from .html_extract import extract
+from .jaccard_join import jaccard_components
 from .secrets_scan import scan_secrets
 from .url_filter import Rule, filter_urls
 
@@ -41,6 +42,11 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_components(docs, words=4, percent=85).drop("row")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return scan_secrets(docs, keep=["doc_id"]).drop("found")
@@ -60,6 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_url_filters": op4_url_filters,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
