@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import decode_ids, encode_texts, ids_sha256
 from .common import bucket_of, table
 from . import lang_id
+from .decontaminate import mark_leaks
 from .html_extract import extract
 from .jaccard_join import jaccard_components
 from .secrets_scan import scan_secrets
@@ -29,6 +30,13 @@ def bpe_vocabulary() -> tuple[bytes, str]:
         return f.read(), public_tokenizers.PATTERN
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each passage that leaks an item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = mark_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return leaks.select("doc_id", "leak.item_id", "leak.start", "leak.end", "leak.edits")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_bpe": op3_bpe,
     "op4_url_filters": op4_url_filters,
     "op7_jaccard_join": op7_jaccard_join,
