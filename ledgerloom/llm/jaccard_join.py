@@ -42,7 +42,7 @@ BLOCK = 256
 FREQUENT = 1e-6
 #: Tables with at most so many rows of three numbers are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
-SET_SCHEMA = "row long, doc_id long, size int, s1 long, s2 long, prefix array<long>, shingles binary"
+SET_SCHEMA = "doc_id long, text_hash long, size int, s1 long, s2 long, prefix array<long>, shingles binary"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,13 +178,13 @@ def _sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> Data
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                        batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes]))), pa.array(arrays, pa.binary()),
                     ],
-                    names=["doc_id", "size", "s1", "s2", "prefix", "shingles"],
+                    names=["doc_id", "text_hash", "size", "s1", "s2", "prefix", "shingles"],
                 )
 
-    cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SET_SCHEMA.removeprefix("row long, "))
+    cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, SET_SCHEMA)
     return written(cut.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -369,8 +369,11 @@ def _links(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(_linked_in_blocks(pairs.join(arrays, "node"), ["hub", "block", "other"], percent))
 
 
-def jaccard_components(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, row): documents linked where 100 * intersection >= percent * union."""
+def jaccard_rows(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, row, component): documents linked where 100 * intersection >= percent * union.
+
+    row tells rows apart, component their components; both are long.
+    """
     sets = _sets(docs, doc_id, text, words, percent)
     some = sets.where("size > 0")
     reps = some.groupBy("s1", "s2", "size").agg(F.min(F.struct("row", "prefix")).alias("first"), F.min("doc_id").alias("smallest"))
@@ -378,7 +381,35 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, doc_id: str =
     label = components(_links(sets, reps, percent)).select(F.col("node").alias("row"), "component")
     classes = written(reps.select("s1", "s2", "size", "row", "smallest").join(label, "row", "left").withColumn("component", F.coalesce("component", "row")), "labelled")
     names = written(classes.groupBy("component").agg(F.min("smallest").alias("component_id")), "names")
-    final = written(classes.join(names, "component").select("s1", "s2", "size", "component_id"), "named")
-    out = some.select("doc_id", "size", "s1", "s2", "row").join(final, ["s1", "s2", "size"])
-    cols = ("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id", "row")
-    return out.select(*cols).unionByName(sets.where("size = 0").withColumn("component_id", F.col("doc_id")).select(*cols))
+    final = written(classes.join(names, "component").select("s1", "s2", "size", "component_id", "component"), "named")
+    out = some.select("doc_id", "text_hash", "size", "s1", "s2", "row").join(final, ["s1", "s2", "size"])
+    cols = ("doc_id", "text_hash", F.col("size").cast("long").alias("n_shingles"), "component_id", "row", "component")
+    return out.select(*cols).unionByName(sets.where("size = 0").withColumns({"component_id": F.col("doc_id"), "component": F.col("row")}).select(*cols))
+
+
+def jaccard_components(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id)."""
+    return jaccard_rows(docs, words, percent, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component: the one with the smallest id, of repeated rows one.
+
+    Documents do not travel for it: ids and text hashes of what goes are taken out of docs.
+    """
+    rows = written(jaccard_rows(docs, words, percent, doc_id, text).select("doc_id", "text_hash", "row", "component"), "rows")
+    first = written(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("kept")), "first")
+    judged = written(rows.join(first, "component").select("doc_id", "text_hash", (F.col("row") == F.col("kept.row")).alias("stays")), "judged")
+    gone = written(judged.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), "gone")
+    keyed = docs.withColumns({"_id": F.col(f"`{doc_id}`").cast("long"), "_hash": F.xxhash64(text)})
+
+    def same(right: DataFrame):
+        return keyed["_id"].eqNullSafe(right["doc_id"]) & (keyed["_hash"] == right["text_hash"])
+
+    side = _small(gone.select("doc_id", "text_hash"))
+    out = keyed.join(side, same(side), "left_anti")
+    repeated = gone.where("stays").select("doc_id", "text_hash")
+    if not repeated.isEmpty():  # of rows that repeat the kept one, one comes back
+        side = _small(repeated)
+        out = out.unionByName(keyed.join(side, same(side), "left_semi").dropDuplicates(["_id", "_hash"]))
+    return out.select(*(f"`{c}`" for c in docs.columns))

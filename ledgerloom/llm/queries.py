@@ -52,7 +52,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return jaccard_components(docs, words=4, percent=85).drop("row")
+    return jaccard_components(docs, words=4, percent=85)
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,10 +121,11 @@ def scan_secrets(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str =
     judged = one.select("row", "s", F.col("s.hash").alias("hash")).join(counts, "hash").groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("s.start", "s.kind_no", "s.end", "s.hash", "owners", "repos", (F.col("owners") < WIDE_OWNERS).alias("live")))).alias("found")
     )
-    out = rows.join(judged, "row", "left")
+    none = F.array().cast(judged.schema["found"].dataType)
+    # rows without candidates, nearly all of them, do not travel
+    out = rows.where("size(base) + size(more) = 0").withColumn("found", none).unionByName(rows.where("size(base) + size(more) > 0").join(judged, "row"))
     kind = F.array(*map(F.lit, KINDS))
-    found = F.coalesce(F.col("found"), F.array().cast(judged.schema["found"].dataType))
-    valid = F.filter(found, lambda s: (s["kind_no"] < 3) | s["live"])
+    valid = F.filter("found", lambda s: (s["kind_no"] < 3) | s["live"])
     named = F.transform(valid, lambda s: F.struct(F.element_at(kind, s["kind_no"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hash"].alias("hash"), s["owners"].alias("owners"), s["repos"].alias("repos"), s["live"].alias("live")))
     return out.select(
         *(F.col(f"k{i}").alias(c) for i, c in enumerate(kept)),
