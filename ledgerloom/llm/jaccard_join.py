@@ -3,11 +3,13 @@
 1. Shingles. A text is cut into words, each run of n words is a shingle (64-bit hash), and a
    text's distinct shingles are its set. Texts with equal sets form a class and go on as one.
 2. Blocking without loss. All shingles have one order: first those with the rarest word, then
-   by hash. Sets that reach the threshold share one of the first |x| - ceil(t |x|) + 1 shingles
-   of that order (the prefix). Ordinary texts fill it with shingles of rare words, which
-   nobody shares, so common words and passages make no large blocks. The order rests on a
-   bounded table of frequent words; any table gives the same result, a better one is faster.
-   For each shared prefix shingle the smallest set that has it is the hub of a group.
+   by hash. Sets that reach the threshold share one of the first p = |x| - ceil(t |x|) + 1
+   shingles of that order (the prefix), and l of the first p + l - 1. Ordinary texts fill them
+   with shingles of rare words, which nobody shares, so common words and passages make no
+   large blocks, and a set with fewer than l shared ones there has no partner. The order rests
+   on a bounded table of frequent words; any table gives the same result, a better one is
+   faster. For each shared prefix shingle, and each range of sizes that can be linked, the
+   smallest set that has it is the hub of a group.
 3. Signature trees. A group is dealt out in blocks of at most BLOCK sets, its hub going to
    each of them. In a block the sets are leaves of a binary tree whose nodes hold the OR of
    their token bitmaps, their size range and their largest number of bitmap collisions. A dual
@@ -31,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import chunks, removed, written
 from .components import components
@@ -42,7 +45,7 @@ BLOCK = 256
 FREQUENT = 1e-6
 #: Tables with at most so many rows of three numbers are broadcast; larger ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
-SET_SCHEMA = "doc_id long, text_hash long, size int, s1 long, s2 long, prefix array<long>, shingles binary"
+SET_SCHEMA = "doc_id long, text_hash long, size int, s1 long, s2 long, shingles array<long>"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,8 +113,14 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def least_overlap(size: int, percent: int) -> int:
-    return -(-percent * size // 100)
+def prefix_length(size: Column, percent: int) -> Column:
+    """|x| - ceil(t |x|) + 1, of a column of sizes."""
+    return size - F.ceil(size * percent / F.lit(100.0) - F.lit(1e-9)).cast("int") + 1
+
+
+def shared_need(size: Column, percent: int) -> Column:
+    """l of a set of this size: half its prefix and one more."""
+    return (prefix_length(size, percent) / 2).cast("int") + 1
 
 
 def _frequent_words(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -144,8 +153,8 @@ def _frequent_words(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
     return words[order], head.column("n").to_numpy()[order]
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    """A row for each document with its set, written once."""
+def _sets(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
+    """A row for each document with its set in the order of the blocking, written once."""
     words, counts = _frequent_words(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast((words, counts))
 
@@ -153,7 +162,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> Data
         known, count = shared.value
         for whole in batches:
             for batch in chunks(whole, "text", 4 << 20):
-                sizes, one, two, prefixes, arrays = [], [], [], [], []
+                sizes, one, two, arrays = [], [], [], []
                 for value in batch.column("text").to_pylist():
                     own = word_hashes(value)
                     rank = np.zeros(len(own), np.int64)
@@ -169,19 +178,18 @@ def _sets(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> Data
                         rarest = rank[:1]
                     whole_set, first = np.unique(shingles, return_index=True)
                     size = len(whole_set)
-                    order = np.lexsort((whole_set, rarest[first]))[: size - least_overlap(size, percent) + 1 if size else 0]
+                    order = np.lexsort((whole_set, rarest[first]))
                     sizes.append(size)
                     one.append(int(np.add.reduce(_mix(whole_set)).view(np.int64)) if size else 0)
                     two.append(int(np.add.reduce(_mix(whole_set ^ _ODD)).view(np.int64)) if size else 0)
-                    prefixes.append(whole_set[order].view(np.int64))
-                    arrays.append(whole_set.tobytes())
-                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                    arrays.append(whole_set[order].view(np.int64))
+                ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes]))), pa.array(arrays, pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays]))),
                     ],
-                    names=["doc_id", "text_hash", "size", "s1", "s2", "prefix", "shingles"],
+                    names=["doc_id", "text_hash", "size", "s1", "s2", "shingles"],
                 )
 
     cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, SET_SCHEMA)
@@ -287,17 +295,20 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, labels: l
             stack += [(x, y) for x in halves_p for y in halves_q]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
-    """Rows of each key, from rows that are sorted by it."""
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
+    """(side, node, label, sorted set) of each row of each key, from rows that are sorted by it."""
     now, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            key = tuple(row[k] for k in keys)
+        arrays = batch.column("shingles")
+        flat = arrays.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(arrays).to_numpy(zero_copy_only=False))])
+        plain = zip(*(batch.column(k).to_pylist() for k in ("side", "node", "label")), strict=True)
+        for i, (key, row) in enumerate(zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), plain, strict=True)):
             if key != now:
                 if rows:
                     yield rows
                 now, rows = key, []
-            rows.append(row)
+            rows.append((*row, np.sort(flat[ends[i] : ends[i + 1]])))
     if rows:
         yield rows
 
@@ -308,17 +319,14 @@ def _linked_in_blocks(rows: DataFrame, keys: list[str], percent: int) -> DataFra
     def run(batches):
         out_a, out_b = [], []
         for block in _runs(batches, keys):
-            sides: list[list[dict]] = [[], []]
-            for row in sorted({(r["side"], r["node"]): r for r in block}.values(), key=lambda r: r["node"]):
-                sides[row["side"]].append(row)
-            if not sides[0] or len(sides[0]) + len(sides[1]) < 2:
+            every = sorted({r[:2]: r for r in block}.values(), key=lambda r: r[:2])
+            cut = sum(r[0] == 0 for r in every)
+            if not cut or len(every) < 2:
                 continue
-            every = sides[0] + sides[1]
-            sets = [np.frombuffer(r["shingles"], dtype=np.uint64) for r in every]
-            cut = len(sides[0])
-            for i, j in tree_links(sets[:cut], sets[cut:] or None, [r["label"] for r in every], percent):
-                out_a.append(every[i]["node"])
-                out_b.append(every[j]["node"])
+            sets = [r[3] for r in every]
+            for i, j in tree_links(sets[:cut], sets[cut:] or None, [r[2] for r in every], percent):
+                out_a.append(every[i][1])
+                out_b.append(every[j][1])
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -331,12 +339,28 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _links(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between class representatives, enough of them to join each component."""
-    prefix = reps.select("row", "size", F.explode("prefix").alias("shingle"))
-    hubs = prefix.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("size", "row")).alias("hub")).where("n > 1")
-    hubs = written(hubs.select("shingle", F.col("hub.row").alias("hub")), "hubs")
-    members = written(prefix.join(_small(hubs), "shingle").select("hub", F.col("row").alias("node")).distinct(), "members")
-    removed(hubs)
+    """Links (a, b) between the representatives of classes, enough of them to join each component."""
+    need = shared_need(F.col("size"), percent)
+    first = sets.join(_small(reps.select("row")), "row").select(
+        "row", "size", F.posexplode(F.slice("shingles", F.lit(1), prefix_length(F.col("size"), percent) + need - 1)).alias("at", "shingle")
+    )
+    shared = first.groupBy("shingle").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi")
+    shared = written(shared.select("shingle"), "shared")
+    met = written(first.join(_small(shared), "shingle"), "met")
+    removed(shared)
+    # a partner is at least t times as large, so its need is the least that can be asked for
+    smallest = F.ceil(F.col("size") * percent / 100.0 - 1e-9).cast("int")
+    able = met.groupBy("row", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared_need(smallest, percent))
+    able = written(able.select("row"), "able")
+    band = F.floor(F.log(F.col("size").cast("double")) / -math.log(percent / 100) - 1e-9).cast("int") if percent < 100 else F.col("size")
+    part = met.where(F.col("at") < prefix_length(F.col("size"), percent)).join(_small(able), "row").select("shingle", "row", "size", F.explode(F.array(band, band + 1)).alias("band"))
+    part = written(part, "part")
+    removed(met)
+    hubs = part.groupBy("shingle", "band").agg(F.min(F.struct("size", "row")).alias("hub"), F.max("row").alias("hi"), F.min("row").alias("lo")).where("lo < hi")
+    hubs = written(hubs.select("shingle", "band", F.col("hub.row").alias("hub")), "hubs")
+    members = written(part.join(_small(hubs), ["shingle", "band"]).select("hub", F.col("row").alias("node")).distinct(), "members")
+    for done in (able, part, hubs):
+        removed(done)
     counts = written(members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "counts")
     dealt = members.join(_small(counts), "hub").select(
         "hub", "node", "blocks",
@@ -374,10 +398,9 @@ def jaccard_rows(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_i
 
     row tells rows apart, component their components; both are long.
     """
-    sets = _sets(docs, doc_id, text, words, percent)
+    sets = _sets(docs, doc_id, text, words)
     some = sets.where("size > 0")
-    reps = some.groupBy("s1", "s2", "size").agg(F.min(F.struct("row", "prefix")).alias("first"), F.min("doc_id").alias("smallest"))
-    reps = written(reps.select("s1", "s2", "size", "first.row", "first.prefix", "smallest"), "classes")
+    reps = written(some.groupBy("s1", "s2", "size").agg(F.min("row").alias("row"), F.min("doc_id").alias("smallest")), "classes")
     label = components(_links(sets, reps, percent)).select(F.col("node").alias("row"), "component")
     classes = written(reps.select("s1", "s2", "size", "row", "smallest").join(label, "row", "left").withColumn("component", F.coalesce("component", "row")), "labelled")
     names = written(classes.groupBy("component").agg(F.min("smallest").alias("component_id")), "names")
