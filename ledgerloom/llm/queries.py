@@ -8,6 +8,7 @@ from .bpe import decode_ids, encode_texts, ids_sha256
 from .common import bucket_of, table
 from . import lang_id
 from .decontaminate import mark_leaks
+from .hnsw import near_vectors
 from .html_extract import extract
 from .jaccard_join import jaccard_components
 from .secrets_scan import scan_secrets
@@ -50,6 +51,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs, words=4, percent=85)
@@ -75,6 +80,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_bpe": op3_bpe,
     "op4_url_filters": op4_url_filters,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
