@@ -80,32 +80,39 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return h * np.uint64(0x9E3779B97F4A7C15)
 
 
-def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int) -> tuple[int, int, int]:
+def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, most: int) -> tuple[int, int, int] | None:
     """Fewest edits between the item and a passage of text, on diagonals lo to hi - 1: (edits, start, end).
 
-    Of the passages with the fewest edits the one that ends first counts, of these the one that starts first.
+    None if there is no passage with at most so many edits; rows after the band has more are
+    left out. Of the passages with the fewest edits the one that ends first counts, of these
+    the one that starts first.
     """
     width, m, n = hi - lo, len(item), len(text)
     one, far = 1 << 32, 1 << 60
-    steps = np.arange(width, dtype=np.int64) * one
-    starts = np.arange(lo, hi, dtype=np.int64)
-    row = np.where((starts >= 0) & (starts <= n), np.maximum(starts, 0), far)  # edits * one + start
-    padded = np.zeros(m + width + 1, dtype=np.uint32)
-    a, b = max(lo, 0), min(hi + m, n)
+    row = np.arange(lo, hi, dtype=np.int64)  # edits * one + start
+    row = np.where((row >= 0) & (row <= n), row, far)
+    padded = np.zeros(m + width - 1, dtype=np.uint32)  # no item holds a zero
+    a, b = max(lo, 0), min(hi - 1 + m, n)
     if b > a:
         padded[a - lo : b - lo] = text[a:b]
-    inside = np.arange(lo, lo + m + width + 1)
-    inside = (inside >= 0) & (inside < n)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, width)
+    differ = (windows != item[:, None]) * np.int64(one)
+    differ[windows == 0] = far
+    steps = np.arange(width, dtype=np.int64) * one
+    least = np.minimum
     for i in range(m):
-        here = padded[i : i + width]
-        stay = row + np.where((here == item[i]) & inside[i : i + width], 0, one)
-        stay = np.where(inside[i : i + width], stay, far)
-        down = np.append(row[1:] + one, far)
-        new = np.minimum(stay, down)
-        row = np.minimum.accumulate(new - steps) + steps
-        row = np.where((starts + i + 1 > n) | (starts + i + 1 < 0), far, row)
+        down = row[1:] + one
+        row = row + differ[i]
+        least(row[:-1], down, out=row[:-1])
+        row -= steps
+        least.accumulate(row, out=row)
+        row += steps
+        if i & 15 == 15 and row.min() >> 32 > most:
+            return None
     edits = row >> 32
     best = int(np.argmin(edits))
+    if edits[best] > most:
+        return None
     return int(edits[best]), int(row[best] & (one - 1)), lo + best + m
 
 
@@ -198,8 +205,9 @@ class Index:
             text, at = parts[d]
             if lo - begin > len(text) or hi - begin + len(codes) < 0:
                 continue
-            edits, start, end = align(codes, text, lo - begin, hi - begin)
-            if edits <= self.e[item] and end > start:
+            match = align(codes, text, lo - begin, hi - begin, int(self.e[item]))
+            if match:
+                edits, start, end = match
                 found[d].append((item_id, int(at[start]), int(at[end - 1]) + 1, edits))
 
 
