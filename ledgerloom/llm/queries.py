@@ -11,6 +11,7 @@ from .decontaminate import mark_leaks
 from .hnsw import near_vectors
 from .html_extract import extract
 from .jaccard_join import jaccard_components
+from .lm_score import score_texts
 from .secrets_scan import scan_secrets
 from .url_filter import Rule, filter_urls
 
@@ -51,6 +52,19 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def subword_model() -> bytes:
+    """The vocabulary file whose pieces the language model's lattice is made of."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (bucket_of(F.col("doc_id")) == 1).alias("held_out"))
+    return score_texts(docs, "held_out", subword_model())
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -80,6 +94,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_bpe": op3_bpe,
     "op4_url_filters": op4_url_filters,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_secret_scans": op8_secret_scans,
