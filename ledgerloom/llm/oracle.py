@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .licenses import CUES, TEMPLATES, THRESHOLD, TOKEN
+
 OP4 = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
@@ -57,7 +59,36 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM d LEFT JOIN held USING (rn)
 """
 
+_VALUES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+
+OP2 = rf"""
+WITH files AS (
+  SELECT row_number() OVER () AS rn, doc_id, concat_ws('/', source, doc_id // 1000, doc_id // 100, doc_id) AS path, coalesce(text, '') AS t FROM documents
+), templates AS (
+  SELECT i, licence, unnest(regexp_extract_all(lower(body), '{TOKEN}')) AS tok FROM (VALUES {_VALUES}) v(i, licence, body)
+), lines AS (
+  SELECT rn, l, line FROM (SELECT rn, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS l FROM files) WHERE regexp_matches(line, '{CUES}')
+), tokens AS (
+  SELECT rn, l, tok, count(*) AS tf FROM (SELECT rn, l, unnest(regexp_extract_all(lower(line), '{TOKEN}')) AS tok FROM lines) GROUP BY ALL
+), total AS (SELECT count(*) AS n FROM files),
+vocabulary AS (SELECT tok, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT tok FROM templates) LEFT JOIN (SELECT tok, count(DISTINCT rn) AS df FROM tokens GROUP BY tok) USING (tok), total),
+weighed AS (SELECT i, licence, tok, count(*) * any_value(idf) AS w FROM templates JOIN vocabulary USING (tok) GROUP BY ALL),
+units AS (SELECT i, licence, tok, w / sqrt(sum(w * w) OVER (PARTITION BY i)) AS u FROM weighed),
+terms AS (SELECT rn, l, tok, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM tokens LEFT JOIN vocabulary USING (tok), total),
+lengths AS (SELECT rn, l, sqrt(sum(w * w)) AS len FROM terms GROUP BY ALL),
+scores AS (SELECT rn, l, licence, round(sum(w * u) / any_value(len), 6) AS score FROM terms JOIN units USING (tok) JOIN lengths USING (rn, l) GROUP BY rn, l, i, licence),
+best AS (SELECT rn, l, max(struct_pack(score := score, licence := licence)) AS b FROM scores GROUP BY ALL HAVING max(score) >= {THRESHOLD}),
+own AS (SELECT rn, max(b) AS b, sum(length(line)) AS held FROM best JOIN lines USING (rn, l) GROUP BY rn),
+judged AS (SELECT files.rn, doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, b, 2 * held >= length(t) AS covers FROM files LEFT JOIN own USING (rn)),
+licensed AS (SELECT dir, max(b) AS found FROM judged WHERE covers GROUP BY dir),
+dirs AS (SELECT DISTINCT dir FROM judged WHERE b IS NULL),
+nearest AS (SELECT d.dir, arg_max(found, length(l.dir)) AS found FROM dirs d JOIN licensed l ON d.dir = l.dir OR starts_with(d.dir, l.dir || '/') GROUP BY d.dir)
+SELECT doc_id, path, coalesce(b, found).licence AS licence, CASE WHEN b IS NOT NULL THEN 'own' WHEN found IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, coalesce(b, found).score AS score
+FROM judged LEFT JOIN nearest USING (dir)
+"""
+
 ORACLES = {
+    "op2_license_scans": OP2,
     "op4_url_filters": OP4,
     "op8_secret_scans": OP8,
 }

@@ -11,6 +11,7 @@ from .decontaminate import mark_leaks
 from .hnsw import near_vectors
 from .html_extract import extract
 from .jaccard_join import jaccard_components
+from .licenses import scan_licences
 from .lm_score import score_texts
 from .secrets_scan import scan_secrets
 from .url_filter import Rule, filter_urls
@@ -39,6 +40,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select("doc_id", "leak.item_id", "leak.start", "leak.end", "leak.edits")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files: a source is a repository, its ids are dealt to directories of a thousand and a hundred."""
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), "doc_id")
+    files = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return scan_licences(files, keep=["doc_id", "path"])
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,6 +100,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_license_scans": op2_license_scans,
     "op3_bpe": op3_bpe,
     "op4_url_filters": op4_url_filters,
     "op5_lm_scoring": op5_lm_scoring,
