@@ -340,25 +340,26 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _links(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between the representatives of classes, enough of them to join each component."""
-    need = shared_need(F.col("size"), percent)
-    first = sets.join(_small(reps.select("row")), "row").select(
-        "row", "size", F.posexplode(F.slice("shingles", F.lit(1), prefix_length(F.col("size"), percent) + need - 1)).alias("at", "shingle")
-    )
-    shared = first.groupBy("shingle").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi")
+    need, length = shared_need(F.col("size"), percent), prefix_length(F.col("size"), percent)
+    # two numbers a row: the shingle, and the set's row with a bit that tells the prefix from what follows it
+    first = sets.join(_small(reps.select("row")), "row").select(length.alias("p"), "row", F.posexplode(F.slice("shingles", F.lit(1), length + need - 1)).alias("at", "shingle"))
+    first = first.select("shingle", (F.col("row") * 2 + (F.col("at") < F.col("p")).cast("long")).alias("mark"))
+    row = F.shiftright("mark", 1)
+    shared = first.groupBy("shingle").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).where("lo < hi")
     shared = written(shared.select("shingle"), "shared")
-    met = written(first.join(_small(shared), "shingle"), "met")
+    met = written(first.join(shared, "shingle").select("shingle", row.alias("row"), F.expr("mark % 2 = 1").alias("early")), "met")
     removed(shared)
     # a partner is at least t times as large, so its need is the least that can be asked for
     smallest = F.ceil(F.col("size") * percent / 100.0 - 1e-9).cast("int")
-    able = met.groupBy("row", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared_need(smallest, percent))
-    able = written(able.select("row"), "able")
+    able = met.groupBy("row").agg(F.count(F.lit(1)).alias("n")).join(reps.select("row", "size"), "row").where(F.col("n") >= shared_need(smallest, percent))
+    able = written(able.select("row", "size"), "able")
     band = F.floor(F.log(F.col("size").cast("double")) / -math.log(percent / 100) - 1e-9).cast("int") if percent < 100 else F.col("size")
-    part = met.where(F.col("at") < prefix_length(F.col("size"), percent)).join(_small(able), "row").select("shingle", "row", "size", F.explode(F.array(band, band + 1)).alias("band"))
+    part = met.where("early").join(_small(able), "row").select("shingle", "row", "size", F.explode(F.array(band, band + 1)).alias("band"))
     part = written(part, "part")
     removed(met)
     hubs = part.groupBy("shingle", "band").agg(F.min(F.struct("size", "row")).alias("hub"), F.max("row").alias("hi"), F.min("row").alias("lo")).where("lo < hi")
     hubs = written(hubs.select("shingle", "band", F.col("hub.row").alias("hub")), "hubs")
-    members = written(part.join(_small(hubs), ["shingle", "band"]).select("hub", F.col("row").alias("node")).distinct(), "members")
+    members = written(part.join(hubs, ["shingle", "band"]).select("hub", F.col("row").alias("node")).distinct(), "members")
     for done in (able, part, hubs):
         removed(done)
     counts = written(members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "counts")
