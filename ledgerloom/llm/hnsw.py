@@ -1,9 +1,10 @@
 """Embedding near-dedup: navigable small-world graphs per shard, every shard queried.
 
 Equal vectors form a class and go on as one. The classes are dealt out by hash to shards of
-about SHARD vectors; a task builds the hierarchical graph of a shard. Each vector is then
-searched in the graph of every shard: one task takes one shard and one block of queries, so
-no task holds more than two blocks. Searches run for many queries in step: the beams of all
+at most about SHARD vectors; a task builds the hierarchical graph of a shard. Each vector is
+then searched in the graph of every shard: one task takes one shard and one block of queries.
+A search costs little more in a large shard than in a small one, so shards are as large as a
+task's memory comfortably holds: the searches are vectors times shards. Searches run for many queries in step: the beams of all
 of them widen together, as arrays.
 
 A graph's beam width is set by an audit when it is built: sampled vectors of the shard, moved
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import removed, written
 from .components import components
 
-SHARD = 4096
+SHARD, QUERIES = 1 << 16, 1 << 13
 #: Links of a node above the ground and twice as many on it; first beam width; share that audits ask for.
 M, BEAM, AUDIT_RECALL, AUDITED = 16, 48, 0.995, 256
 #: Queries that are searched in step.
@@ -213,47 +214,55 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _shards(classes: DataFrame, shards: int, threshold: float) -> DataFrame:
-    """(dim, shard, ids, sizes, vectors, graph) of each shard, as bytes."""
+def _packed(classes: DataFrame, parts: int, threshold: float | None) -> DataFrame:
+    """(dim, part, ids, sizes, vectors, single, graph): classes dealt out by hash, each part as bytes; with its graph if there is a threshold."""
 
-    def made(dim: int, shard: int, rows: list) -> dict:
+    def made(dim: int, part: int, rows: list) -> dict:
         ids, sizes, vectors = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(ids)
         vectors = vectors[order].astype(np.float64)
-        graph = Graph(_unit(vectors), threshold)
-        return {"dim": dim, "shard": shard, "ids": ids[order].tobytes(), "sizes": sizes[order].tobytes(), "vectors": vectors.tobytes(), "graph": pickle.dumps((graph.levels, graph.entry, graph.beam))}
-
-    schema = "dim int, shard int, ids binary, sizes binary, vectors binary, graph binary"
-    names = [x.split()[0] for x in schema.split(", ")]
+        single = bool((vectors == vectors.astype(np.float32)).all())  # stored in half the space, nothing lost
+        packed = None
+        if threshold is not None:
+            graph = Graph(_unit(vectors), threshold)
+            packed = pickle.dumps((graph.levels, graph.entry, graph.beam))
+        return {"dim": dim, "part": part, "ids": ids[order].tobytes(), "sizes": sizes[order].tobytes(), "vectors": vectors.astype(np.float32 if single else np.float64).tobytes(), "single": single, "graph": packed}
 
     def run(batches):
         now, rows = None, []
         for batch in batches:
-            keys = np.stack([batch.column("dim").to_numpy(), batch.column("shard").to_numpy()], axis=1)
+            keys = np.stack([batch.column("dim").to_numpy(), batch.column("part").to_numpy()], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
                     continue
                 key = tuple(int(x) for x in keys[lo])
                 if key != now and rows:
-                    yield _batch(made(*now, rows), names)
+                    yield _batch(made(*now, rows))
                     rows = []
                 now = key
-                part = batch.slice(lo, hi - lo)
-                rows.append((part.column("node").to_numpy(), part.column("n").to_numpy(), _matrix(part.column("v"))))
+                some = batch.slice(lo, hi - lo)
+                rows.append((some.column("node").to_numpy(), some.column("n").to_numpy(), _matrix(some.column("v"))))
         if rows:
-            yield _batch(made(*now, rows), names)
+            yield _batch(made(*now, rows))
+
+    keyed = classes.select("node", "n", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"))
+    return keyed.repartition(max(2, parts), "dim", "part").sortWithinPartitions("dim", "part").mapInArrow(run, PACKED)
+
+
+PACKED = "dim int, part int, ids binary, sizes binary, vectors binary, single boolean, graph binary"
+
 
-    keyed = classes.select("node", "n", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
-    return keyed.repartition(max(2, shards), "dim", "shard").sortWithinPartitions("dim", "shard").mapInArrow(run, schema)
+def _vectors(data: bytes, single: bool, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if single else np.float64).astype(np.float64).reshape(n, -1)
 
 
-def _batch(row: dict, names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([row[n]], k) for n, k in zip(names, kinds, strict=True)], names=names)
+def _batch(row: dict) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
 
-def _searched(shards: DataFrame, count: int, threshold: float) -> DataFrame:
+def _searched(shards: DataFrame, blocks: DataFrame, n_shards: int, n_blocks: int, threshold: float) -> DataFrame:
     """From each shard with each block: rows (a, null, links of a) and edges (a, b, null)."""
 
     def run(batches):
@@ -261,9 +270,9 @@ def _searched(shards: DataFrame, count: int, threshold: float) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
                 ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
-                vectors = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
+                vectors = _vectors(row["vectors"], row["single"], len(ids))
                 own = np.frombuffer(row["q_ids"], np.int64)
-                queries = np.frombuffer(row["q_vectors"], np.float64).reshape(len(own), -1)
+                queries = _vectors(row["q_vectors"], row["q_single"], len(own))
                 graph = object.__new__(Graph)
                 graph.vectors = _unit(vectors).astype(np.float32)
                 graph.levels, graph.entry, graph.beam = pickle.loads(row["graph"])
@@ -281,9 +290,9 @@ def _searched(shards: DataFrame, count: int, threshold: float) -> DataFrame:
                 b = [*[None] * len(some), *(_root(edges, x) for x in edges)]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*links[some].tolist(), *[None] * len(edges)], pa.int64())], names=["a", "b", "n"])
 
-    pairs = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    blocks = shards.select("dim", F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-    dealt = pairs.join(blocks, ["dim", "block"]).repartition(max(2, min(2000, count * count)), "dim", "shard", "block")
+    asked = blocks.select("dim", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("single").alias("q_single"))
+    pairs = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(asked, ["dim", "block"])
+    dealt = pairs.repartition(max(2, min(2000, n_shards * n_blocks)), "dim", "part", "block")
     return dealt.mapInArrow(run, "a long, b long, n long")
 
 
@@ -307,9 +316,12 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.95, vec_id: str = "
     rows = written(embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(fine, v).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     some = rows.where("v is not null")
     classes = written(some.groupBy("v").agg(F.min("row").alias("node"), F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("n")), "classes")
-    count = max(1, -(-classes.count() // SHARD))
-    shards = written(_shards(classes, count, threshold), "shards")
-    found = written(_searched(shards, count, threshold), "found")
+    n = classes.count()
+    n_shards, n_blocks = max(1, -(-n // SHARD)), max(1, -(-n // QUERIES))
+    shards = written(_packed(classes, n_shards, threshold), "shards")
+    blocks = written(_packed(classes, n_blocks, None), "blocks")
+    found = written(_searched(shards, blocks, n_shards, n_blocks, threshold), "found")
+    removed(blocks)
     removed(shards)
     label = components(found.where("b is not null")).select("node", "component")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))

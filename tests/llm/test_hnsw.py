@@ -38,9 +38,10 @@ def planted(rng, n, d=16):
     return [[float(np.float32(x)) for x in r] for r in rows]
 
 
-@pytest.mark.parametrize("shard", [64, 4096])
-def test_same_as_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "queries"), [(64, 32), (4096, 8192)])
+def test_same_as_brute_force(spark, monkeypatch, shard, queries):
     monkeypatch.setattr(hnsw, "SHARD", shard)
+    monkeypatch.setattr(hnsw, "QUERIES", queries)
     rng = np.random.default_rng(5)
     rows = list(enumerate(planted(rng, 300)))
     rows += [(1000 + i, rows[7][1]) for i in range(20)]
