@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .pinned import pinned
+
 
 def positions(last: int) -> list[int]:
     """0-based positions up to last: running sums of 0, 1, 1, 2, 3, 5, ..."""
@@ -20,14 +22,15 @@ def positions(last: int) -> list[int]:
 def numbered(df: DataFrame, order: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:
     """Adds pos, from 0, and size of the partition.
 
-    Without a partition the order is global: rows are dealt to ranges, counted, and numbered
-    within their range from the sum of the ranges before it, so no task sees all rows.
+    Without a partition the order is global: rows are dealt to ranges, written with their
+    range, counted, and numbered within it from the sum of the ranges before, so no task sees
+    all rows.
     """
     if partition:
         w = W.partitionBy(*partition)
         return df.withColumns({"pos": (F.row_number().over(w.orderBy(*order)) - 1).cast("long"), "size": F.count(F.lit(1)).over(w)})
     spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id())
+    ranged = pinned(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").count().collect()  # a row for each partition
     before, rows = 0, []
     for r in sorted(sizes, key=lambda r: r["_p"]):

@@ -607,12 +607,11 @@ def r2_diff_balanced(spark, sf_dir):
     drafts = d.tx_output.join(done.select("tx_id"), "tx_id", "left_semi")
     actual = drafts.withColumn("lovelace", F.col("lovelace") + F.when(F.col("qty") == 50, 1).otherwise(0)).select(columns)
     change = done.where("owner % 10 <> 4").select("tx_id", "ix", F.when(F.col("owner") % 10 == 3, 8).otherwise(7).cast("long").alias("address"), F.col("change").alias("lovelace"), F.lit(False).alias("has_datum"))
-    with_output = drafts.select("tx_id").distinct().unionByName(change.select("tx_id")).distinct()
-    return R.diff_balanced(drafts.select(columns), actual.unionByName(change), with_output.select("tx_id", F.lit(7).cast("long").alias("address")), done.select("tx_id", "fee"))
+    return R.diff_balanced(drafts.select(columns), actual.unionByName(change), done.select("tx_id", F.lit(7).cast("long").alias("address")), done.select("tx_id", "fee"))
 
 
-@query(""", lines AS (SELECT CASE WHEN qty = 7 THEN 'broken line' ELSE sha256(CAST(tx_id AS VARCHAR)) || '#' || ix || ' ' || lovelace END AS value, sha256(CAST(tx_id AS VARCHAR)) AS h, ix, lovelace, qty FROM tx_output)
-SELECT CASE WHEN qty <> 7 THEN h END AS tx_id, CASE WHEN qty <> 7 THEN ix END AS ix, CASE WHEN qty <> 7 THEN lovelace END AS lovelace, CASE WHEN qty = 7 THEN value END AS error FROM lines""")
+@query(""", texts AS (SELECT CASE WHEN qty = 7 THEN 'broken line' ELSE sha256(CAST(tx_id AS VARCHAR)) || '#' || ix || ' ' || lovelace END AS value, sha256(CAST(tx_id AS VARCHAR)) AS h, ix, lovelace, qty FROM tx_output)
+SELECT CASE WHEN qty <> 7 THEN h END AS tx_id, CASE WHEN qty <> 7 THEN ix END AS ix, CASE WHEN qty <> 7 THEN lovelace END AS lovelace, CASE WHEN qty = 7 THEN value END AS error FROM texts""")
 def s1_parse_utxo_lines(spark, sf_dir):
     value = F.when(F.col("qty") == 7, "broken line").otherwise(F.concat(F.sha2(F.col("tx_id").cast("string"), 256), F.lit("#"), F.col("ix"), F.lit(" "), F.col("lovelace")))
     return parse_utxo_lines(Data(spark, sf_dir).tx_output.select(value.alias("value")))

@@ -48,10 +48,12 @@ def diff_balanced(expected: DataFrame, actual: DataFrame, change: DataFrame, fee
     n = expected.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n"))
     sized = actual.join(n, "tx_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     last = sized.groupBy("tx_id").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.max(F.struct("ix", "address", "has_datum")).alias("last"))
-    facts = last.join(change.select("tx_id", F.col("address").alias("wanted")), "tx_id", "left").join(fees.select("tx_id", "fee"), "tx_id", "left")
+    wanted = change.select("tx_id", F.col("address").alias("wanted"))
+    facts = last.join(wanted, "tx_id", "full_outer").join(fees.select("tx_id", "fee"), "tx_id", "left")
+    facts = facts.withColumns({"m": F.coalesce("m", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
     names = {
         "not one extra output": F.col("m") == F.col("n") + 1, "change address": F.col("last.address").eqNullSafe(F.col("wanted")),
-        "change has datum": ~F.col("last.has_datum"), "no fee": F.coalesce(F.col("fee") > 0, F.lit(False)),
+        "change has datum": ~F.coalesce("last.has_datum", F.lit(False)), "no fee": F.coalesce(F.col("fee") > 0, F.lit(False)),
     }
     failed = F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in names.items()))
     shape = facts.select("tx_id", F.explode(failed).alias("problem")).where("problem is not null")
