@@ -58,8 +58,8 @@ def _count_words(docs: DataFrame, text: str, train: str) -> DataFrame:
                     counts.update(words)
                     counts[END] += 1
                 else:
-                    for w in set(words) - counts.keys():
-                        counts[w] = 0
+                    for w in words:
+                        counts.setdefault(w, 0)
                 if len(counts) > FLUSH:
                     yield out(counts)
                     counts = Counter()
