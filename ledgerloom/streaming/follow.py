@@ -57,7 +57,7 @@ def utxo_stream(changes: DataFrame, path: str, checkpoint: str, buckets: int = 1
     """Starts a stream that keeps the unspent outputs at path, partitioned by a hash of their key.
 
     changes: tx_id, ix, address, lovelace, action (create, spend, undo_create, undo_spend), n, the
-    order of the change. The last change of a key decides. A batch rewrites only the partitions
+    order of the change. The last change of a key decides; batches come in the order of n. A batch rewrites only the partitions
     it touches, into a new version folder named by its epoch; repeating an epoch gives the same.
     """
 
