@@ -390,8 +390,8 @@ def _links(sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
     )
     right = named.join(groups, "hub").select("hub", "node", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "block")
-    pairs = left.unionByName(right)
-    return links.unionByName(_linked_in_blocks(pairs.join(arrays, "node"), ["hub", "block", "other"], percent))
+    pairs = written(left.unionByName(right), "pairs")
+    return links.unionByName(_linked_in_blocks(arrays.join(_small(pairs), "node"), ["hub", "block", "other"], percent))
 
 
 def jaccard_rows(docs: DataFrame, words: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
