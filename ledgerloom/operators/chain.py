@@ -97,15 +97,15 @@ def audit_order(submitted: DataFrame, chain_txs: DataFrame) -> DataFrame:
 
 def _slots(df: DataFrame, era: DataFrame, ms: str, up: bool) -> DataFrame:
     """Era table: a handful of rows, broadcast. Times before the start count as the start, times past the horizon are errors."""
-    start = era.agg(F.min("era_start_ms").alias("_start"), F.max("era_end_ms").alias("_end"))
-    timed = df.join(F.broadcast(start), F.lit(True)).withColumn("_ms", F.greatest(F.col(ms), F.col("_start")))
-    joined = timed.join(F.broadcast(era), (F.col("_ms") >= F.col("era_start_ms")) & (F.col("_ms") < F.col("era_end_ms")), "left")
-    past = F.col("_ms") - F.col("era_start_ms")
-    slot = F.col("slot_start") + F.expr("(_ms - era_start_ms) div slot_len_ms")
+    first = F.col("era_start_ms") == F.min("era_start_ms").over(W.partitionBy(F.lit(0)))
+    eras = era.withColumn("_first", first)
+    inside = (F.col(ms) < F.col("era_end_ms")) & ((F.col(ms) >= F.col("era_start_ms")) | F.col("_first"))
+    joined = df.join(F.broadcast(eras), inside, "left").withColumn("_past", F.greatest(F.lit(0), F.col(ms) - F.col("era_start_ms")))
+    slot = F.col("slot_start") + F.expr("_past div slot_len_ms")
     if up:
-        slot = slot + F.when(past % F.col("slot_len_ms") != 0, 1).otherwise(0)
+        slot = slot + F.when(F.col("_past") % F.col("slot_len_ms") != 0, 1).otherwise(0)
     error = F.when(F.col("era_start_ms").isNull(), "PastHorizon")
-    return joined.select(*df.columns, slot.alias("slot"), error.alias("error"))
+    return joined.select(*df.columns, F.when(error.isNull(), slot).alias("slot"), error.alias("error"))
 
 
 def to_slot_floor(df: DataFrame, era: DataFrame, ms: str = "posix_ms") -> DataFrame:
