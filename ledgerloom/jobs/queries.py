@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import views as V
 from ..functions import sampling
+from ..functions.pinned import pinned
 from ..operators import assembly as A, balance as B, chain as C, checks as K, execution as E, indices as I, reconcile as R, utxo as U
 from ..params import DEFAULT
 from ..sources.readers import parse_utxo_lines
@@ -233,7 +234,7 @@ UNION ALL SELECT tx_id, 'mint', ix, CAST(policy_id AS VARCHAR), data, CASE WHEN
 UNION ALL SELECT tx_id, 'reward', ix, CAST(account AS VARCHAR), data, CASE WHEN data IS NULL THEN 'key' ELSE 'script' END, NULL FROM accounts LEFT JOIN (SELECT * FROM red WHERE purpose = 'reward') USING (tx_id, ix)""")
 def i5_redeemer_targets(spark, sf_dir):
     d = Data(spark, sf_dir)
-    return I.redeemer_targets(A.redeemers(d.log()), I.spending_index(d.tx_input), I.policy_index(d.tx_mint), I.withdrawal_index(d.tx_withdrawal))
+    return I.redeemer_targets(A.redeemers(pinned(d.log())), I.spending_index(d.tx_input), I.policy_index(d.tx_mint), I.withdrawal_index(d.tx_withdrawal))
 
 
 @query(""" SELECT DISTINCT tx_id, kind, src_tx_id, src_ix FROM tx_input UNION SELECT tx_id, 'spend', src_tx_id, src_ix FROM tx_input WHERE kind = 'collateral'""")
@@ -279,7 +280,7 @@ def a7_validity(spark, sf_dir):
 
 @query(f", {_LOG} SELECT * FROM red")
 def a8_redeemers(spark, sf_dir):
-    return A.redeemers(Data(spark, sf_dir).log())
+    return A.redeemers(pinned(Data(spark, sf_dir).log()))
 
 
 _INTEGRITY = "(SELECT tx_id, sha256(string_agg(t, ';' ORDER BY t)) AS integrity FROM (SELECT tx_id, concat_ws('|', purpose, ix, data, mem, steps, 'v3') AS t FROM {0}) GROUP BY tx_id)"
@@ -309,7 +310,7 @@ def a10_explode_to_log(spark, sf_dir):
 
 @query(f", {_LOG} SELECT * FROM {_INTEGRITY.format('red')}")
 def a11_integrity_digest(spark, sf_dir):
-    return A.integrity_digest(A.redeemers(Data(spark, sf_dir).log()))
+    return A.integrity_digest(A.redeemers(pinned(Data(spark, sf_dir).log())))
 
 
 @query(f" SELECT * FROM {_AUX}")

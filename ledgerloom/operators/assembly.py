@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..functions.pinned import pinned
 from .indices import policy_index, spending_index, withdrawal_index
 
 LOG = T.StructType([T.StructField(n, t) for n, t in (
@@ -101,14 +102,19 @@ def _nested(df: DataFrame, name: str, *columns: str) -> DataFrame:
 
 
 def assemble(log: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """One row a transaction, its children as sorted arrays; null where it has none of a kind. No fee is set."""
+    """One row a transaction, its children as sorted arrays; null where it has none of a kind. No fee is set.
+
+    Every section reads the log, so log and redeemers are written once and read from there.
+    """
+    log = pinned(log)
+    brought = pinned(redeemers(log, extra))
     sets = input_sets(log, extra)
     parts = [_nested(sets.where(F.col("kind") == k), n, "src_tx_id", "src_ix") for k, n in zip(ROLES, ("inputs", "collateral", "reference_inputs"), strict=True)]
     parts += [
         _nested(ordered_outputs(log), "outputs", "ix", "address", "lovelace", "has_datum", "policy_id", "asset_name", "qty"),
         _nested(net_mint(log), "mint", "policy_id", "asset_name", "qty"), _nested(withdrawals(log), "withdrawals", "account", "amount"),
         _nested(metadata(log), "metadata", "label", "value"), _nested(signers(log), "signers", "signer"), _nested(scripts(log), "scripts", "script_hash"),
-        _nested(redeemers(log, extra), "redeemers", "purpose", "ix", "data", "mem", "steps"), validity(log), integrity_digest(redeemers(log, extra)), aux_digest(metadata(log)),
+        _nested(brought, "redeemers", "purpose", "ix", "data", "mem", "steps"), validity(log), integrity_digest(brought), aux_digest(metadata(log)),
     ]
     out = log.select("tx_id").distinct()
     for part in parts:
