@@ -6,9 +6,11 @@ that are no article by their own name, role or class (menus, page headers, foote
 notices, adverts, forms, comments, code) are marked and left out. Text-to-tag ratios of the lines
 are smoothed with a Gaussian, and lines above the threshold, the standard deviation of the
 smoothed ratios capped at their mean, form clusters of content. The region is the element
-that holds them: the article or main element with most content, or else the deepest element
-that keeps most of it. Every block left of the region is kept, short ones too, in page
-order.
+that holds them: the article or main element with most content if that is most of the page's,
+or else the lowest container of all clusters and of the h1 before them. Every block left of
+the region is kept, short ones too, in page order; without an article or main element, blocks
+that are more than half links go where their container is too. Links are open a elements
+with a target.
 
 Cases: a null or empty page, and one without text outside marked elements, gives an empty
 text with 0 characters. Unclosed and badly nested tags are closed by the next element that
@@ -53,7 +55,7 @@ _CLOSES = {
     **{t: frozenset(["p"]) for t in BLOCKS},
     "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]),
     "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]),
-    "option": frozenset(["option"]), "body": frozenset(["head", "p"]),
+    "option": frozenset(["option"]), "a": frozenset(["a"]), "body": frozenset(["head", "p"]),
 }
 _CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main nav ol section table ul".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -65,6 +67,7 @@ class Line:
     tags: int
     linked: int
     path: tuple[int, ...]
+    title: bool = False
 
 
 @dataclass
@@ -73,6 +76,8 @@ class Element:
     number: int
     marked: bool
     path: tuple[int, ...] = field(default=())
+    link: bool = False
+    title: bool = False
 
 
 def _is_marked(tag: str, attrs: dict[str, str | None]) -> bool:
@@ -95,13 +100,13 @@ class Lines(HTMLParser):
         self.stack: list[Element] = [Element("", 0, False, (0,))]
         self.tags_of = {0: ""}
         self._parts: list[str] = []
-        self._tags = self._linked = self._in_link = 0
+        self._tags = self._linked = 0
 
     def cut(self) -> None:
         text = " ".join("".join(self._parts).split())
         if text:
             top = self.stack[-1]
-            self.lines.append(Line(text, self._tags, min(self._linked, len(text)), top.path))
+            self.lines.append(Line(text, self._tags, min(self._linked, len(text)), top.path, top.title))
             self._tags = 0
         self._parts, self._linked = [], 0
 
@@ -135,8 +140,8 @@ class Lines(HTMLParser):
         top = self.stack[-1]
         marked = top.marked or _is_marked(tag, dict(attrs))
         path = (*top.path, number) if tag in _CONTAINERS else top.path
-        self.stack.append(Element(tag, number, marked, path))
-        self._in_link += tag == "a"
+        link = top.link or (tag == "a" and any(name == "href" for name, _ in attrs))
+        self.stack.append(Element(tag, number, marked, path, link, top.title or tag == "h1"))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -145,8 +150,6 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag in BLOCKS:
             self.cut()
-        if tag == "a":
-            self._in_link = max(0, self._in_link - 1)
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at].tag == tag:
                 del self.stack[at:]
@@ -158,7 +161,7 @@ class Lines(HTMLParser):
         if self._hidden():
             return
         self._parts.append(data)
-        if self._in_link:
+        if self.stack[-1].link:
             self._linked += len(data.strip())
 
 
@@ -189,12 +192,24 @@ def main_text(html: str | None) -> str:
             for number in line.path:
                 mass[number] = mass.get(number, 0.0) + weight
     articles = {n: m for n, m in mass.items() if page.tags_of[n] in ("article", "main")}
-    if articles:
-        most = max(articles.values())
+    most = max(articles.values(), default=0.0)
+    if 2 * most > total:
         region = max(n for n, m in articles.items() if m >= 0.999 * most)
         return "\n".join(x.text for x in lines if region in x.path)
-    region = max(n for n, m in mass.items() if m >= 0.9 * total)
-    return "\n".join(x.text for x in lines if region in x.path and 2 * x.linked <= len(x.text))
+    content = [i for i, ratio in enumerate(ratios) if ratio >= threshold]
+    content += [i for i in range(content[0]) if lines[i].title and 2 * lines[i].linked <= len(lines[i].text)][-1:]
+    region = max(set.intersection(*(set(lines[i].path) for i in content)))
+    sizes: dict[int, list[int]] = {}
+    for line in lines:
+        size = sizes.setdefault(line.path[-1], [0, 0])
+        size[0] += line.linked
+        size[1] += len(line.text)
+
+    def is_menu(line: Line) -> bool:
+        linked, size = sizes[line.path[-1]]
+        return 2 * line.linked > len(line.text) and 2 * linked > size
+
+    return "\n".join(x.text for x in lines if region in x.path and not is_menu(x))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

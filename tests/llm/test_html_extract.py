@@ -27,6 +27,24 @@ def test_cases(n):
     assert main_text(html) == want
 
 
+S = LONG.strip()
+REGIONS = [
+    (f"<div id=content><p>{LONG}</p><p>{LONG}</p></div><article class=card><p>a teaser of some words</p></article>", f"{S}\n{S}\na teaser of some words"),
+    (f"<div><section><p>{LONG[:33]}</p></section><section><p>{LONG}</p></section></div><ul><li><a href=/>Home</a></ul>", f"{LONG[:33].strip()}\n{S}"),
+    (f"<div><h1>A title</h1><div><p>{LONG * 9}</p><p>{LONG}</p><p>{LONG}</p></div></div>", f"A title\n{(LONG * 9).strip()}\n{S}\n{S}"),
+    (f"<div><p><a name=x>{LONG}</p><p>{LONG}</p></div>", f"{S}\n{S}"),
+    (f"<div><p><a href=x>in a link<p>{LONG}</p><p><a href=y>{LONG}</a></p><p>{LONG}</p></div>", f"in a link\n{S}\n{S}\n{S}"),
+    (f"<div><p>{LONG}</p></div><div><p><a href=x>one</a></p><p><a href=y>two</a></p></div><div><p>{LONG}</p></div>", f"{S}\n{S}"),
+    (f"<main><article><p>{LONG}</p></article><article><p>{LONG}</p></article></main><div><p>x</p></div>", f"{S}\n{S}"),
+]
+
+
+@pytest.mark.parametrize("n", range(len(REGIONS)))
+def test_regions(n):
+    html, want = REGIONS[n]
+    assert main_text(html) == want
+
+
 def plain_article(html):
     """The article's blocks by plain text cutting, for the well-formed test pages."""
     from html import unescape
