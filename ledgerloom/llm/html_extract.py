@@ -3,7 +3,10 @@
 The standard library's parser turns a page into lines, one for each block of text, with the
 number of tags that stand in and around it and the share of its text inside links. Elements
 that are no article by their own name, role or class (menus, page headers, footers, sidebars,
-notices, adverts, forms, comments, code) are marked and left out. Text-to-tag ratios of the lines
+notices, adverts, forms, comments, code) are marked and left out. A class or id marks by its
+whole name or last word, and never an article, main or body element; a container that holds
+an article or most of the page's text outside links is marked by a class only where an
+article or main element has at least a fifth of the text without it. Text-to-tag ratios of the lines
 are smoothed with a Gaussian, and lines above the threshold, the standard deviation of the
 smoothed ratios capped at their mean, form clusters of content. The region is the element
 that holds them: the article or main element with most content if that is most of the page's,
@@ -58,6 +61,10 @@ _CLOSES = {
     "option": frozenset(["option"]), "a": frozenset(["a"]), "body": frozenset(["head", "p"]),
 }
 _CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main nav ol section table ul".split())
+#: Words that may follow such a name, first words of names that state something about the element's page or post, and of headers of an article.
+ENDS = frozenset("area bar block box buttons container inner links list posts row section wrap wrapper".split())
+STATES = frozenset("cat category has hide is no not show tag with without".split())
+STORIES = frozenset("article blog content entry news post story".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
@@ -70,6 +77,16 @@ class Line:
     title: bool = False
 
 
+@dataclass
+class Raw:
+    """A line before it is known which class names mark: its parts with text, named elements around, in a link."""
+
+    parts: list[tuple[str, tuple[int, ...], bool]]
+    tags: int
+    path: tuple[int, ...]
+    title: bool
+
+
 @dataclass
 class Element:
     tag: str
@@ -78,6 +95,9 @@ class Element:
     path: tuple[int, ...] = field(default=())
     link: bool = False
     title: bool = False
+    #: Elements around that a class names as no article; articles around.
+    names: tuple[int, ...] = field(default=())
+    articles: tuple[int, ...] = field(default=())
 
 
 def _is_marked(tag: str, attrs: dict[str, str | None]) -> bool:
@@ -87,8 +107,21 @@ def _is_marked(tag: str, attrs: dict[str, str | None]) -> bool:
         return True
     if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
         return True
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    return any(w.lower() in NAMES for w in _WORD.findall(names))
+    return False
+
+
+def _named(tag: str, attrs: dict[str, str | None]) -> list[list[str]]:
+    """Words of each class or id that names something beside the article."""
+    if tag in ("html", "body", "main", "article"):
+        return []
+    found = []
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        while len(words) > 1 and words[-1] in ENDS:
+            words.pop()
+        if words and words[-1] in NAMES and (len(words) == 1 or words[0] not in STATES) and not (tag in HEADINGS and words[-1] == "header"):
+            found.append(words)
+    return found
 
 
 class Lines(HTMLParser):
@@ -96,19 +129,37 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[Line] = []
+        self.raw: list[Raw] = []
         self.stack: list[Element] = [Element("", 0, False, (0,))]
         self.tags_of = {0: ""}
-        self._parts: list[str] = []
-        self._tags = self._linked = 0
+        #: Of named elements: characters outside links, whether they hold an article's text, whether their headings are an article's.
+        self.size_of: dict[int, int] = {}
+        self.holds: set[int] = set()
+        self.headers: set[int] = set()
+        self._total = self._plain = 0
+        self._parts: list[tuple[str, tuple[int, ...], bool]] = []
+        self._tags = 0
 
     def cut(self) -> None:
-        text = " ".join("".join(self._parts).split())
-        if text:
+        if any(not text.isspace() for text, _, _ in self._parts):
             top = self.stack[-1]
-            self.lines.append(Line(text, self._tags, min(self._linked, len(text)), top.path, top.title))
+            self.raw.append(Raw(self._parts, self._tags, top.path, top.title))
             self._tags = 0
-        self._parts, self._linked = [], 0
+        self._parts = []
+
+    def lines(self) -> list[Line]:
+        """The lines without what is marked by class names."""
+        marks = set(self.size_of)
+        if 5 * self._plain < self._total:
+            marks = {n for n, size in self.size_of.items() if n not in self.holds and 2 * size <= self._total}
+        out, tags = [], 0
+        for raw in self.raw:
+            parts = [(text, link) for text, names, link in raw.parts if marks.isdisjoint(names)]
+            text, tags = " ".join("".join(x for x, _ in parts).split()), tags + raw.tags
+            if text:
+                out.append(Line(text, tags, min(sum(len(x.strip()) for x, link in parts if link), len(text)), raw.path, raw.title))
+                tags = 0
+        return out
 
     def _hidden(self) -> bool:
         """Marked, unless it is the heading of an article's own header."""
@@ -125,7 +176,7 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.cut()
         elif tag in ("br", "td", "th", "img"):
-            self._parts.append(" ")
+            self._parts.append((" ", (), False))
         if tag in VOID:
             return
         closes = _CLOSES.get(tag)
@@ -139,9 +190,19 @@ class Lines(HTMLParser):
         self.tags_of[number] = tag
         top = self.stack[-1]
         marked = top.marked or _is_marked(tag, dict(attrs))
+        names = top.names
+        if tag in HEADINGS and names:
+            names = tuple(n for n in names if n not in self.headers)
+        found = [] if marked else _named(tag, dict(attrs))
+        if found:
+            names = (*names, number)
+            self.size_of[number] = 0
+            if all(words[-1] == "header" and (top.articles or words[0] in STORIES) for words in found):
+                self.headers.add(number)
+        articles = (*top.articles, number) if tag in ("article", "main") else top.articles
         path = (*top.path, number) if tag in _CONTAINERS else top.path
         link = top.link or (tag == "a" and any(name == "href" for name, _ in attrs))
-        self.stack.append(Element(tag, number, marked, path, link, top.title or tag == "h1"))
+        self.stack.append(Element(tag, number, marked, path, link, top.title or tag == "h1", names, articles))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -160,9 +221,16 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self._hidden():
             return
-        self._parts.append(data)
-        if self.stack[-1].link:
-            self._linked += len(data.strip())
+        top = self.stack[-1]
+        self._parts.append((data, top.names, top.link))
+        size = 0 if top.link else len(data.strip())
+        if size:
+            self._total += size
+            self._plain += size if top.articles and not top.names else 0
+            for n in top.names:
+                self.size_of[n] += size
+                if top.articles and top.articles[-1] > n:
+                    self.holds.add(n)
 
 
 def smoothed(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -178,7 +246,7 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.cut()
-    lines = page.lines
+    lines = page.lines()
     if not lines:
         return ""
     ratios = smoothed(np.array([(len(x.text) - x.linked) / max(1, x.tags) for x in lines], dtype=np.float64))

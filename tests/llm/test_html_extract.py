@@ -39,6 +39,26 @@ REGIONS = [
 ]
 
 
+NAMED = [
+    (f"<div class='layout has-sidebar'><div><p>{LONG}</p></div><div class=sidebar><p>{LONG[:60]}</p></div></div>", S),
+    (f"<div class='no-comments'><p>{LONG}</p></div>", S),
+    (f"<div class='wide social'><article><p>{LONG}</p></article></div>", S),
+    (f"<article class='post tag-social category-legal'><p>{LONG}</p></article>", S),
+    (f"<article class='widget'><p>{LONG}</p></article>", S),
+    (f"<article><div class='entry-header'><h1>T</h1><span>by me</span></div><p>{LONG}</p></article>", f"T\n{S}"),
+    (f"<div><div class='entry-header'><h1>T</h1></div><p>{LONG}</p></div><div class='site-header'><h1>Site</h1></div>", f"T\n{S}"),
+    (f"<main><div class='layout social'><p>{LONG}</p><p>a <span class=ad>buy</span> b</p></div></main>", f"{S}\na b"),
+    (f"<article><p>{LONG}</p></article><div class='comments-area'><article><p>{LONG * 2}</p></article></div>", S),
+    (f"<div><p>{LONG}</p></div><div class='cookie-notice'><p>{LONG[:90]}</p></div>", S),
+]
+
+
+@pytest.mark.parametrize("n", range(len(NAMED)))
+def test_class_names(n):
+    html, want = NAMED[n]
+    assert main_text(html) == want
+
+
 @pytest.mark.parametrize("n", range(len(REGIONS)))
 def test_regions(n):
     html, want = REGIONS[n]
