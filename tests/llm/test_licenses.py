@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from ledgerloom.llm.licenses import CUES, TEMPLATES, THRESHOLD, scan_licences, template_tokens
+from ledgerloom.llm.licenses import CUES, NOTICES, TEMPLATES, TEXTS, THRESHOLD, scan_licences, template_tokens
 
 NOTICE = "Released under the MIT License."
 FILES = [
@@ -66,3 +66,27 @@ def test_same_as_brute_force(spark):
     assert by_path["r/a/x.txt"] == ("MIT", "inherited") and by_path["r/a/b/y.txt"] == ("GPL-3.0", "inherited")
     assert by_path["r/a/b/c/own.txt"] == ("CC-BY-NC-4.0", "own") and by_path["ra/x.txt"] == ("proprietary", "inherited")
     assert scan_licences(files.limit(0), keep=["path"]).count() == 0
+
+
+MPL = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n"
+LGPL = """# This library is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Lesser General Public License as
+# published by the Free Software Foundation, either version 3 of the
+# License, or any later version.
+"""
+
+
+def test_wrapped_notices_tags_and_whole_texts(spark):
+    code = "def one(value):\n    return value + first_place\n" * 40
+    mit = dict(TEXTS)["MIT"].split()
+    whole = "Copyright 2020 A. Person\n\n" + "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    isc = " ".join(dict(NOTICES)["ISC"].split()).replace(" for any", "\n for any").replace(" provided", "\n\n provided")
+    files = [
+        ("m/x.c", MPL + code), ("l/x.py", LGPL + code), ("i/x.c", isc + "\n" + code), ("s/x.c", "// SPDX-License-Identifier: MIT\n" + code), ("w/COPYING", whole), ("w/a/x.c", code),
+        ("o/x.c", dict(TEMPLATES)["Apache-2.0"].replace(" ", "\n\n") + "\n" + code), ("n/x.c", code), ("l/one.py", LGPL.replace("\n# ", " ") + code), ("g/x.c", "// SPDX-License-Identifier: GPL-2.0-or-later\n" + code),
+    ]
+    got = {r["path"]: (r["licence"], r["origin"]) for r in scan_licences(spark.createDataFrame(files, "path string, text string"), keep=["path"]).collect()}
+    assert got == {
+        "m/x.c": ("MPL-2.0", "own"), "l/x.py": ("LGPL-3.0", "own"), "i/x.c": ("ISC", "own"), "s/x.c": ("MIT", "own"), "w/COPYING": ("MIT", "own"), "w/a/x.c": ("MIT", "inherited"),
+        "o/x.c": ("Apache-2.0", "own"), "n/x.c": (None, "none"), "l/one.py": ("LGPL-3.0", "own"), "g/x.c": ("GPL-2.0", "own"),
+    }
