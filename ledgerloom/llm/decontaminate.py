@@ -6,15 +6,16 @@ into the item's m characters. By the q-gram lemma such a passage shares at least
 m - q + 1 - q * budget of the item's q-grams, on diagonals (place in the text minus place in
 the item) at most budget apart. The diagonals are cut into cells of budget + 1, two adjacent
 cells make a band, so bands overlap and each such set of diagonals lies inside one. Bands
-with enough shared q-grams are verified by an alignment of the whole item that stays within
-the band and a margin, with free ends in the text. Items are a stated query set: they are
+with enough shared q-grams are verified in their own text by an alignment of the whole item
+that stays within the band and a margin, with free ends in the text; neighbouring bands of an
+item are aligned together up to RUN cells. Items are a stated query set: they are
 broadcast in blocks of bounded size and each block meets every text.
 
 Cases: null and empty texts have no leaks; null, empty items and those without letters or
 digits are never found; items shorter than q are found only unchanged, as whole words.
 Repeated rows are judged one by one, repeated items are found each. Places are code points of
 the original text, ends are exclusive. A passage that leaks an item is reported once, with
-the fewest edits. Other columns pass through; an input column named leaks is replaced.
+the fewest edits; an item that repeats itself may be found at several overlapping passages. Other columns pass through; an input column named leaks is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import chunks
 
 Q, PERCENT = 7, 12
+#: Cells that are aligned at once, with the margins.
+RUN = 6
 #: Characters of items that are broadcast at once.
 BLOCK_CHARS = 8 << 20
 LEAK = T.StructType([
@@ -152,8 +155,8 @@ class Index:
         if len(self.gram):
             ends = np.cumsum([len(c) + 1 for c, _ in parts])
             glued = np.concatenate([x for c, _ in parts for x in (c, np.zeros(1, np.uint32))])
-            for item, lo, hi in self._bands(glued):
-                self._verify(parts, ends, item, lo, hi, found)
+            for d, item, lo, hi in self._bands(glued, ends):
+                self._verify(parts[d], item, lo, hi, found[d])
         return [sorted(set(x)) for x in found]
 
     def _short(self, text: str, at: np.ndarray):
@@ -164,8 +167,8 @@ class Index:
                 yield item_id, int(at[i]), int(at[i + len(item) - 3]) + 1, 0
                 i = text.find(item, i + 1)
 
-    def _bands(self, glued: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, lowest diagonal, end) where bands share enough q-grams; runs of such bands are one."""
+    def _bands(self, glued: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, lowest diagonal, end) where bands share enough q-grams; short runs of such bands are one."""
         grams = _grams(glued, self.q)
         where = np.flatnonzero(self.seen[(grams >> self.bits).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.gram, grams[where]), len(self.gram) - 1)
@@ -178,37 +181,33 @@ class Index:
         entry = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
         item = self.item[entry]
         shift = 1 << 20  # diagonals may be negative, by an item's length at most
-        cell = (np.repeat(where, n) - self.place[entry] + shift * (self.e[item] + 1)) // (self.e[item] + 1)
-        keys, counts = np.unique(item << 40 | cell, return_counts=True)
+        doc = np.searchsorted(ends, where, side="right")
+        local = where - np.concatenate([[0], ends[:-1]])[doc]
+        cell = (np.repeat(local, n) - self.place[entry] + shift * (self.e[item] + 1)) // (self.e[item] + 1)
+        pairs, which = np.unique(np.repeat(doc, n) * len(self.items) + item, return_inverse=True)
+        keys, counts = np.unique(which << 32 | cell, return_counts=True)
         both = counts.copy()
         beside = np.flatnonzero(keys[1:] == keys[:-1] + 1)
         both[beside] += counts[beside + 1]
-        good = keys[both >= self.need[keys >> 40]]
+        good = keys[both >= self.need[pairs[keys >> 32] % len(self.items)]]
         out = []
         for key in good.tolist():
-            i, c = key >> 40, (key & ((1 << 40) - 1)) - shift
+            (d, i), c = divmod(int(pairs[key >> 32]), len(self.items)), (key & ((1 << 32) - 1)) - shift
             w = int(self.e[i]) + 1
             lo, hi = c * w - w, (c + 2) * w + w
-            if out and out[-1][0] == i and out[-1][2] >= lo + 2 * w:
-                out[-1] = (i, out[-1][1], hi)
+            if out and out[-1][:2] == (d, i) and out[-1][3] >= lo + 2 * w and hi - out[-1][2] <= RUN * w:
+                out[-1] = (d, i, out[-1][2], hi)
             else:
-                out.append((i, lo, hi))
+                out.append((d, i, lo, hi))
         return out
 
-    def _verify(self, parts, ends, item: int, lo: int, hi: int, found) -> None:
+    def _verify(self, part, item: int, lo: int, hi: int, found) -> None:
         item_id, codes = self.items[item]
-        doc = int(np.searchsorted(ends, max(0, (lo + hi) // 2), side="right"))
-        for d in (doc - 1, doc, doc + 1):  # a band at a border belongs to either text
-            if not 0 <= d < len(parts) or not len(parts[d][0]):
-                continue
-            begin = int(ends[d]) - len(parts[d][0]) - 1
-            text, at = parts[d]
-            if lo - begin > len(text) or hi - begin + len(codes) < 0:
-                continue
-            match = align(codes, text, lo - begin, hi - begin, int(self.e[item]))
-            if match:
-                edits, start, end = match
-                found[d].append((item_id, int(at[start]), int(at[end - 1]) + 1, edits))
+        text, at = part
+        match = align(codes, text, lo, hi, int(self.e[item]))
+        if match:
+            edits, start, end = match
+            found.append((item_id, int(at[start]), int(at[end - 1]) + 1, edits))
 
 
 def _text(codes: np.ndarray) -> str:

@@ -63,6 +63,17 @@ def test_same_as_brute_force(seed):
                 assert min(x[3] for x in own) == least
 
 
+def test_items_that_repeat_themselves():
+    """Short copies side by side are each found in their own text, and in pieces of a long one."""
+    item = "ha " * 34
+    index = Index([(1, item)])
+    found = index.search([item] * 9 + ["no copy in this one"] + [item] * 2)
+    assert [bool(x) for x in found] == [True] * 9 + [False] + [True] * 2
+    long = "ha " * 5000
+    leaks = index.search([long])[0]
+    assert min(x[1] for x in leaks) < 300 and max(x[2] for x in leaks) > len(long) - 300 and all(x[3] == 0 for x in leaks)
+
+
 def test_cases(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     long = "noise words everywhere here " * 5000 + item.upper() + " tail" * 5000
