@@ -4,8 +4,8 @@ Features are byte n-grams (one to four bytes) of the lower-cased text, hashed in
 number of buckets; everything that is no letter counts as a space and a run of spaces as one.
 Weights are (1 + ln tf) * idf, scaled to length one. Document frequencies come from all
 training documents. Each language gets several centroids by spherical k-means over at most
-SAMPLE of its training documents, the ones with the smallest hash; this bound is the only
-sampling. A document takes the language of its nearest centroid by cosine, which is the
+SAMPLE of its distinct training texts, the ones with the smallest hash; this bound is the
+only sampling. A document takes the language of its nearest centroid by cosine, which is the
 score. It is rejected when it has no letter or when its cosine distance is above that of
 nearly all training documents of the language (see Model.reach).
 
@@ -133,12 +133,13 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     idf, n = _document_frequencies(train, "text")
     if not n:
         return Model(idf, [], np.zeros((BUCKETS, 0)), np.zeros(0))
-    sizes = train.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    sizes = train.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("count")).limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     order = F.xxhash64("text")
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * SAMPLE / r["count"])))))
+    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * SAMPLE / max(1, r["count"]))))))
     few = train.withColumn("_hash", order).where(F.pmod("_hash", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    few = few.groupBy("lang", "_hash").agg(F.min("text").alias("text"))
     few = few.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_hash"))).where(F.col("_n") <= SAMPLE)
 
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:

@@ -37,6 +37,18 @@ def test_same_as_brute_force(result, spark):
         assert r["lang_pred"] == model.languages[int(np.argmax(cosines))] and abs(max(cosines) - r["score"]) < 1e-6
 
 
+def test_copies_fill_one_place(spark):
+    """A text with the smallest hash of its language, repeated more often than the sample is large."""
+    from pyspark.sql import functions as F
+
+    texts = [(" ".join(f"{'abcdefgh'[(i * 7 + j) % 8]}{'mnopqrst'[(i + j * j) % 8]}{'uvwxyz'[(i * j) % 6]}" for j in range(12)), "xx") for i in range(60)]
+    docs = spark.createDataFrame(texts, "text string, lang string").distinct()
+    copied = docs.orderBy(F.xxhash64("text")).limit(1).select(F.explode(F.array_repeat("text", lang_id.SAMPLE + 100)).alias("text"), "lang")
+    model = lang_id.fit(docs.union(copied))
+    assert len(model.languages) == lang_id.CENTROIDS
+    assert lang_id.predict(docs, model).where("rejected").count() == 0
+
+
 def test_cases(spark):
     train = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "fr"), ("le chat", None)], "text string, lang string")
     model = lang_id.fit(train)
