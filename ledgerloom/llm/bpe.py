@@ -2,19 +2,22 @@
 
 Encoding. The merges are compiled into a finite-state transducer that reads a piece byte by
 byte. A state holds what the bytes read so far leave open: every start of a token that could
-still be running, as a node of the vocabulary's trie, with the token that ends before it. A
-token may follow another one only if BPE leaves the pair as it is, which makes the token that
-ends at a given byte unique, so the machine is deterministic; each transition puts out that
-token. A token is emitted once the chains back from all open starts agree on it, which needs
-no more bytes ahead than the longest vocabulary entry has. States and transitions are made
-when first met and kept in a table of bounded size.
+still be running, as nodes of the vocabulary's trie. The longest of them tells the others, so
+the determinised states are the trie's nodes, and transitions are made when first met. A token
+may follow another one only if BPE leaves the pair as it is, which makes the token that ends
+at a given byte unique: the first one, from the longest on, that may follow the one before it.
+A token is emitted once the chains back from all open starts agree on it, which needs no more
+bytes ahead than the longest vocabulary entry has. The tables of transitions, of pairs and of
+pieces met before are of bounded size and live as long as a task does.
 
 Decoding. Ids become bytes, and an incremental UTF-8 decoder turns bytes into text chunk by
 chunk, holding back incomplete sequences, so a document is never needed as one block of ids.
 
 Cases: a null text counts as empty and has no ids; null ids decode to an empty text. Repeated
-rows are encoded one by one. Every other column passes through; result columns replace input
-columns of the same name. An id outside the vocabulary is an error.
+rows are encoded one by one. Of two merges with one rank, which no vocabulary file has, the
+one further left counts. Texts are read whole, also those without any white space. An empty
+table gives an empty table. Every other column passes through; result columns replace input
+columns of the same name. An id outside the vocabulary, a negative one too, is an error.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import chunks
 
-#: Entries of a worker's tables; a full table is emptied and fills again.
-MAX_STATES, MAX_PIECES = 150_000, 250_000
+#: Entries of a task's tables. A full table of transitions or pairs is emptied and fills again; of pieces, the last two fillings are kept.
+MAX_MOVES, MAX_PAIRS, MAX_PIECES = 150_000, 150_000, 120_000
 
 
 def read_ranks(text: bytes) -> dict[bytes, int]:
@@ -46,7 +49,8 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}
-        self.ends, self.depth = [-1], [0]
+        self.ends, self.depth, self.parent = array("i", [-1]), array("i", [0]), array("i", [0])
+        last = bytearray(1)
         for token, rank in ranks.items():
             node = 0
             for b in token:
@@ -56,16 +60,16 @@ class Transducer:
                     nxt = self.child[key] = len(self.ends)
                     self.ends.append(-1)
                     self.depth.append(self.depth[node] + 1)
+                    self.parent.append(node)
+                    last.append(b)
                 node = nxt
             self.ends[node] = rank
+        self.last = bytes(last)
+        self.moves: dict[int, int] = {}
+        self.next_start = array("i", [-1]) * len(self.ends)
+        self.suffixes: list[tuple[tuple[int, int], ...]] = [()] * len(self.ends)
         self.pairs: dict[int, bool] = {}
         self.made_of: dict[int, tuple[int, int] | None] = {}
-        self._forget()
-
-    def _forget(self) -> None:
-        start = ((0, -1),)
-        self.states, self.numbers = [start], {start: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
@@ -90,7 +94,7 @@ class Transducer:
         known = self.pairs.get(key)
         if known is not None:
             return known
-        if len(self.pairs) > 4 * MAX_STATES:
+        if len(self.pairs) > MAX_PAIRS:
             self.pairs.clear()
         ranks, tokens = self.ranks, self.tokens
         a, b, before = left, right, 1 << 60
@@ -109,61 +113,71 @@ class Transducer:
         self.pairs[key] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state, and the token that ends with this byte."""
-        child, ends = self.child, self.ends
-        after, ended = [], -1
-        for node, last in self.states[state]:
-            nxt = child.get(node << 8 | byte)
-            if nxt is None:
-                continue
-            after.append((nxt, last))
-            token = ends[nxt]
-            if ended < 0 and token >= 0 and (last < 0 or self.stays(last, token)):
-                ended = token
-        after.append((0, ended))
-        new = tuple(after)
-        number = self.numbers.get(new)
-        if number is None:
-            number = self.numbers[new] = len(self.states)
-            self.states.append(new)
-        move = self.moves[state << 8 | byte] = (number, ended)
-        return move
+    def _shorter(self, node: int) -> int:
+        """The longest open start of a state after its first one: the longest suffix of the node's bytes in the trie."""
+        known = self.next_start[node]
+        if known < 0:
+            known = self.next_start[node] = 0 if self.depth[node] < 2 else self._move(self._shorter(self.parent[node]), self.last[node])
+        return known
+
+    def _move(self, state: int, byte: int) -> int:
+        key = state << 8 | byte
+        known = self.moves.get(key)
+        if known is None:
+            if len(self.moves) >= MAX_MOVES:
+                self.moves.clear()
+            known = self.child.get(key, -1)
+            if known < 0:
+                known = self._move(self._shorter(state), byte) if state else 0
+            self.moves[key] = known
+        return known
+
+    def _ending(self, state: int) -> tuple[tuple[int, int], ...]:
+        """Tokens that may end in a state, with their lengths, the longest first."""
+        known = self.suffixes[state]
+        if not known and state:
+            own = ((self.ends[state], self.depth[state]),) if self.ends[state] >= 0 else ()
+            known = self.suffixes[state] = own + self._ending(self._shorter(state))
+        return known
 
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.states) > MAX_STATES:
-            self._forget()
         out: list[int] = []
         ended: list[int] = []  # by byte, from the last emitted token on
-        moves, state = self.moves, 0
+        moves, suffixes, pairs, state, before = self.moves, self.suffixes, self.pairs, 0, -1
         for at, byte in enumerate(piece):
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                if len(self.states) > 2 * MAX_STATES:  # within one very long piece
-                    now = self.states[state]
-                    self._forget()
-                    moves, state = self.moves, 1
-                    self.states.append(now)
-                    self.numbers[now] = 1
-                move = self._move(state, byte)
-            state, token = move
+            after = moves.get(state << 8 | byte)
+            state = self._move(state, byte) if after is None else after
+            for token, size in suffixes[state] or self._ending(state):
+                start = len(ended) - size
+                left = ended[start] if start >= 0 else before
+                if left < 0:
+                    break
+                known = pairs.get(left << 32 | token)
+                if known or known is None and self.stays(left, token):
+                    break
             ended.append(token)
             if at & 4095 == 4095:
-                self._emit(ended, self.states[state], out)
-        self._emit(ended, ((0, -1),), out)
+                before = self._emit(ended, state, out, before)
+        out += self._chain(ended, len(ended))
         return out
 
-    def _emit(self, ended: list[int], open_starts, out: list[int]) -> None:
-        """Moves to out the tokens on which the chains back from all open starts agree."""
+    def _chain(self, ended: list[int], at: int) -> list[int]:
+        """The tokens up to a place, each the one that ends where the next begins."""
+        chain, tokens = [], self.tokens
+        while at > 0:
+            token = ended[at - 1]
+            chain.append(token)
+            at -= len(tokens[token])
+        chain.reverse()
+        return chain
+
+    def _emit(self, ended: list[int], state: int, out: list[int], before: int) -> int:
+        """Moves to out the tokens on which the chains back from all open starts agree; the last emitted token."""
         sure = None
-        for node, _ in open_starts:
-            chain, at = [], len(ended) - self.depth[node]
-            while at > 0:
-                chain.append(ended[at - 1])
-                at -= len(self.tokens[chain[-1]])
-            chain.reverse()
+        while True:
+            chain = self._chain(ended, len(ended) - self.depth[state])
             if sure is None:
                 sure = chain
             else:
@@ -171,31 +185,32 @@ class Transducer:
                 while same < min(len(sure), len(chain)) and sure[same] == chain[same]:
                     same += 1
                 del sure[same:]
+            if not state:
+                break
+            state = self._shorter(state)
         out += sure
         del ended[: sum(len(self.tokens[t]) for t in sure)]
+        return sure[-1] if sure else before
 
 
 class Encoder:
-    """Texts to ids; pieces that a worker has met before are looked up."""
+    """Texts to ids, four bytes each; pieces that the task has met before are looked up."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, array] = {}
-
-    def encode(self, text: str) -> array:
-        out, known = array("i"), self.known
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._new(piece)
-            out += ids
-        return out
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _new(self, piece: str) -> array:
-        ids = array("i", self.machine.encode(piece.encode()))
+    def encode(self, text: str) -> bytes:
+        found, new = self.known.get, self._new
+        return b"".join([found(x) or new(x) for x in self.split(text)])
+
+    def _new(self, piece: str) -> bytes:
+        ids = self.older.get(piece) or array("i", self.machine.encode(piece.encode())).tobytes()
         if len(piece) <= 64:
             if len(self.known) >= MAX_PIECES:
+                self.older = dict(self.known)
                 self.known.clear()
             self.known[piece] = ids
         return ids
@@ -205,23 +220,14 @@ def decode(ids: Iterable[int], tokens: list[bytes], step: int = 4096) -> Iterato
     """Bytes and text of ids, step by step; a sequence cut by a step's end is held back."""
     machine = codecs.getincrementaldecoder("utf-8")(errors="replace")
     for at in range(0, len(ids), step):
-        data = b"".join([tokens[i] for i in ids[at : at + step]])
+        some = ids[at : at + step]
+        if min(some) < 0:
+            raise ValueError(f"{min(some)} is no id")
+        data = b"".join([tokens[i] for i in some])
         yield data, machine.decode(data)
     yield b"", machine.decode(b"", final=True)
 
 
-_made: dict[tuple[str, str], Encoder] = {}
-
-
-def _encoder(ranks: bytes, pattern: str) -> Encoder:
-    """One for each worker process, whatever number of tasks it runs."""
-    key = (hashlib.sha256(ranks).hexdigest(), pattern)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Encoder(read_ranks(ranks), pattern)
-    return _made[key]
-
-
 def _without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*(c for c in df.columns if c in names))
 
@@ -233,16 +239,12 @@ def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        encoder = _encoder(shared.value, pattern)
+        encoder = Encoder(read_ranks(shared.value), pattern)
         for whole in batches:
-            for batch in chunks(whole, text):
-                flat, ends = array("i"), [0]
-                for value in batch.column(text).to_pylist():
-                    if value:
-                        flat += encoder.encode(value)
-                    ends.append(len(flat))
-                offsets = np.asarray(ends, dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32)))
+            for batch in chunks(whole, text, 2 << 20):
+                rows = [encoder.encode(value) if value else b"" for value in batch.column(text).to_pylist()]
+                offsets = np.cumsum([0, *(len(x) // 4 for x in rows)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(offsets).astype(np.int64))], names=[*batch.schema.names, "ids", "n_tokens"])
 
     return docs.mapInArrow(run, schema)
