@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import lang_id
 from ledgerloom.llm.queries import op10_language_id
@@ -39,8 +40,6 @@ def test_same_as_brute_force(result, spark):
 
 def test_copies_fill_one_place(spark):
     """A text with the smallest hash of its language, repeated more often than the sample is large."""
-    from pyspark.sql import functions as F
-
     texts = [(" ".join(f"{'abcdefgh'[(i * 7 + j) % 8]}{'mnopqrst'[(i + j * j) % 8]}{'uvwxyz'[(i * j) % 6]}" for j in range(12)), "xx") for i in range(60)]
     docs = spark.createDataFrame(texts, "text string, lang string").distinct()
     copied = docs.orderBy(F.xxhash64("text")).limit(1).select(F.explode(F.array_repeat("text", lang_id.SAMPLE + 100)).alias("text"), "lang")
@@ -53,9 +52,30 @@ def test_cases(spark):
     train = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "fr"), ("le chat", None)], "text string, lang string")
     model = lang_id.fit(train)
     assert model.languages == ["de", "en"]
-    rows = [(1, "the dog", "x"), (1, "the dog", "x"), (2, None, "x"), (3, "", "x"), (4, "123 !!", "x"), (5, "und die katze " * 50_000, "x"), (6, "漢字漢字漢字", "x"), (None, "the cat", None)]
+    rows = [(6, "½ ² Ⅷ ١٢", "x"), (1, "the dog", "x"), (1, "the dog", "x"), (2, None, "x"), (3, "", "x"), (4, "123 !!", "x"), (5, "und die katze " * 50_000, "x"), (6, "漢字漢字漢字", "x"), (None, "the cat", None)]
     out = lang_id.predict(spark.createDataFrame(rows, "doc_id long, text string, score string"), model).collect()
-    assert [r["lang_pred"] for r in out] == ["en", "en", "und", "und", "und", "de", out[6]["lang_pred"], "en"]
-    assert [r["rejected"] for r in out] == [False, False, True, True, True, False, True, False]
+    assert [r["lang_pred"] for r in out] == ["und", "en", "en", "und", "und", "und", "de", out[7]["lang_pred"], "en"]
+    assert [r["rejected"] for r in out] == [True, False, False, True, True, True, False, False, False]
+    assert lang_id.predict(train.limit(0), model).count() == 0
     none = lang_id.fit(train.limit(0))
     assert lang_id.predict(train.select("text"), none).where("lang_pred = 'und'").count() == 4
+
+
+def test_models_larger_than_a_block(spark, monkeypatch):
+    train = spark.createDataFrame([(f"{w} {w}er und{i} {i}", w) for w in ("abc", "def", "ghi", "jkl", "mno") for i in range(4)], "text string, lang string")
+    model = lang_id.fit(train)
+    docs = train.select("text").unionByName(spark.createDataFrame([(None,), ("xyz",), ("abc def",)], "text string"))
+    want = sorted((tuple(r) for r in lang_id.predict(docs, model).collect()), key=lambda r: r[0] or "")
+    monkeypatch.setattr(lang_id, "LANGUAGES", 2)
+    assert len(model.blocks()) == 3
+    got = sorted((tuple(r) for r in lang_id.predict(docs, model).collect()), key=lambda r: r[0] or "")
+    assert [r[:2] for r in got] == [r[:2] for r in want] and all(abs(a[2] - b[2]) < 1e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_a_viral_text_leaves_its_language_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang")
+    copied = docs.where("lang = 'en'").limit(1).select(F.explode(F.array_repeat("text", 3000)).alias("text"), "lang")
+    near = docs.where("lang = 'en'").limit(1).crossJoin(spark.range(3000)).select(F.concat("text", F.lit(" "), F.col("id").cast("string")).alias("text"), "lang")
+    for more in (copied, near):
+        model = lang_id.fit(docs.unionByName(more))
+        assert lang_id.predict(docs, model).where("rejected").count() <= 0.005 * docs.count()
