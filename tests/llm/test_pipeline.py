@@ -53,3 +53,17 @@ def test_stages(spark):
 def test_run_has_all_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert 0 < out.count() < 200 and out.where(~F.col("round_trip")).isEmpty()
+
+
+def test_clashing_names_and_empty_tables(spark):
+    names = ["score", "rejected", "lang_pred", "leaks", "found", "spans", "ids", "n_tokens", "_id", "_hash", "row", "column0", "k0", "decoded"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    docs = written(docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names)), "clash")
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, SF), "step")
+        assert out.count() > 0 and stage(spark, docs.limit(0), SF).count() == 0
+        for n in names:
+            if name != "byte-level BPE" or n not in ("ids", "n_tokens"):
+                assert out.where(F.col(n) != F.concat(F.lit(n), F.col("doc_id").cast("string"))).isEmpty(), (name, n)
+        if name != "byte-level BPE":
+            assert out.columns == docs.columns
