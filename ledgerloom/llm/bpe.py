@@ -232,20 +232,44 @@ def _without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*(c for c in df.columns if c in names))
 
 
-def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
-    """Adds ids (array of int) and n_tokens. ranks: the bytes of a tiktoken vocabulary file."""
-    docs = _without(docs, "ids", "n_tokens")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
+def _tokens(vocabulary: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each id."""
+    tokens = [b""] * (1 + max(vocabulary.values(), default=-1))
+    for token, rank in vocabulary.items():
+        tokens[rank] = token
+    return tokens
+
+
+def _decoded(ids: list[int], tokens: list[bytes], with_text: bool) -> tuple[str, str | None]:
+    """Digest of the decoded bytes, and the text if it is wanted."""
+    digest, held = hashlib.sha256(), []
+    for data, piece in decode(ids, tokens):
+        digest.update(data)
+        if with_text:
+            held.append(piece)
+    return digest.hexdigest(), "".join(held) if with_text else None
+
+
+def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """Adds ids (array of int) and n_tokens. ranks: the bytes of a tiktoken vocabulary file.
+
+    decoded: ids are decoded again in the same pass, which adds decoded_sha256, the digest of the decoded bytes.
+    """
+    names = ("ids", "n_tokens", "decoded_sha256") if decoded else ("ids", "n_tokens")
+    docs = _without(docs, *names)
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())][: len(docs.columns) + len(names)])
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        encoder = Encoder(read_ranks(shared.value), pattern)
+        vocabulary = read_ranks(shared.value)
+        encoder, tokens = Encoder(vocabulary, pattern), _tokens(vocabulary)
         for whole in batches:
             for batch in chunks(whole, text, 2 << 20):
                 rows = [encoder.encode(value) if value else b"" for value in batch.column(text).to_pylist()]
                 offsets = np.cumsum([0, *(len(x) // 4 for x in rows)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(offsets).astype(np.int64))], names=[*batch.schema.names, "ids", "n_tokens"])
+                more = [pa.array([_decoded(np.frombuffer(x, dtype=np.int32).tolist(), tokens, False)[0] for x in rows], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(offsets).astype(np.int64)), *more], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -257,23 +281,13 @@ def decode_ids(docs: DataFrame, ranks: bytes, ids: str = "ids", with_text: bool
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
-        vocabulary = read_ranks(shared.value)
-        tokens = [b""] * (1 + max(vocabulary.values(), default=-1))
-        for token, rank in vocabulary.items():
-            tokens[rank] = token
+        tokens = _tokens(read_ranks(shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts, sums = [], []
-                for value in part.column(ids):
-                    digest, held = hashlib.sha256(), []
-                    for data, piece in decode([] if not value.is_valid else value.values.to_numpy().tolist(), tokens):
-                        digest.update(data)
-                        held.append(piece)
-                    texts.append("".join(held))
-                    sums.append(digest.hexdigest())
-                more = [pa.array(texts, pa.string())] if with_text else []
-                yield pa.RecordBatch.from_arrays([*part.columns, *more, pa.array(sums, pa.string())], names=schema.names)
+                done = [_decoded(value.values.to_numpy().tolist() if value.is_valid else [], tokens, with_text) for value in part.column(ids)]
+                more = [pa.array([t for _, t in done], pa.string())] if with_text else []
+                yield pa.RecordBatch.from_arrays([*part.columns, *more, pa.array([d for d, _ in done], pa.string())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

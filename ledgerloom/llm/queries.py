@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import decode_ids, encode_texts, ids_sha256
+from .bpe import encode_texts, ids_sha256
 from .common import bucket_of, table
 from . import lang_id
 from .decontaminate import mark_leaks
@@ -50,9 +50,8 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode_texts(docs, ranks, pattern).drop("text")
-    decoded = decode_ids(encoded, ranks, with_text=False)
-    return decoded.select("doc_id", "n_tokens", ids_sha256("ids").alias("ids_sha256"), "decoded_sha256")
+    encoded = encode_texts(docs, ranks, pattern, decoded=True)
+    return encoded.select("doc_id", "n_tokens", ids_sha256("ids").alias("ids_sha256"), "decoded_sha256")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,8 @@ def test_rows(spark):
         assert r["ids"] == KNOWN.encode_ordinary(text) and r["n_tokens"] == len(r["ids"])
         assert r["decoded"] == text and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert r["sum"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest()
+    once = encode_texts(docs.withColumnRenamed("doc_id", "decoded_sha256"), RANKS, PATTERN, decoded=True).collect()
+    assert sorted(r["decoded_sha256"] for r in once) == sorted(r["decoded_sha256"] for r in out)
     assert encode_texts(docs.limit(0), RANKS, PATTERN).count() == 0
 
 
