@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm import lang_id
-from ledgerloom.llm.bpe import decode_ids, encode_texts
+from ledgerloom.llm.bpe import encode_texts
 from ledgerloom.llm.common import table, written
 from ledgerloom.llm.decontaminate import mark_leaks
 from ledgerloom.llm.jaccard_join import without_near_duplicates
@@ -71,10 +71,10 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ranks, pattern = bpe_vocabulary()
     plain, names, _ = _plain(docs)
-    encoded = encode_texts(plain, ranks, pattern, text=names["text"]).withColumn("text_sha256", F.sha2(F.coalesce(names["text"], F.lit("")), 256)).drop(names["text"])
-    decoded = decode_ids(encoded, ranks, with_text=False)
+    encoded = encode_texts(plain, ranks, pattern, text=names["text"], decoded=True)
     kept = [F.col(n).alias(c) for c, n in names.items() if c not in ("text", "ids", "n_tokens", "round_trip")]
-    return decoded.select(*kept, "ids", "n_tokens", (F.col("decoded_sha256") == F.col("text_sha256")).alias("round_trip"))
+    same = F.col("decoded_sha256") == F.sha2(F.coalesce(names["text"], F.lit("")), 256)
+    return encoded.select(*kept, "ids", "n_tokens", same.alias("round_trip"))
 
 
 STAGES = [
