@@ -1,30 +1,32 @@
-"""Embedding near-dedup: navigable small-world graphs per shard, every shard queried.
-
-Equal vectors form a class and go on as one. The classes are dealt out by hash to shards of
-at most about SHARD vectors; a task builds the hierarchical graph of a shard. Each vector is
-then searched in the graph of every shard: one task takes one shard and one block of queries.
-A search costs little more in a large shard than in a small one, so shards are as large as a
-task's memory comfortably holds: the searches are vectors times shards. Searches run for many queries in step: the beams of all
-of them widen together, as arrays.
+"""Embedding near-dedup: navigable small-world graphs per shard, every shard searched.
+
+Equal vectors form a class and go on as one. The classes are dealt out by hash to SHARDS
+shards, or to more of about SHARD_BYTES where these would be larger; a task builds the
+hierarchical graph of a shard. Then each pair of shards meets in a task: the vectors of one
+are searched in the graph of the other, and what is found counts for both ends. Rows travel,
+not graphs as blocks: a row is a vector with its links, and of each shard goes one copy to
+each of its pairs, as one that is searched or one that asks. So searches, and what is
+shuffled, are vectors times shards, which is what searching every shard means; while SHARDS
+shards suffice both grow as the vectors do. Searches run for many queries in step: the beams
+of all of them widen together, as arrays.
 
 A graph's beam width is set by an audit when it is built: sampled vectors of the shard, moved
 away to exactly the threshold, have to find the vectors they come from, and the width doubles
 until AUDIT_RECALL of them do; at a quarter of the shard the shard is scanned whole instead.
-The same holds for a query whose beam is full of links: its width doubles until the worst of
-the beam is no link. Links are verified by cosine in double precision. Per query the links
-are counted by the sizes of the classes found; for the components a task passes on no more
-edges than its vectors need.
+The share found is kept with the result. The same holds for a query whose beam is full of
+links: its width doubles until the worst of the beam is no link. Links are verified by cosine
+in double precision. Per query the links are counted by the sizes of the classes found; for
+the components a task passes on no more edges than its vectors need.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with
 nothing. Vectors of different length link with nothing. Repeated rows and repeated ids are
-vectors of their own; a null id names a component only if no vector in it has another.
-Labels and other columns do not matter.
+vectors of their own; a null id names a component only if no vector in it has another. On a
+tie of cosines either vector may come first in a beam, which changes no link. An empty table
+gives an empty table. Labels and other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,11 +34,12 @@ from pyspark.sql import DataFrame, functions as F
 from .common import removed, written
 from .components import components
 
-SHARD, QUERIES = 1 << 16, 1 << 13
+#: Shards at least, and the bytes of vectors in single precision of a larger one.
+SHARDS, SHARD_BYTES = 6, 16 << 20
 #: Links of a node above the ground and twice as many on it; first beam width; share that audits ask for.
 M, BEAM, AUDIT_RECALL, AUDITED = 16, 48, 0.995, 256
-#: Queries that are searched in step.
-STEP = 512
+#: Queries that are searched in step, and pairs that are verified at once.
+STEP, VERIFIED = 512, 1 << 16
 
 
 class Graph:
@@ -48,14 +51,39 @@ class Graph:
         rng = np.random.default_rng(seed)
         level = np.minimum((-np.log(1 - rng.random(n)) / np.log(M)).astype(int), 4)
         order = np.argsort(-level, kind="stable")  # upper nodes first, so that every entry exists
+        self.level, self.entry = level, int(order[0]) if n else -1
         self.levels = [np.full((n, 2 * M if l == 0 else M), -1, dtype=np.int32) for l in range(int(level.max(initial=0)) + 1)]
-        self.entry = int(order[0]) if n else -1
         at = 0
         while at < n:
             size = max(1, min(STEP, at))
             self._insert(order[at : at + size], order[:at], level)
             at += size
-        self.beam = self._audited(threshold, rng)
+        self.beam, self.recall = self._audited(threshold, rng)
+
+    def links(self) -> pa.ListArray:
+        """Of each node the links on its levels, from the ground up."""
+        starts = np.concatenate([[0], np.cumsum(M * (self.level + 2))]).astype(np.int32)
+        flat = np.empty(starts[-1], dtype=np.int32)
+        for l, links in enumerate(self.levels):
+            own = np.flatnonzero(self.level >= l)
+            at = starts[own] + (M * (l + 1) if l else 0)
+            flat[at[:, None] + np.arange(links.shape[1])] = links[own]
+        return pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
+
+    @classmethod
+    def from_links(cls, vectors: np.ndarray, links: pa.ListArray, beam: int) -> Graph:
+        graph = object.__new__(cls)
+        flat, starts = links.flatten().to_numpy(), links.offsets.to_numpy() - links.offsets[0].as_py()
+        graph.vectors, graph.beam = np.ascontiguousarray(vectors, dtype=np.float32), beam
+        graph.level = np.diff(starts) // M - 2
+        graph.entry = int(np.argmax(graph.level))
+        graph.levels = []
+        for l in range(int(graph.level.max()) + 1):
+            own, width = np.flatnonzero(graph.level >= l), 2 * M if l == 0 else M
+            level = np.full((len(vectors), width), -1, dtype=np.int32)
+            level[own] = flat[(starts[own] + (M * (l + 1) if l else 0))[:, None] + np.arange(width)]
+            graph.levels.append(level)
+        return graph
 
     def _insert(self, new: np.ndarray, old: np.ndarray, level: np.ndarray) -> None:
         queries = self.vectors[new]
@@ -172,7 +200,8 @@ class Graph:
             entries = self._layer(queries, entries, l, 8)[0][:, :4]
         return self._layer(queries, entries, 0, beam)
 
-    def _audited(self, threshold: float, rng) -> int:
+    def _audited(self, threshold: float, rng) -> tuple[int, float]:
+        """Beam width, and the share of the sample that it finds."""
         n, d = self.vectors.shape
         some = rng.choice(n, min(n, AUDITED), replace=False)
         noise = rng.standard_normal((len(some), d)).astype(np.float32)
@@ -183,10 +212,11 @@ class Graph:
         beam = BEAM
         while beam < n // 4:
             found, _ = self.search(moved, beam)
-            if (found == some[:, None]).any(1).mean() >= AUDIT_RECALL:
-                return beam
+            recall = float((found == some[:, None]).any(1).mean())
+            if recall >= AUDIT_RECALL:
+                return beam, recall
             beam *= 2
-        return n
+        return n, 1.0
 
     def near(self, queries: np.ndarray, threshold: float):
         """(query, node) pairs that may reach the threshold; a little below it counts too."""
@@ -210,90 +240,59 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _matrix(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _packed(classes: DataFrame, parts: int, threshold: float | None) -> DataFrame:
-    """(dim, part, ids, sizes, vectors, single, graph): classes dealt out by hash, each part as bytes; with its graph if there is a threshold."""
-
-    def made(dim: int, part: int, rows: list) -> dict:
-        ids, sizes, vectors = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.argsort(ids)
-        vectors = vectors[order].astype(np.float64)
-        single = bool((vectors == vectors.astype(np.float32)).all())  # stored in half the space, nothing lost
-        packed = None
-        if threshold is not None:
-            graph = Graph(_unit(vectors), threshold)
-            packed = pickle.dumps((graph.levels, graph.entry, graph.beam))
-        return {"dim": dim, "part": part, "ids": ids[order].tobytes(), "sizes": sizes[order].tobytes(), "vectors": vectors.astype(np.float32 if single else np.float64).tobytes(), "single": single, "graph": packed}
-
-    def run(batches):
-        now, rows = None, []
-        for batch in batches:
-            keys = np.stack([batch.column("dim").to_numpy(), batch.column("part").to_numpy()], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                key = tuple(int(x) for x in keys[lo])
-                if key != now and rows:
-                    yield _batch(made(*now, rows))
-                    rows = []
-                now = key
-                some = batch.slice(lo, hi - lo)
-                rows.append((some.column("node").to_numpy(), some.column("n").to_numpy(), _matrix(some.column("v"))))
-        if rows:
-            yield _batch(made(*now, rows))
-
-    keyed = classes.select("node", "n", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"))
-    return keyed.repartition(max(2, parts), "dim", "part").sortWithinPartitions("dim", "part").mapInArrow(run, PACKED)
-
-
-PACKED = "dim int, part int, ids binary, sizes binary, vectors binary, single boolean, graph binary"
-
-
-def _vectors(data: bytes, single: bool, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.float32 if single else np.float64).astype(np.float64).reshape(n, -1)
-
-
-def _batch(row: dict) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row.values(), kinds, strict=True)], names=list(row))
-
-
-def _searched(shards: DataFrame, blocks: DataFrame, n_shards: int, n_blocks: int, threshold: float) -> DataFrame:
-    """From each shard with each block: rows (a, null, links of a) and edges (a, b, null)."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                ids, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
-                vectors = _vectors(row["vectors"], row["single"], len(ids))
-                own = np.frombuffer(row["q_ids"], np.int64)
-                queries = _vectors(row["q_vectors"], row["q_single"], len(own))
-                graph = object.__new__(Graph)
-                graph.vectors = _unit(vectors).astype(np.float32)
-                graph.levels, graph.entry, graph.beam = pickle.loads(row["graph"])
-                lengths, q_lengths = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
-                links = np.zeros(len(own), np.int64)
-                edges: dict[int, int] = {}
-                for q, node in graph.near(_unit(queries).astype(np.float32), threshold):
-                    cosine = np.einsum("id,id->i", queries[q], vectors[node]) / (q_lengths[q] * lengths[node])
-                    true = (cosine >= threshold) & (own[q] != ids[node])
-                    q, node = q[true], node[true]
-                    np.add.at(links, q, sizes[node])
-                    _join(edges, own[q].tolist(), ids[node].tolist())
-                some = np.flatnonzero(links)
-                a = [*own[some].tolist(), *edges]
-                b = [*[None] * len(some), *(_root(edges, x) for x in edges)]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*links[some].tolist(), *[None] * len(edges)], pa.int64())], names=["a", "b", "n"])
-
-    asked = blocks.select("dim", F.col("part").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("single").alias("q_single"))
-    pairs = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(asked, ["dim", "block"])
-    dealt = pairs.repartition(max(2, min(2000, n_shards * n_blocks)), "dim", "part", "block")
-    return dealt.mapInArrow(run, "a long, b long, n long")
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
+GRAPHS = "dim int, part int, node long, n long, smallest long, v array<double>, links array<int>, beam int, recall double"
+
+
+def _graphs(classes: DataFrame, parts: int, threshold: float) -> DataFrame:
+    """The classes dealt out by hash to parts, each a row with its links in the part's graph, the beam width and its audited recall."""
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        graph = Graph(_unit(_matrix(table.column("v"))), threshold)
+        return table.append_column("links", graph.links()).append_column("beam", pa.array(np.full(len(table), graph.beam, np.int32))).append_column("recall", pa.array(np.full(len(table), graph.recall)))
+
+    keyed = classes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"), "node", "n", "smallest", "v")
+    return keyed.repartition(min(2000, 4 * parts), "dim", "part").groupBy("dim", "part").applyInArrow(build, GRAPHS)
+
+
+def _searched(graphs: DataFrame, parts: int, threshold: float) -> DataFrame:
+    """From each pair of parts: rows (a, null, links of a) and edges (a, b, null)."""
+
+    def search(key, shard: pa.Table, asking: pa.Table) -> pa.Table:
+        if not len(shard) or not len(asking):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        shard, same = shard.sort_by("node"), key[1].as_py() == key[2].as_py()
+        ids, sizes, vectors = shard.column("node").to_numpy(), shard.column("n").to_numpy(), _matrix(shard.column("v"))
+        own, own_sizes, queries = asking.column("node").to_numpy(), asking.column("n").to_numpy(), _matrix(asking.column("v"))
+        graph = Graph.from_links(_unit(vectors), shard.column("links").combine_chunks(), shard.column("beam")[0].as_py())
+        lengths, q_lengths = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
+        links, back = np.zeros(len(own), np.int64), np.zeros(len(ids), np.int64)
+        edges: dict[int, int] = {}
+        for every_q, every_node in graph.near(_unit(queries).astype(np.float32), threshold):
+            for at in range(0, len(every_q), VERIFIED):
+                q, node = every_q[at : at + VERIFIED], every_node[at : at + VERIFIED]
+                cosine = np.einsum("id,id->i", queries[q], vectors[node]) / (q_lengths[q] * lengths[node])
+                true = (cosine >= threshold) & (own[q] != ids[node])
+                q, node = q[true], node[true]
+                np.add.at(links, q, sizes[node])
+                if not same:
+                    np.add.at(back, node, own_sizes[q])
+                _join(edges, own[q].tolist(), ids[node].tolist())
+        some, met = np.flatnonzero(links), np.flatnonzero(back)
+        counted = len(some) + len(met)
+        a = [*own[some].tolist(), *ids[met].tolist(), *edges]
+        b = [*[None] * counted, *(_root(edges, x) for x in edges)]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([*links[some].tolist(), *back[met].tolist(), *[None] * len(edges)], pa.int64())})
+
+    keys, deal = ["dim", "part", "other"], min(4000, 3 * parts * (parts + 1) // 2)
+    searched = graphs.select("dim", "part", F.explode(F.sequence("part", F.lit(parts - 1))).alias("other"), "node", "n", "v", "links", "beam")
+    asking = graphs.select("dim", F.explode(F.sequence(F.lit(0), "part")).alias("asked"), F.col("part").alias("other"), "node", "n", "v").withColumnRenamed("asked", "part")
+    dealt = [x.repartition(deal, *keys).groupBy(*keys) for x in (searched, asking)]
+    return dealt[0].cogroup(dealt[1]).applyInArrow(search, "a long, b long, n long")
 
 
 def _root(up: dict[int, int], x: int) -> int:
@@ -310,25 +309,27 @@ def _join(up: dict[int, int], a: list[int], b: list[int]) -> None:
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each vector."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    """(vec_id, n_links, component_id, kept, recall) of each vector; recall is what the audit of its shard found, null if it links with nothing by rule."""
+    v = F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double"))
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = written(embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(fine, v).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows = written(embeddings.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.when(fine, v).alias("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     some = rows.where("v is not null")
     classes = written(some.groupBy("v").agg(F.min("row").alias("node"), F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("n")), "classes")
-    n = classes.count()
-    n_shards, n_blocks = max(1, -(-n // SHARD)), max(1, -(-n // QUERIES))
-    shards = written(_packed(classes, n_shards, threshold), "shards")
-    blocks = written(_packed(classes, n_blocks, None), "blocks")
-    found = written(_searched(shards, blocks, n_shards, n_blocks, threshold), "found")
-    removed(blocks)
-    removed(shards)
+    numbers = classes.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
+    parts = max(SHARDS, -(-4 * numbers // SHARD_BYTES))
+    graphs = written(_graphs(classes, parts, threshold), "graphs")
+    removed(classes)
+    found = written(_searched(graphs, parts, threshold), "found")
     label = components(found.where("b is not null")).select("node", "component")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    joined = written(classes.join(label, "node", "left").join(links, "node", "left").select(
-        "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"), "smallest"), "joined")
+    joined = written(graphs.select("v", "node", "n", "smallest", "recall").join(label, "node", "left").join(links, "node", "left").select(
+        "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"), "smallest", "recall"), "joined")
+    removed(graphs)
+    removed(found)
     names = written(joined.groupBy("component").agg(F.min("smallest").alias("component_id")), "names")
-    final = written(joined.join(names, "component").select("v", "n_links", "component_id"), "named")
-    out = some.join(final, "v").select("vec_id", "n_links", "component_id")
-    out = out.unionByName(rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    final = written(joined.join(names, "component").select("v", "n_links", "component_id", "recall"), "named")
+    removed(joined)
+    removed(names)
+    out = some.join(final, "v").select("vec_id", "n_links", "component_id", "recall")
+    out = out.unionByName(rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall")))
+    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "recall")

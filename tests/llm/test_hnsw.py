@@ -38,17 +38,19 @@ def planted(rng, n, d=16):
     return [[float(np.float32(x)) for x in r] for r in rows]
 
 
-@pytest.mark.parametrize(("shard", "queries"), [(64, 32), (4096, 8192)])
-def test_same_as_brute_force(spark, monkeypatch, shard, queries):
-    monkeypatch.setattr(hnsw, "SHARD", shard)
-    monkeypatch.setattr(hnsw, "QUERIES", queries)
+@pytest.mark.parametrize(("shards", "size"), [(1, 1 << 20), (6, 1 << 20), (6, 2000)])
+def test_same_as_brute_force(spark, monkeypatch, shards, size):
+    monkeypatch.setattr(hnsw, "SHARDS", shards)
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", size)
     rng = np.random.default_rng(5)
     rows = list(enumerate(planted(rng, 300)))
     rows += [(1000 + i, rows[7][1]) for i in range(20)]
     rows += [(2000, None), (2001, []), (2002, [0.0] * 16), (2003, [float("nan")] + [1.0] * 15), (2004, [None] + [1.0] * 15), (2005, [float("inf")] * 16)]
     rows += [(2006, [1.0, 0.0]), (2007, [2.0, 0.0]), (3, rows[3][1]), (None, rows[4][1])]
     df = spark.createDataFrame([(a, b, 1, "x") for a, b in rows], "vec_id long, embedding array<float>, label int, node string")
-    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors(df.repartition(3)).collect()), key=str)
+    found = near_vectors(df.repartition(3)).collect()
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found), key=str)
+    assert all((r["recall"] is None) == (2000 <= (r["vec_id"] or 0) <= 2005) for r in found) and min(r["recall"] or 1 for r in found) >= hnsw.AUDIT_RECALL
     assert got == sorted(brute(rows), key=str)
     assert near_vectors(df.limit(0)).count() == 0
 
@@ -71,3 +73,12 @@ def test_full_beams_widen_until_all_links_are_found():
     found = {(a, b) for q, n in graph.near(rows.astype(np.float32), 0.95) for a, b in zip(q.tolist(), n.tolist(), strict=True)}
     want = set(zip(*(x.tolist() for x in np.nonzero(rows @ rows.T >= 0.95)), strict=True))
     assert len(want & found) >= 0.99 * len(want) and len(want) > 500_000
+
+
+def test_a_graph_travels_as_rows():
+    rows = np.random.default_rng(3).standard_normal((3000, 8))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    graph = hnsw.Graph(rows, 0.95)
+    again = hnsw.Graph.from_links(rows, graph.links(), graph.beam)
+    assert again.entry == graph.entry and len(again.levels) == len(graph.levels) > 1
+    assert all((a == b).all() for a, b in zip(again.levels, graph.levels, strict=True))
