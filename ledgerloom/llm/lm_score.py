@@ -2,14 +2,17 @@
 
 A text is its words, lower-cased in A-Z, and one end. The model draws each token: the end, or
 a word. A word comes from a lattice whose arcs are the pieces of an existing subword
-vocabulary, single bytes, and the word itself: its probability is the sum over all ways
-through the lattice, found by a forward recursion in log space. The arcs of pieces weigh what
-the vocabulary's own segmentation of all distinct training words counts; the word's own arc
-weighs its training count less DISCOUNT, and what the discounts free goes to the pieces.
+vocabulary and single bytes, for what no piece spells: its probability is the sum over all
+ways through the lattice, found by a forward recursion in log space. So the document's
+probability is the marginal over all segmentations of all its words.
 
-    P(word) = max(c - D, 0) / W + D * T / W * sum over segmentations of the product of p(piece)
+    P(word) = (1 - P(end)) * sum over segmentations of the product of p(piece), times p(end of word)
 
-with W training words, T of them distinct. Beside it stands the base, a smoothed unigram.
+The scores in the vocabulary file are those of a BPE vocabulary, which are ranks of merges and
+no log probabilities: as such they cannot weight anything. A piece therefore weighs what the
+vocabulary's own segmentation of all training words, each as often as it occurs, counts for it,
+plus 0.1. The vocabulary is never trained, only its scores are counted anew. Beside the model
+stands the base, a smoothed unigram of whole words.
 
 All training words are counted; nothing is sampled. Words with at least the share FREQUENT of
 all tokens, a million at most, are broadcast with their weights. All others, which are rare
@@ -17,7 +20,9 @@ and so never skewed, are joined with the table of words by shuffling.
 
 Cases: null texts count as empty, which is one end. Repeated rows are scored one by one and
 counted in training each. Null ids count as the empty id when parts are dealt. Without
-training texts all pieces weigh the same. Other columns do not travel. Texts are read whole.
+training texts all pieces weigh the same. Of pieces with equal surface one stays. Arcs are as
+long as the longest piece, texts and words are read whole. An empty table gives an empty
+table. Other columns do not travel, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +36,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import removed, written
 
-FREQUENT, DISCOUNT = 1e-6, 0.75
+FREQUENT = 1e-6
 #: Distinct words of a task after which its counts are passed on.
 FLUSH = 1_000_000
-#: Longest arc, in characters.
-LONGEST = 16
 END = b"\n"  # no word holds it
 
 
@@ -69,22 +72,25 @@ def _count_words(docs: DataFrame, text: str, train: str) -> DataFrame:
 
 
 def piece_counts(words: DataFrame, model: bytes) -> dict[bytes, int]:
-    """How often the vocabulary's segmentation of all distinct training words uses each piece; END ends each word."""
+    """How often the vocabulary's segmentation of all training words uses each piece; END ends each word. words: word, c."""
     shared = words.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import sentencepiece
 
         encoder = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
-        counts: Counter = Counter()
+        totals = np.zeros(encoder.get_piece_size(), dtype=np.int64)
+        ends = 0
         for batch in batches:
-            texts = [w.decode() for w in batch.column(0).to_pylist()]
-            counts[END] += len(texts)
-            for pieces in encoder.encode(texts, out_type=str, num_threads=1):
-                counts.update(pieces)
-        yield pa.RecordBatch.from_arrays([pa.array([surface(p) if p != END else END for p in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["piece", "n"])
-
-    rows = words.where("c > 0").select("word").mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+            times = batch.column(1).to_numpy()
+            pieces = encoder.encode([w.decode() for w in batch.column(0).to_pylist()], num_threads=1)
+            np.add.at(totals, np.concatenate([np.empty(0, np.int64), *pieces]).astype(np.int64), np.repeat(times, [len(x) for x in pieces]))
+            ends += int(times.sum())
+        used = np.flatnonzero(totals).tolist()
+        names = [END, *(surface(encoder.id_to_piece(i)) for i in used)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([ends, *totals[used].tolist()], pa.int64())], names=["piece", "n"])
+
+    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     return {bytes(r["piece"]): r["n"] for r in rows}
 
 
@@ -119,14 +125,15 @@ class Lattice:
         for c, weight in list(self.arcs.items()):
             if len(c) == 1 and ord(c) > 127:  # a letter's own arc and the way over its bytes
                 self.arcs[c] = np.logaddexp(weight, sum(self.byte[b] for b in c.encode()))
+        self.longest = max(map(len, self.arcs), default=1)
 
     def log_probability(self, word: str) -> float:
         """Log of the sum over all segmentations: the forward recursion in log space."""
-        arcs, exp = self.arcs, math.exp
+        arcs, exp, longest = self.arcs, math.exp, self.longest
         ahead = [0.0]
         for i in range(1, len(word) + 1):
             terms = []
-            for j in range(max(0, i - LONGEST), i):
+            for j in range(max(0, i - longest), i):
                 weight = arcs.get(word[j:i])
                 if weight is not None:
                     terms.append(ahead[j] + weight)
@@ -142,9 +149,6 @@ class Totals:
 
     def __init__(self, tokens: int, texts: int, distinct: int):
         self.tokens, self.texts, self.distinct = tokens, texts, distinct  # distinct: words, without the end
-        words = tokens - texts
-        self.own = 1 / words if words else 0.0
-        self.spread = DISCOUNT * distinct / words if words else 1.0
         end = (texts + 0.5) / (tokens + 1)
         self.log_end, self.log_word = math.log(end), math.log1p(-end)
 
@@ -152,10 +156,9 @@ class Totals:
         kinds = self.distinct + (self.texts > 0)
         return math.log10((c + 0.5) / (self.tokens + 0.5 * (kinds + 1)))
 
-    def word(self, c: int, pieces: float) -> float:
-        """log10 of the probability of a word token with this count and this log probability by pieces."""
-        top = max(c - DISCOUNT, 0.0) * self.own
-        return (self.log_word + np.logaddexp(math.log(top) if top else -math.inf, math.log(self.spread) + pieces)) / math.log(10)
+    def word(self, pieces: float) -> float:
+        """log10 of the probability of a word token with this log probability by pieces."""
+        return (self.log_word + pieces) / math.log(10)
 
 
 def _weighed(words: DataFrame, weights: dict[bytes, float], totals: Totals) -> DataFrame:
@@ -166,7 +169,7 @@ def _weighed(words: DataFrame, weights: dict[bytes, float], totals: Totals) -> D
         lattice = Lattice(shared.value)
         for batch in batches:
             counts = batch.column(1).to_pylist()
-            scores = [totals.word(c, lattice.log_probability(w.decode())) for w, c in zip(batch.column(0).to_pylist(), counts, strict=True)]
+            scores = [totals.word(lattice.log_probability(w.decode())) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([totals.base(c) for c in counts]), pa.array(scores, pa.float64())], names=["word", "c", "base", "score"])
 
     return words.select("word", "c").mapInArrow(run, "word binary, c long, base double, score double")
@@ -177,7 +180,7 @@ def score_texts(docs: DataFrame, held_out: str, model: bytes, doc_id: str = "doc
 
     model: the bytes of a subword vocabulary file.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(held_out).alias("held_out"))
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{held_out}`").alias("held_out"))
     counted = written(_count_words(docs.withColumn("train", ~F.col("held_out")), "text", "train"), "counts")
     words = counted.where(F.col("word") != F.lit(END))
     sums = words.agg(F.sum("c").alias("words"), F.sum((F.col("c") > 0).cast("long")).alias("distinct")).first()

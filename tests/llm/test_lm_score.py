@@ -34,6 +34,21 @@ def test_forward_recursion_sums_all_segmentations():
     assert math.isfinite(lattice.log_probability("ab" * 20_000))
 
 
+def test_no_arc_is_too_long():
+    long = "ab" * 40
+    lattice = Lattice({**{bytes([i]): -9.0 for i in range(256)}, long.encode(): -2.0})
+    both = math.log(math.exp(-2.0) + math.exp(-9.0 * 80)) + lattice.end
+    assert math.isclose(lattice.log_probability(long), both) and lattice.longest == 80
+
+
+def test_pieces_weigh_as_often_as_their_words_occur(spark):
+    words = spark.createDataFrame([(b"the", 5), (b"cat", 1), (b"zzz", 0)], "word binary, c long")
+    counts = piece_counts(words, subword_model())
+    assert counts[END] == 6 and counts[b"the"] == 5 and b"zzz" not in counts
+    weights = piece_weights(subword_model(), counts)
+    assert math.isclose(sum(map(math.exp, weights.values())), 1) and weights[b"the"] > weights[b"cat"]
+
+
 @pytest.mark.parametrize("frequent", [1e-6, 0.01, 1.0])
 def test_same_as_brute_force(spark, monkeypatch, frequent):
     """Whatever words are broadcast."""
@@ -52,7 +67,7 @@ def test_same_as_brute_force(spark, monkeypatch, frequent):
         assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[r["doc_id"]], len(own), n)
         assert r["n_known"] == sum(counts[w] > 0 for w in own)
         assert math.isclose(r["base_score"], sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9)
-        want = sum(totals.word(counts[w], lattice.log_probability(w)) for w in own[:-1]) + totals.log_end / math.log(10)
+        want = sum(totals.word(lattice.log_probability(w)) for w in own[:-1]) + totals.log_end / math.log(10)
         assert math.isclose(r["score"], want, rel_tol=1e-9)
     out = [r for r in rows if r["held_out"]]
     plain = Lattice(piece_weights(subword_model(), {}))
