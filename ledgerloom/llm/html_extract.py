@@ -3,8 +3,8 @@
 The standard library's parser turns a page into lines, one for each block of text, with the
 number of tags that stand in and around it and the share of its text inside links. Elements
 that are no article by their own name, role or class (menus, page headers, footers, sidebars,
-notices, adverts, forms, comments, code) are marked and left out. A class or id marks by its
-whole name or last word, and never an article, main or body element; a container that holds
+notices, adverts, forms, comments, code) are marked and left out. A class, or the id of a container, marks
+by its whole name or last word, and never an article, main or body element; a container that holds
 an article or most of the page's text outside links is marked by a class only where an
 article or main element has at least a fifth of the text without it. Text-to-tag ratios of the lines
 are smoothed with a Gaussian, and lines above the threshold, the standard deviation of the
@@ -18,15 +18,17 @@ with a target.
 Cases: a null or empty page, and one without text outside marked elements, gives an empty
 text with 0 characters. Unclosed and badly nested tags are closed by the next element that
 cannot stand inside them. Character references are decoded, white space inside a block
-becomes one space, blocks are joined by one newline; pages are read whole. Repeated rows are
-extracted one by one. Other columns pass through; result columns replace input columns of
+becomes one space, blocks are joined by one newline; pages are read whole. The work is linear
+in the page, however deep its elements stand in each other. Of regions with equal mass the
+inner one is taken. Repeated rows are extracted one by one. An empty table gives an empty table. Other columns pass through; result columns replace input columns of
 the same name.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -73,31 +75,33 @@ class Line:
     text: str
     tags: int
     linked: int
-    path: tuple[int, ...]
+    place: int
     title: bool = False
 
 
 @dataclass
 class Raw:
-    """A line before it is known which class names mark: its parts with text, named elements around, in a link."""
+    """A line before it is known which class names mark: its parts with text, innermost named element around, in a link."""
 
-    parts: list[tuple[str, tuple[int, ...], bool]]
+    parts: list[tuple[str, int, bool]]
     tags: int
-    path: tuple[int, ...]
+    place: int
     title: bool
 
 
 @dataclass
 class Element:
     tag: str
-    number: int
     marked: bool
-    path: tuple[int, ...] = field(default=())
+    #: Innermost container; innermost element that a class names as no article; innermost article. 0 if there is none.
+    place: int = 0
+    name: int = 0
+    article: int = 0
     link: bool = False
     title: bool = False
-    #: Elements around that a class names as no article; articles around.
-    names: tuple[int, ...] = field(default=())
-    articles: tuple[int, ...] = field(default=())
+    heading: bool = False
+    #: Of marked elements: the outermost mark is a header within an article.
+    own_header: bool = False
 
 
 def _is_marked(tag: str, attrs: dict[str, str | None]) -> bool:
@@ -111,11 +115,11 @@ def _is_marked(tag: str, attrs: dict[str, str | None]) -> bool:
 
 
 def _named(tag: str, attrs: dict[str, str | None]) -> list[list[str]]:
-    """Words of each class or id that names something beside the article."""
+    """Words of each class or id that names something beside the article; the id of a paragraph or heading is a target of links and names nothing."""
     if tag in ("html", "body", "main", "article"):
         return []
     found = []
-    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or '' if tag in _CONTAINERS else ''}".split():
         words = [w.lower() for w in _WORD.findall(name)]
         while len(words) > 1 and words[-1] in ENDS:
             words.pop()
@@ -125,84 +129,117 @@ def _named(tag: str, attrs: dict[str, str | None]) -> list[list[str]]:
 
 
 class Lines(HTMLParser):
-    """Collects a page's lines from parser events."""
+    """Collects a page's lines from parser events.
+
+    Containers, named elements and articles have numbers, inner ones higher ones than those
+    around them, and point to the next one around; 0 is the page. The stack is cut into scopes,
+    one for each open container, which count their open tags, so that no event searches it in vain.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.raw: list[Raw] = []
-        self.stack: list[Element] = [Element("", 0, False, (0,))]
+        self.stack: list[Element] = [Element("", False)]
+        self.scopes: list[Counter] = [Counter()]
+        self.containers: Counter = Counter()
+        self.count = 0
+        #: By number: tag of containers; the next container, named element and named element around an article.
         self.tags_of = {0: ""}
-        #: Of named elements: characters outside links, whether they hold an article's text, whether their headings are an article's.
+        self.around = {0: 0}
+        self.named_around: dict[int, int] = {}
+        self.name_of_article: dict[int, int] = {}
+        #: Characters outside links by innermost named element; articles with such text; named elements whose headings are an article's.
         self.size_of: dict[int, int] = {}
-        self.holds: set[int] = set()
+        self.texts: set[int] = set()
         self.headers: set[int] = set()
         self._total = self._plain = 0
-        self._parts: list[tuple[str, tuple[int, ...], bool]] = []
+        self._parts: list[tuple[str, int, bool]] = []
         self._tags = 0
 
     def cut(self) -> None:
         if any(not text.isspace() for text, _, _ in self._parts):
             top = self.stack[-1]
-            self.raw.append(Raw(self._parts, self._tags, top.path, top.title))
+            self.raw.append(Raw(self._parts, self._tags, top.place, top.title))
             self._tags = 0
         self._parts = []
 
+    def _marks(self) -> set[int]:
+        """Named elements that are left out, with all named elements in them."""
+        inner_first = sorted(self.named_around, reverse=True)
+        sizes, holds = dict(self.size_of), {self.name_of_article[a] for a in self.texts}
+        for n in inner_first:
+            around = self.named_around[n]
+            sizes[around] = sizes.get(around, 0) + sizes.get(n, 0)
+            if n in holds:
+                holds.add(around)
+        every = 5 * self._plain >= self._total
+        marks: set[int] = set()
+        for n in reversed(inner_first):
+            if self.named_around[n] in marks or every or (n not in holds and 2 * sizes.get(n, 0) <= self._total):
+                marks.add(n)
+        return marks
+
     def lines(self) -> list[Line]:
         """The lines without what is marked by class names."""
-        marks = set(self.size_of)
-        if 5 * self._plain < self._total:
-            marks = {n for n, size in self.size_of.items() if n not in self.holds and 2 * size <= self._total}
+        marks = self._marks()
         out, tags = [], 0
         for raw in self.raw:
-            parts = [(text, link) for text, names, link in raw.parts if marks.isdisjoint(names)]
+            parts = [(text, link) for text, name, link in raw.parts if name not in marks]
             text, tags = " ".join("".join(x for x, _ in parts).split()), tags + raw.tags
             if text:
-                out.append(Line(text, tags, min(sum(len(x.strip()) for x, link in parts if link), len(text)), raw.path, raw.title))
+                out.append(Line(text, tags, min(sum(len(x.strip()) for x, link in parts if link), len(text)), raw.place, raw.title))
                 tags = 0
         return out
 
-    def _hidden(self) -> bool:
-        """Marked, unless it is the heading of an article's own header."""
-        top = self.stack[-1]
-        if not top.marked:
-            return False
-        marks = [e for e in self.stack if e.marked]
-        if marks[0].tag != "header" or not any(e.tag in HEADINGS for e in self.stack):
-            return True
-        return not any(e.tag in ("article", "main") for e in self.stack[: self.stack.index(marks[0])])
+    def _pop(self) -> str:
+        tag = self.stack.pop().tag
+        if tag in _CONTAINERS:
+            self.scopes.pop()
+            self.containers[tag] -= 1
+        else:
+            self.scopes[-1][tag] -= 1
+        return tag
 
     def handle_starttag(self, tag: str, attrs) -> None:
         self._tags += 1
         if tag in BLOCKS:
             self.cut()
-        elif tag in ("br", "td", "th", "img"):
-            self._parts.append((" ", (), False))
+        elif tag in ("br", "td", "th"):
+            self._parts.append((" ", 0, False))
         if tag in VOID:
             return
-        closes = _CLOSES.get(tag)
-        if closes:
-            at = len(self.stack) - 1
-            while at > 0 and self.stack[at].tag not in _CONTAINERS:
-                if self.stack[at].tag in closes:
-                    del self.stack[at:]
-                at -= 1
-        number = len(self.tags_of)
-        self.tags_of[number] = tag
+        for closed in _CLOSES.get(tag, ()):
+            while self.scopes[-1][closed] > 0:
+                self._pop()
         top = self.stack[-1]
-        marked = top.marked or _is_marked(tag, dict(attrs))
-        names = top.names
-        if tag in HEADINGS and names:
-            names = tuple(n for n in names if n not in self.headers)
-        found = [] if marked else _named(tag, dict(attrs))
+        given = dict(attrs)
+        self.count += 1
+        number, name = self.count, top.name
+        marked = top.marked or _is_marked(tag, given)
+        own_header = top.own_header if top.marked else marked and tag == "header" and bool(top.article)
+        if tag in HEADINGS:
+            while name in self.headers:
+                name = self.named_around[name]
+        found = [] if marked else _named(tag, given)
         if found:
-            names = (*names, number)
-            self.size_of[number] = 0
-            if all(words[-1] == "header" and (top.articles or words[0] in STORIES) for words in found):
+            self.named_around[number] = name
+            name = number
+            if all(words[-1] == "header" and (top.article or words[0] in STORIES) for words in found):
                 self.headers.add(number)
-        articles = (*top.articles, number) if tag in ("article", "main") else top.articles
-        path = (*top.path, number) if tag in _CONTAINERS else top.path
-        link = top.link or (tag == "a" and any(name == "href" for name, _ in attrs))
-        self.stack.append(Element(tag, number, marked, path, link, top.title or tag == "h1", names, articles))
+        article = top.article
+        if tag in ("article", "main"):
+            article = number
+            self.name_of_article[number] = name
+        place = top.place
+        if tag in _CONTAINERS:
+            self.tags_of[number], self.around[number] = tag, place
+            place = number
+            self.scopes.append(Counter())
+            self.containers[tag] += 1
+        else:
+            self.scopes[-1][tag] += 1
+        link = top.link or (tag == "a" and any(key == "href" for key, _ in attrs))
+        self.stack.append(Element(tag, marked, place, name, article, link, top.title or tag == "h1", top.heading or tag in HEADINGS, own_header))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -211,26 +248,22 @@ class Lines(HTMLParser):
         self._tags += 1
         if tag in BLOCKS:
             self.cut()
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.stack[at].tag == tag:
-                del self.stack[at:]
-                return
-            if self.stack[at].tag in _CONTAINERS and tag not in _CONTAINERS:
-                return
+        if tag in _CONTAINERS if self.containers[tag] > 0 else self.scopes[-1][tag] > 0:
+            while self._pop() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        if self._hidden():
-            return
         top = self.stack[-1]
-        self._parts.append((data, top.names, top.link))
+        if top.marked and not (top.own_header and top.heading):  # only the heading of an article's own header is shown
+            return
+        self._parts.append((data, top.name, top.link))
         size = 0 if top.link else len(data.strip())
         if size:
             self._total += size
-            self._plain += size if top.articles and not top.names else 0
-            for n in top.names:
-                self.size_of[n] += size
-                if top.articles and top.articles[-1] > n:
-                    self.holds.add(n)
+            self._plain += size if top.article and not top.name else 0
+            self.size_of[top.name] = self.size_of.get(top.name, 0) + size
+            if top.article:
+                self.texts.add(top.article)
 
 
 def smoothed(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -251,33 +284,46 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = smoothed(np.array([(len(x.text) - x.linked) / max(1, x.tags) for x in lines], dtype=np.float64))
     threshold = min(float(ratios.std()), float(ratios.mean()))
-    mass: dict[int, float] = {}
-    total = 0.0
+    inner_first = sorted(page.around, reverse=True)[:-1]
+
+    def up(sums: dict[int, float]) -> dict[int, float]:
+        """What each container holds, with all containers in it."""
+        for n in inner_first:
+            if sums.get(n):
+                sums[page.around[n]] = sums.get(page.around[n], 0) + sums[n]
+        return sums
+
+    def inside(region: int, shown: list[Line]) -> str:
+        held = {region}
+        for n in reversed(inner_first):
+            if page.around[n] in held:
+                held.add(n)
+        return "\n".join(x.text for x in shown if x.place in held)
+
+    own: dict[int, float] = {}
     for line, ratio in zip(lines, ratios, strict=True):
         if ratio >= threshold:
-            weight = len(line.text) - line.linked + 1e-3
-            total += weight
-            for number in line.path:
-                mass[number] = mass.get(number, 0.0) + weight
+            own[line.place] = own.get(line.place, 0.0) + len(line.text) - line.linked + 1e-3
+    mass = up(own)
     articles = {n: m for n, m in mass.items() if page.tags_of[n] in ("article", "main")}
     most = max(articles.values(), default=0.0)
-    if 2 * most > total:
-        region = max(n for n, m in articles.items() if m >= 0.999 * most)
-        return "\n".join(x.text for x in lines if region in x.path)
+    if 2 * most > mass[0]:
+        return inside(max(n for n, m in articles.items() if m >= 0.999 * most), lines)
     content = [i for i, ratio in enumerate(ratios) if ratio >= threshold]
     content += [i for i in range(content[0]) if lines[i].title and 2 * lines[i].linked <= len(lines[i].text)][-1:]
-    region = max(set.intersection(*(set(lines[i].path) for i in content)))
+    held = up(dict(Counter(lines[i].place for i in content)))
+    region = max(n for n, m in held.items() if m == len(content))
     sizes: dict[int, list[int]] = {}
     for line in lines:
-        size = sizes.setdefault(line.path[-1], [0, 0])
+        size = sizes.setdefault(line.place, [0, 0])
         size[0] += line.linked
         size[1] += len(line.text)
 
     def is_menu(line: Line) -> bool:
-        linked, size = sizes[line.path[-1]]
+        linked, size = sizes[line.place]
         return 2 * line.linked > len(line.text) and 2 * linked > size
 
-    return "\n".join(x.text for x in lines if region in x.path and not is_menu(x))
+    return inside(region, [x for x in lines if not is_menu(x)])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 import re
 
 import pytest
@@ -87,3 +89,22 @@ def test_rows(spark):
     out = extract(pages).collect()
     assert [r["text"] for r in out] == ["", "", CASES[4][1]]
     assert extract(pages.limit(0)).count() == 0
+
+
+STORY = "A long story that goes on and on, with many words and hardly any tags, as articles do. "
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<div class='nav'>", "<span>", "<article>", "<b><div>", "<p><i>", "<div class='nav'><article>x"])
+def test_deep_nesting_takes_linear_time(opened):
+    def seconds(n):
+        began = time.process_time()
+        main_text(opened * n + STORY * 3 + "</b></i>" * n)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 30 * max(seconds(8_000), 0.05)
+
+
+def test_what_stands_inside_the_article_stays():
+    page = f"<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{STORY * 3}</p><p id='legal'>{STORY}</p><p><a href=/x>{STORY}</a></p><p>in<img src=x>side</p></article><footer>end</footer>"
+    assert main_text(page) == "\n".join(["Title", (STORY * 3).strip(), STORY.strip(), STORY.strip(), "inside"])
