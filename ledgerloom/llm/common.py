@@ -31,11 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Bytes of a batch that Spark hands to Python while a table is written.
+BATCH = "8m"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(df: DataFrame) -> None:
