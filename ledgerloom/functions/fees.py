@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
@@ -17,9 +18,15 @@ def cbor_length(n: Column) -> Column:
     return F.when(n < 24, 1).when(n < 1 << 8, 2).when(n < 1 << 16, 3).when(n < 1 << 32, 5).otherwise(9)
 
 
-def _ceil_share(x: Column, price: tuple[int, int]) -> Column:
-    """x times a rational price, exact, in units of 1 / (10**7)."""
-    return x.cast("decimal(28,0)") * F.lit(price[0] * (10_000_000 // price[1])).cast("decimal(10,0)")
+def execution_fee(mem: Column, steps: Column, params: Params = DEFAULT) -> Column:
+    """Units times rational prices over a common denominator, exact, their sum rounded up once."""
+    whole = math.lcm(params.price_mem[1], params.price_steps[1])
+
+    def shares(x: Column, price: tuple[int, int]) -> Column:
+        return x.cast("decimal(19,0)") * F.lit(price[0] * (whole // price[1])).cast("decimal(17,0)")
+
+    total = shares(mem, params.price_mem) + shares(steps, params.price_steps) + F.lit(whole - 1).cast("decimal(19,0)")
+    return F.call_function("div", total, F.lit(whole).cast("decimal(19,0)"))
 
 
 def ref_script_fee(size: Column, params: Params = DEFAULT) -> Column:
@@ -38,8 +45,7 @@ def ref_script_fee(size: Column, params: Params = DEFAULT) -> Column:
 
 def min_fee(size: Column, mem: Column, steps: Column, ref_bytes: Column, params: Params = DEFAULT) -> Column:
     """a * size + b, execution prices rounded up once, and reference-script bytes."""
-    prices = (_ceil_share(mem, params.price_mem) + _ceil_share(steps, params.price_steps)) / F.lit(10_000_000)
-    return (size * params.fee_per_byte + params.fee_fixed + F.ceil(prices) + ref_script_fee(ref_bytes, params)).cast("long")
+    return (size * params.fee_per_byte + params.fee_fixed + execution_fee(mem, steps, params) + ref_script_fee(ref_bytes, params)).cast("long")
 
 
 def fixed_point(estimate: Callable[[Column], Column]) -> Column:

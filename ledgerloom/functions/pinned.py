@@ -7,18 +7,35 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir; a temporary folder only where none is named."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; in local mode, where none is named, a temporary folder."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = tempfile.mkdtemp(prefix="ledgerloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(own)
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/pinned-{uuid.uuid4().hex}.parquet"
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = tempfile.mkdtemp(prefix="ledgerloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/pinned-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names; other failures are raised."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import views as V
 from ..functions import sampling
-from ..functions.pinned import pinned
+from ..functions.pinned import pinned, shared_folder
 from ..operators import assembly as A, balance as B, chain as C, checks as K, execution as E, indices as I, reconcile as R, utxo as U
 from ..params import DEFAULT
-from ..sources.readers import parse_utxo_lines
+from ..sources.readers import EVENTS, parse_genesis_funds, parse_params, parse_tx_hex, parse_utxo_lines, read_chain_events
+from ..streaming.follow import OUT as OUT_ACTIONS, follow_stream, live_after, utxo_at, utxo_stream
 from .submissions import outcome_counts, route_submissions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +58,7 @@ class Data:
         )
 
     def wallets(self) -> DataFrame:
-        return self.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("address"))
+        return self.supplier.where("s_suppkey % 3 = 1").select(F.col("s_suppkey").alias("address"))
 
     def spent(self) -> DataFrame:
         """Resolved spent inputs."""
@@ -67,9 +69,9 @@ class Data:
         return self.eval_result.where("ok").select("tx_id", "mem", "steps")
 
     def ready(self) -> DataFrame:
-        """What balancing needs, for every transaction with an input."""
+        """What balancing needs, for every transaction, also those without inputs."""
         ref = U.ref_script_bytes(self.tx_input, self.tx_output)
-        return B.balance_inputs(self.tx, self.spent(), self.tx_output, self.units(), ref).where("total_in > 0")
+        return B.balance_inputs(self.tx, self.spent(), self.tx_output, self.units(), ref)
 
     def redeemer(self) -> DataFrame:
         """Placeholder redeemers of script spends."""
@@ -81,7 +83,7 @@ class Data:
 
 _RESOLVED = "keys AS (SELECT DISTINCT tx_id, src_tx_id, src_ix FROM tx_input)"
 _LIVE = "live AS (SELECT * FROM tx_output o WHERE NOT EXISTS (SELECT 1 FROM tx_input i WHERE i.kind = 'spend' AND i.src_tx_id = o.tx_id AND i.src_ix = o.ix))"
-_WALLETS = "wallets AS (SELECT s_suppkey AS address FROM supplier WHERE s_acctbal < 0)"
+_WALLETS = "wallets AS (SELECT s_suppkey AS address FROM supplier WHERE s_suppkey % 3 = 1)"
 _OUT = "tx_id, ix, address, lovelace, policy_id, asset_name, qty, has_datum, script_bytes"
 OUT = _OUT.split(", ")
 
@@ -172,7 +174,7 @@ def u10_select_coins(spark, sf_dir):
     return _coins(Data(spark, sf_dir))
 
 
-@query(f""", {_COINS}, best AS (SELECT address AS owner, max(struct_pack(lovelace := lovelace, tx_id := tx_id, ix := ix)) AS c FROM live WHERE NOT has_datum AND address IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1)
+@query(f""", {_COINS}, best AS (SELECT address AS owner, max(struct_pack(lovelace := lovelace, tx_id := tx_id, ix := ix)) AS c FROM live WHERE NOT has_datum AND address IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 1) GROUP BY 1)
 SELECT owner, tx_id, ix, lovelace, 'spend' AS kind FROM run WHERE before < target AND tx_id IS NOT NULL UNION ALL SELECT owner, c.tx_id, c.ix, c.lovelace, 'collateral' FROM best""")
 def u10_with_collateral(spark, sf_dir):
     d = Data(spark, sf_dir)
@@ -335,10 +337,10 @@ def b2_change_assets(spark, sf_dir):
 _PRICES = "(mem * 577000 + steps * 721 + 9999999) // 10000000"
 
 
-@query(f" SELECT tx_id, ix, 44 * (200 + ix) + 155381 + {_PRICES} + 44 * (mem // 1000) AS fee FROM eval_result")
+@query(f" SELECT tx_id, purpose, ix, 44 * (200 + ix) + 155381 + {_PRICES} + 44 * (mem // 1000) AS fee FROM eval_result")
 def b3_min_fee(spark, sf_dir):
     fee = B.min_fee(F.lit(200) + F.col("ix"), F.col("mem"), F.col("steps"), F.expr("mem div 1000"))
-    return Data(spark, sf_dir).eval_result.select("tx_id", "ix", fee.alias("fee"))
+    return Data(spark, sf_dir).eval_result.select("tx_id", "purpose", "ix", fee.alias("fee"))
 
 
 def _length(x: str) -> str:
@@ -349,8 +351,7 @@ _UNITS = "(SELECT tx_id, CAST(sum(mem) AS BIGINT) AS mem, CAST(sum(steps) AS BIG
 _READY = f"""{_SPENT}, ready AS (SELECT tx_id, base_size, CAST(coalesce(total_in, 0) AS BIGINT) AS total_in, CAST(coalesce(total_out, 0) AS BIGINT) AS total_out, coalesce(n_outputs, 0) AS n_outputs, coalesce(mem, 0) AS mem, coalesce(steps, 0) AS steps, coalesce(ref_bytes, 0) AS ref_bytes
   FROM tx LEFT JOIN (SELECT tx_id, sum(lovelace) AS total_in FROM spent GROUP BY 1) USING (tx_id) LEFT JOIN (SELECT tx_id, sum(lovelace) AS total_out, count(*) AS n_outputs FROM tx_output GROUP BY 1) USING (tx_id)
   LEFT JOIN {_UNITS.format("(SELECT * FROM eval_result WHERE ok)")} USING (tx_id)
-  LEFT JOIN (SELECT i.tx_id, CAST(sum(script_bytes) AS BIGINT) AS ref_bytes FROM (SELECT DISTINCT tx_id, src_tx_id, src_ix FROM tx_input WHERE kind = 'reference') i JOIN tx_output o ON o.tx_id = src_tx_id AND o.ix = src_ix GROUP BY 1) USING (tx_id)
-  WHERE total_in > 0),
+  LEFT JOIN (SELECT i.tx_id, CAST(sum(script_bytes) AS BIGINT) AS ref_bytes FROM (SELECT DISTINCT tx_id, src_tx_id, src_ix FROM tx_input WHERE kind = 'reference') i JOIN tx_output o ON o.tx_id = src_tx_id AND o.ix = src_ix GROUP BY 1) USING (tx_id)),
 search AS (
   SELECT tx_id, 0 AS k, CAST(0 AS BIGINT) AS fee, false AS stop, base_size, total_in - total_out AS rest, {_PRICES} + 44 * ref_bytes + 155381 AS other FROM ready
   UNION ALL SELECT tx_id, k + 1, CASE WHEN est <= fee THEN fee ELSE est END, est <= fee, base_size, rest, other
@@ -366,9 +367,10 @@ def b4_balance(spark, sf_dir):
 
 @query(f""", {_SPENT}, requests AS (SELECT tx_id, base_size, total_in, 1 + owner % 5 AS n, 50000 AS tip FROM tx JOIN (SELECT tx_id, CAST(sum(lovelace) // 10 AS BIGINT) AS total_in FROM spent GROUP BY 1) USING (tx_id)),
 search AS (SELECT *, 0 AS k, CAST(0 AS BIGINT) AS fee, false AS stop FROM requests UNION ALL SELECT tx_id, base_size, total_in, n, tip, k + 1, CASE WHEN est <= fee THEN fee ELSE est END, est <= fee
-  FROM (SELECT *, 44 * (base_size + 106 + {_length("fee")} + n * {_length("greatest(0, CAST(floor((total_in - fee - n * tip) / n) AS BIGINT))")}) + 155381 AS est FROM search WHERE NOT stop AND k < 11)),
+  FROM (SELECT * EXCLUDE (rest), 44 * (base_size + 106 + {_length("fee")} + CASE WHEN rest < 0 THEN 0 ELSE (n - 1) * {_length("(rest // n)")} + {_length("(rest // n + rest % n)")} END) + 155381 AS est FROM (SELECT *, total_in - fee - n * tip AS rest FROM search WHERE NOT stop AND k < 11))),
 done AS (SELECT *, total_in - fee - n * tip AS total FROM search WHERE stop)
-SELECT tx_id, ix, CASE WHEN total >= 0 THEN total // n + CASE WHEN ix = 0 THEN total % n ELSE 0 END END AS lovelace, fee, CASE WHEN total < 0 THEN 'OutputError' END AS error FROM (SELECT *, unnest(range(n)) AS ix FROM done)""")
+SELECT tx_id, ix, total // n + CASE WHEN ix = 0 THEN total % n ELSE 0 END AS lovelace, fee, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, unnest(range(n)) AS ix FROM done WHERE total >= 0)
+UNION ALL SELECT tx_id, NULL, NULL, fee, 'OutputError' FROM done WHERE total < 0""")
 def b5_balance_fee_loop(spark, sf_dir):
     d = Data(spark, sf_dir)
     total = d.spent().groupBy("tx_id").agg(F.expr("sum(lovelace) div 10").alias("total_in"))
@@ -408,15 +410,15 @@ def e2_patch_units(spark, sf_dir):
     return E.patch_units(d.redeemer(), d.eval_result, _margin).select("tx_id", "purpose", "ix", "data", "mem", "steps")
 
 
-@query(" SELECT tx_id, arg_min(purpose, ix) AS purpose, min(ix) AS ix, count(*) AS n_failed FROM eval_result WHERE NOT ok GROUP BY tx_id")
+@query(""" SELECT tx_id, purpose, ix, n_failed FROM (SELECT tx_id, purpose, ix, row_number() OVER (PARTITION BY tx_id ORDER BY CASE purpose WHEN 'spend' THEN 0 WHEN 'mint' THEN 1 ELSE 2 END, ix) AS k, count(*) OVER (PARTITION BY tx_id) AS n_failed FROM eval_result WHERE NOT ok) WHERE k = 1""")
 def e3_eval_failures(spark, sf_dir):
     return E.eval_failures(Data(spark, sf_dir).eval_result)
 
 
-@query(" SELECT tx_id, ix, CASE WHEN mem % 3000 = 0 THEN 'terminal' WHEN steps > 2000000 THEN 'reuse' ELSE 'retry' END AS decision FROM eval_result WHERE NOT ok")
+@query(" SELECT tx_id, purpose, ix, CASE WHEN mem % 3000 = 0 THEN 'terminal' WHEN steps > 2000000 THEN 'reuse' ELSE 'retry' END AS decision FROM eval_result WHERE NOT ok")
 def e4_failure_decision(spark, sf_dir):
     failed = Data(spark, sf_dir).eval_result.where("not ok").withColumns({"retried": F.col("mem") % 3000 == 0, "prev_fee": F.when(F.col("steps") > 2_000_000, F.col("steps")).otherwise(0)})
-    return E.failure_decision(failed).select("tx_id", "ix", "decision")
+    return E.failure_decision(failed).select("tx_id", "purpose", "ix", "decision")
 
 
 _HISTORY = "history AS (SELECT tx_id, ix AS n, 160000 + qty % 4 AS fee FROM tx_output)"
@@ -449,11 +451,11 @@ def e7_evaluate_and_balance(spark, sf_dir):
     return E.evaluate_and_balance(d.ready(), d.redeemer(), d.eval_result, [("change is worth an output", F.col("change") >= 1_000_000)], _margin)
 
 
-@query(f""", {_READY}, fees AS (SELECT tx_id, fee, change, change_ix, greatest(fee, 170000 + owner) AS target FROM balanced JOIN tx USING (tx_id) WHERE error IS NULL)
-SELECT tx_id, ix, address, lovelace, target AS fee, CAST(NULL AS VARCHAR) AS error FROM tx_output JOIN fees USING (tx_id) UNION ALL SELECT tx_id, change_ix, NULL, change - (target - fee), target, NULL FROM fees""")
+@query(f""", {_READY}, fees AS (SELECT *, change - (target - fee) AS rest, CASE WHEN error IS NOT NULL THEN error WHEN change - (target - fee) < 1000000 THEN 'ChecksFailed' END AS problem FROM (SELECT tx_id, fee, change, change_ix, error, greatest(fee, 170000 + owner) AS target FROM balanced JOIN tx USING (tx_id)))
+SELECT tx_id, ix, address, lovelace, target AS fee, problem AS error FROM tx_output JOIN fees USING (tx_id) WHERE error IS NULL UNION ALL SELECT tx_id, change_ix, NULL, rest, target, problem FROM fees WHERE error IS NULL UNION ALL SELECT tx_id, NULL, NULL, NULL, NULL, error FROM fees WHERE error IS NOT NULL""")
 def e8_settle_at_fee(spark, sf_dir):
     d = Data(spark, sf_dir)
-    return E.settle_at_fee(d.ready(), d.tx_output, d.tx.select("tx_id", (170_000 + F.col("owner")).alias("chosen")))
+    return E.settle_at_fee(d.ready(), d.tx_output, d.tx.select("tx_id", (170_000 + F.col("owner")).alias("chosen")), [("change is worth an output", F.col("change") >= 1_000_000)])
 
 
 @query(" SELECT tx_id, ix, lovelace AS actual, 4310 * (160 + qty * 20) AS required FROM tx_output WHERE lovelace < 4310 * (160 + qty * 20)")
@@ -603,7 +605,7 @@ SELECT tx_id, 'change address' AS problem FROM b WHERE owner % 10 = 3 UNION ALL
 def r2_diff_balanced(spark, sf_dir):
     """Balanced transactions against their drafts; some changed, some without or with a wrong change output."""
     d = Data(spark, sf_dir)
-    done = B.balance(d.ready()).where("error is null").select("tx_id", "fee", F.col("change_ix").alias("ix"), "change").join(d.tx.select("tx_id", "owner"), "tx_id")
+    done = pinned(B.balance(d.ready()).where("error is null").select("tx_id", "fee", F.col("change_ix").alias("ix"), "change").join(d.tx.select("tx_id", "owner"), "tx_id"))
     columns = ["tx_id", "ix", "address", "lovelace", "has_datum"]
     drafts = d.tx_output.join(done.select("tx_id"), "tx_id", "left_semi")
     actual = drafts.withColumn("lovelace", F.col("lovelace") + F.when(F.col("qty") == 50, 1).otherwise(0)).select(columns)
@@ -618,6 +620,71 @@ def s1_parse_utxo_lines(spark, sf_dir):
     return parse_utxo_lines(Data(spark, sf_dir).tx_output.select(value.alias("value")))
 
 
+@query(""", texts AS (SELECT tx_id, sha256(CAST(tx_id AS VARCHAR)) AS h, owner, substr(sha256(CAST(owner AS VARCHAR)), 1, 2 * CAST(4 + owner % 20 AS INT)) AS hex FROM tx)
+SELECT h AS tx_id, CASE WHEN owner % 11 <> 0 THEN 4 + owner % 20 END AS size, CASE WHEN owner % 11 <> 0 THEN hex END AS data, CASE WHEN owner % 11 = 0 THEN 'NotHex' END AS error FROM texts""")
+def s2_parse_tx_hex(spark, sf_dir):
+    """A file's text for each transaction, broken over lines; some are no hex."""
+    text = F.substring(F.sha2(F.col("owner").cast("string"), 256), F.lit(1), (2 * (4 + F.col("owner") % 20)).cast("int"))
+    value = F.concat(F.substring(text, 1, 5), F.lit("\n "), F.substr(text, F.lit(6)), F.when(F.col("owner") % 11 == 0, "zz").otherwise("\n"))
+    files = Data(spark, sf_dir).tx.select(F.concat(F.sha2(F.col("tx_id").cast("string"), 256), F.lit(".cbor.hex")).alias("file"), value.alias("value"))
+    return parse_tx_hex(files).select("tx_id", "size", F.lower(F.hex("data")).alias("data"), "error")
+
+
+@query(""" SELECT o_orderkey AS tx_id, o_custkey AS fee_per_byte, CASE WHEN o_custkey % 3 <> 0 THEN o_orderkey END AS fee_fixed, CAST(16384 AS BIGINT) AS max_tx_size, 100 * (1 + o_custkey % 10) AS slot_len_ms, CAST(500 AS BIGINT) AS epoch_length,
+o_custkey % 7 AS security_param, CASE WHEN o_custkey % 5 <> 0 THEN 100 + o_custkey % 100 END AS collateral_percent, CASE WHEN o_custkey % 5 <> 0 THEN o_orderkey // 8 END AS coins_per_byte, o_custkey % 44 AS ref_script_per_byte FROM orders""")
+def s3_parse_params(spark, sf_dir):
+    """Genesis texts with parameters from orders; some lack a field, some a file."""
+    key, owner = F.col("o_orderkey"), F.col("o_custkey")
+    shelley = F.struct(F.struct(owner.alias("minFeeA"), F.when(owner % 3 != 0, key).alias("minFeeB"), F.lit(16384).alias("maxTxSize")).alias("protocolParams"), ((1 + owner % 10) / 10).alias("slotLength"), F.lit(500).alias("epochLength"), (owner % 7).alias("securityParam"))
+    alonzo = F.struct(key.alias("lovelacePerUTxOWord"), (100 + owner % 100).alias("collateralPercentage"))
+    conway = F.struct((owner % 44).alias("minFeeRefScriptCostPerByte"))
+    texts = Data(spark, sf_dir).orders.select(key.alias("tx_id"), F.to_json(shelley).alias("shelley"), F.when(owner % 5 != 0, F.to_json(alonzo)).alias("alonzo"), F.to_json(conway).alias("conway"))
+    return parse_params(texts)
+
+
+@query(" SELECT c_nationkey AS chain, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS address, CAST(round(abs(c_acctbal) * 1000000) AS BIGINT) AS lovelace FROM customer")
+def s4_parse_genesis_funds(spark, sf_dir):
+    """A genesis text for each nation, whose customers hold the initial funds."""
+    fund = F.struct(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("address"), F.round(F.abs("c_acctbal") * 1_000_000).cast("long").alias("lovelace"))
+    texts = Data(spark, sf_dir).customer.groupBy(F.col("c_nationkey").alias("chain")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(fund)).alias("initialFunds"))).alias("value"))
+    return parse_genesis_funds(texts)
+
+
+def _event_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of chain events in files, as a follower writes them."""
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    Data(spark, sf_dir).chain_event.select(*EVENTS.names).write.parquet(path)
+    return path
+
+
+@query(" SELECT follower, seq, kind, slot, back_slot, tip_slot FROM chain_event")
+def s5_read_chain_events(spark, sf_dir):
+    return read_chain_events(spark, _event_files(spark, sf_dir))
+
+
+@query(f", {_CHAIN} SELECT follower, seq, slot FROM canonical")
+def c10_follow_stream(spark, sf_dir):
+    """The events as a stream; blocks that are live at its end."""
+    path = _event_files(spark, sf_dir)
+    actions = follow_stream(read_chain_events(spark, path, streaming=True), k=1 << 40)
+    sink = actions.writeStream.format("parquet").option("path", f"{path}-actions").option("checkpointLocation", f"{path}-state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return live_after(spark.read.schema(OUT_ACTIONS).parquet(f"{path}-actions"))
+
+
+@query(f", {_LIVE} SELECT tx_id, ix, address, lovelace FROM live")
+def c11_utxo_stream(spark, sf_dir):
+    """Outputs made and spent as a stream of changes."""
+    d, path = Data(spark, sf_dir), f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    made = pinned(d.tx_output.select("tx_id", "ix", "address", "lovelace"))
+    spent = made.join(U.spent_keys(d.tx_input).distinct(), ["tx_id", "ix"], "left_semi")
+    for n, (action, rows) in enumerate((("create", made), ("spend", spent))):
+        rows.select("tx_id", "ix", "address", "lovelace", F.lit(action).alias("action"), F.lit(n).cast("long").alias("n")).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("tx_id long, ix long, address long, lovelace long, action string, n long").parquet(path)
+    utxo_stream(stream, f"{path}-utxo", f"{path}-state").awaitTermination()
+    return utxo_at(spark, f"{path}-utxo")
+
+
 @query(f", {_READY} SELECT CASE WHEN error IS NULL THEN 'Submitted' ELSE 'Rejected' END AS outcome, error AS reason, count(*) AS n FROM balanced GROUP BY ALL")
 def s6_route_submissions(spark, sf_dir):
     balanced = B.balance(Data(spark, sf_dir).ready())

@@ -67,29 +67,32 @@ def balance_inputs(tx: DataFrame, spent: DataFrame, outputs: DataFrame, units: D
     return out.withColumns({c: F.coalesce(c, zero) for c in ("total_in", "total_out", "n_outputs", "mem", "steps", "ref_bytes")})
 
 
-def balance_fee_loop(requests: DataFrame, make_refund: Callable[[Column, Column], Column] | None = None, n_witnesses: int = 1, params: Params = DEFAULT) -> DataFrame:
-    """Outputs that depend on the fee: what is left of the inputs after fee and a tip each is split evenly over n requests.
+def even_refunds(fee: Column) -> Column:
+    """What is left of total_in after the fee and a tip for each of n requests, split evenly; the remainder goes to the first; null if negative."""
+    n = F.col("n").cast("long")
+    total = F.col("total_in") - fee - n * F.col("tip")
+    each = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.call_function("div", total, n) + F.when(i == 1, total % n).otherwise(0))
+    return F.when(total >= 0, each)
 
-    requests: tx_id, base_size, total_in, n, tip. Gives one row an output: tx_id, ix, lovelace,
-    fee, error. The remainder goes to the first output. A negative refund is an OutputError.
-    """
-    def refund(fee: Column) -> Column:
-        return F.col("total_in") - fee - F.col("n") * F.col("tip")
 
-    made = make_refund or (lambda total, n: F.floor(total / n))
+def balance_fee_loop(requests: DataFrame, make_outputs: Callable[[Column], Column] = even_refunds, n_witnesses: int = 1, params: Params = DEFAULT) -> DataFrame:
+    """Outputs that depend on the fee: make_outputs gives the array of their coins for a fee, or null, which is an OutputError.
+
+    requests: tx_id, base_size and what make_outputs reads. Gives one row an output: tx_id, ix,
+    lovelace, fee, error; a tx without outputs has one row, with the error. The size depends on the
+    fee by the lengths of the fee and of the outputs.
+    """
+    zero = F.lit(0).cast("long")
 
     def estimate(fee: Column) -> Column:
-        each = F.greatest(F.lit(0), made(refund(fee), F.col("n")))
-        size = F.col("base_size") + 106 * n_witnesses + cbor_length(fee) + F.col("n") * cbor_length(each)
-        zero = F.lit(0).cast("long")
-        return min_fee(size, zero, zero, zero, params)
+        lengths = F.aggregate(F.coalesce(make_outputs(fee), F.array().cast("array<bigint>")), F.lit(0), lambda a, x: a + cbor_length(x))
+        return min_fee(F.col("base_size") + 106 * n_witnesses + cbor_length(fee) + lengths, zero, zero, zero, params)
 
     out = requests.withColumn("_s", fixed_point(estimate)).withColumn("fee", F.when(F.col("_s.converged"), F.col("_s.fee")))
-    total = refund(F.col("fee"))
-    error = F.when(F.col("fee").isNull(), "FeeNotConverged").when(total < 0, "OutputError")
-    out = out.withColumns({"total": total, "error": error}).withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    each = F.expr("total div n") + F.when(F.col("ix") == 0, F.expr("total % n")).otherwise(0)
-    return out.select("tx_id", "ix", F.when(F.col("error").isNull(), each).alias("lovelace"), "fee", "error")
+    out = out.withColumn("_made", make_outputs(F.col("fee")))
+    error = F.when(F.col("fee").isNull(), "FeeNotConverged").when(F.col("_made").isNull(), "OutputError")
+    made = out.withColumn("error", error).select("tx_id", "fee", "error", F.posexplode_outer(F.when(error.isNull(), F.col("_made"))).alias("ix", "lovelace"))
+    return made.select("tx_id", F.col("ix").cast("long").alias("ix"), "lovelace", "fee", "error")
 
 
 def bump_fee(outputs: DataFrame, tx: DataFrame) -> DataFrame:

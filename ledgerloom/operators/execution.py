@@ -11,6 +11,8 @@ from .assembly import integrity_digest
 from .balance import balance, bump_fee
 
 KEY = ["tx_id", "purpose", "ix"]
+#: Purposes of redeemers in the order of their keys.
+PURPOSES = ("spend", "mint", "reward")
 
 
 def with_units(redeemer: DataFrame, mem: int = 0, steps: int = 0) -> DataFrame:
@@ -31,8 +33,13 @@ def patch_units(redeemer: DataFrame, results: DataFrame, margin: Callable[[Colum
 
 
 def eval_failures(results: DataFrame) -> DataFrame:
-    """(tx_id, purpose, ix, n_failed): the first failed redeemer of each tx in key order, and how many failed."""
-    failed = results.where("not ok").groupBy("tx_id").agg(F.min(F.struct("purpose", "ix")).alias("x"), F.count(F.lit(1)).alias("n_failed"))
+    """(tx_id, purpose, ix, n_failed): the first failed redeemer of each tx in key order, and how many failed.
+
+    Keys are ordered by purpose as in PURPOSES, then by index; other purposes come last.
+    """
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, PURPOSES)), F.col("purpose")), F.lit(0))
+    first = F.min(F.struct(F.when(rank == 0, len(PURPOSES) + 1).otherwise(rank).alias("rank"), "purpose", "ix"))
+    failed = results.where("not ok").groupBy("tx_id").agg(first.alias("x"), F.count(F.lit(1)).alias("n_failed"))
     return failed.select("tx_id", "x.purpose", "x.ix", "n_failed")
 
 
@@ -71,20 +78,35 @@ def evaluate_and_balance(inputs: DataFrame, redeemer: DataFrame, results: DataFr
     ready = inputs.drop("mem", "steps").join(units, "tx_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("mem", "steps")})
     failed = eval_failures(results).select("tx_id", "n_failed")
     out = balance(ready, params).join(integrity_digest(patched), "tx_id", "left").join(failed, "tx_id", "left")
+    outcome = F.when(F.col("n_failed") > 0, "EvalFailure").when(F.col("error").isNotNull(), "BalanceFailed").when(_broken(checks), "ChecksFailed").otherwise("ok")
+    return out.select("tx_id", "mem", "steps", "fee", "change", "integrity", outcome.alias("outcome"))
+
+
+def _broken(checks: Sequence[tuple[str, Column]]) -> Column:
+    """Whether any check fails; one without a result does."""
     broken = F.lit(False)
     for _, holds in checks:
-        broken = broken | ~holds
-    outcome = F.when(F.col("n_failed") > 0, "EvalFailure").when(F.col("error").isNotNull(), "BalanceFailed").when(broken, "ChecksFailed").otherwise("ok")
-    return out.select("tx_id", "mem", "steps", "fee", "change", "integrity", outcome.alias("outcome"))
+        broken = broken | ~F.coalesce(holds, F.lit(False))
+    return broken
 
 
-def settle_at_fee(inputs: DataFrame, outputs: DataFrame, chosen: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Balances, then raises the fee to the chosen one where the balanced fee is lower: outputs with change, final fee and error.
+def settle_at_fee(inputs: DataFrame, outputs: DataFrame, chosen: DataFrame, checks: Sequence[tuple[str, Column]] = (), params: Params = DEFAULT) -> DataFrame:
+    """Balances, raises the fee to the chosen one where the balanced fee is lower, then checks: tx_id, ix, address, lovelace, fee, error.
 
-    outputs: tx_id, ix, address, lovelace; chosen: tx_id, chosen. The change output is the last.
+    outputs: tx_id, ix, address, lovelace; chosen: tx_id, chosen; a tx without one settles at its
+    balanced fee. The change output is the last. Checks see what balance gives, with the final fee
+    and change; a tx that fails one keeps its outputs, with the error ChecksFailed. A tx that cannot
+    be balanced has one row without output, with the error of balance.
     """
-    balanced = balance(inputs, params).where("error is null").select("tx_id", "fee", "change", "change_ix")
-    fees = balanced.join(chosen, "tx_id").withColumn("target", F.greatest("fee", "chosen"))
-    change = fees.select("tx_id", F.col("change_ix").alias("ix"), F.lit(None).cast("long").alias("address"), F.col("change").alias("lovelace"))
-    every = outputs.select("tx_id", "ix", "address", "lovelace").join(fees.select("tx_id"), "tx_id", "left_semi").unionByName(change)
-    return bump_fee(every, fees.select("tx_id", "fee", "target", "change_ix"))
+    balanced = balance(inputs, params).withColumnRenamed("fee", "balanced_fee").join(chosen.select("tx_id", "chosen"), "tx_id", "left")
+    target = F.greatest("balanced_fee", "chosen")
+    fees = balanced.withColumns({"fee": target, "change": F.col("change") - (target - F.col("balanced_fee"))})
+    fees = fees.withColumn("error", F.when(F.col("error").isNull() & _broken(checks), "ChecksFailed").otherwise(F.col("error")))
+    failed = F.col("fee").isNull() | F.col("error").eqNullSafe("InsufficientFee")
+    good = fees.where(~failed).select("tx_id", "balanced_fee", "fee", "change", "change_ix", F.col("error").alias("failure"))
+    change = good.select("tx_id", F.col("change_ix").alias("ix"), F.lit(None).cast("long").alias("address"), (F.col("change") + (F.col("fee") - F.col("balanced_fee"))).alias("lovelace"))
+    every = outputs.select("tx_id", "ix", "address", "lovelace").join(good.select("tx_id"), "tx_id", "left_semi").unionByName(change)
+    bumped = bump_fee(every, good.select("tx_id", F.col("balanced_fee").alias("fee"), F.col("fee").alias("target"), "change_ix"))
+    settled = bumped.join(good.select("tx_id", "failure"), "tx_id").withColumn("error", F.coalesce("error", "failure")).drop("failure")
+    none = F.lit(None).cast("long")
+    return settled.unionByName(fees.where(failed).select("tx_id", *(none.alias(c) for c in ("ix", "address", "lovelace", "fee")), "error"))

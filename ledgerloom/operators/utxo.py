@@ -80,14 +80,23 @@ def select_coins(utxo: DataFrame, targets: DataFrame) -> DataFrame:
 
     utxo: owner, tx_id, ix, lovelace. targets: owner, target. An owner without coins keeps one
     row with null coins and the whole target as shortfall.
+
+    Coins are classed by the number of binary digits of their value, and an owner's classes are
+    summed first. Classes that are needed whole are taken whole, smaller ones than needed never
+    travel, and only the coins of the one class in which the target falls are put in order.
     """
-    order = W.partitionBy("owner").orderBy(F.desc("lovelace"), "tx_id", "ix")
-    before = F.coalesce(F.sum("lovelace").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("lovelace").over(W.partitionBy("owner"))
-    coins = targets.join(utxo, "owner", "left").withColumns({"before": before, "total": F.coalesce(total, F.lit(0))})
-    return coins.where("before < target or tx_id is null").select(
-        "owner", "target", "tx_id", "ix", "lovelace", F.greatest(F.lit(0), F.col("target") - F.col("total")).alias("shortfall")
-    )
+    digits = F.length(F.bin(F.col("lovelace"))).alias("digits")
+    sums = utxo.groupBy("owner", digits).agg(F.sum("lovelace").alias("held"))
+    larger = W.partitionBy("owner").orderBy(F.desc("digits")).rowsBetween(W.unboundedPreceding, -1)
+    classes = sums.select("owner", "digits", "held", F.coalesce(F.sum("held").over(larger), F.lit(0)).alias("above"), F.sum("held").over(W.partitionBy("owner")).alias("total"))
+    asked = targets.select("owner", "target").join(classes, "owner", "left").withColumn("shortfall", F.greatest(F.lit(0), F.col("target") - F.coalesce("total", F.lit(0))))
+    needed = asked.where("above < target").select("owner", "digits", "target", "shortfall", "above", (F.col("above") + F.col("held") <= F.col("target")).alias("whole"))
+    coins = utxo.select("owner", "tx_id", "ix", "lovelace", digits).join(needed, ["owner", "digits"])
+    order = W.partitionBy("owner").orderBy(F.desc("lovelace"), "tx_id", "ix").rowsBetween(W.unboundedPreceding, -1)
+    cut = coins.where("not whole").withColumn("before", F.col("above") + F.coalesce(F.sum("lovelace").over(order), F.lit(0))).where("before < target")
+    columns = ["owner", "target", "tx_id", "ix", "lovelace", "shortfall"]
+    none = asked.where("total is null").select("owner", "target", *(F.lit(None).cast(utxo.schema[c].dataType).alias(c) for c in ("tx_id", "ix", "lovelace")), "shortfall")
+    return coins.where("whole").select(columns).unionByName(cut.select(columns)).unionByName(none)
 
 
 def with_collateral(chosen: DataFrame, collateral: DataFrame, scripted: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.pinned import exists, removed
+
 OUT = "follower long, seq long, slot long, action string, phase string"
 STATE = "slots array<long>, seqs array<long>, following boolean, floor long"
 
@@ -53,12 +55,18 @@ def live_after(actions: DataFrame) -> DataFrame:
     return actions.groupBy("follower", "seq", "slot").agg(F.sum(sign).alias("n")).where("n > 0").drop("n")
 
 
+ROWS = "tx_id long, ix long, address long, lovelace long, bucket int"
+
+
 def utxo_stream(changes: DataFrame, path: str, checkpoint: str, buckets: int = 16):
-    """Starts a stream that keeps the unspent outputs at path, partitioned by a hash of their key.
+    """Starts a stream that keeps the unspent outputs at path, in buckets by a hash of their key.
 
     changes: tx_id, ix, address, lovelace, action (create, spend, undo_create, undo_spend), n, the
-    order of the change. The last change of a key decides; batches come in the order of n. A batch rewrites only the partitions
-    it touches, into a new version folder named by its epoch; repeating an epoch gives the same.
+    order of the change. The last change of a key decides; batches come in the order of n. A batch
+    writes the buckets it touches anew, into a folder named by its epoch, and then a manifest that
+    tells the newest epoch of each bucket; repeating an epoch gives the same. What neither this
+    manifest nor the one before it names is deleted, so the folder holds two versions at most.
+    buckets: so many that a batch touches few of them and each holds about a million outputs.
     """
 
     def apply(batch: DataFrame, epoch: int) -> None:
@@ -67,27 +75,51 @@ def utxo_stream(changes: DataFrame, path: str, checkpoint: str, buckets: int = 1
         touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # buckets numbers at most
         if not touched:
             return
+        old = _manifest(spark, path, before=epoch)
         last = keyed.groupBy("bucket", "tx_id", "ix").agg(F.max(F.struct("n", "action", "address", "lovelace")).alias("x"))
         alive = last.where(F.col("x.action").isin("create", "undo_spend")).select("tx_id", "ix", "x.address", "x.lovelace", "bucket")
-        old = utxo_at(spark, path, before=epoch)
-        if old is not None:
-            kept = old.where(F.col("bucket").isin(*touched)).join(last.select("tx_id", "ix"), ["tx_id", "ix"], "left_anti")
+        again = {b: e for b, e in old.items() if b in set(touched)}
+        if again:
+            kept = _read(spark, path, again).join(last.select("tx_id", "ix"), ["tx_id", "ix"], "left_anti")
             alive = alive.unionByName(kept.select(*alive.columns))
-        full = alive.unionByName(spark.createDataFrame([(None, None, None, None, b) for b in touched], alive.schema))  # an empty bucket is a version too
-        full.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(path)
+        alive.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+        now = {**old, **dict.fromkeys(touched, epoch)}
+        spark.createDataFrame(sorted(now.items()), "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{epoch}")
+        named = {*now.values(), *old.values()}
+        older = _epochs(spark, f"{path}/manifest", epoch)[:-1]
+        for e in _epochs(spark, path, epoch):
+            if e not in named:
+                removed(spark, f"{path}/epoch={e}")
+        for e in older:
+            removed(spark, f"{path}/manifest/{e}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def utxo_at(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The unspent outputs of the newest version of each bucket (of epochs before one, if given); None if there is none."""
-    from pyspark.errors import AnalysisException
+def _epochs(spark, path: str, before: int | None = None) -> list[int]:
+    """Epochs that have a folder at path, in order, each named by its number."""
+    if not exists(spark, path):
+        return []
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName().removeprefix("epoch=") for f in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)]
+    return sorted(int(n) for n in names if n.isdigit() and (before is None or int(n) < before))
+
+
+def _manifest(spark, path: str, before: int | None = None) -> dict[int, int]:
+    """The newest finished epoch of each bucket, of epochs before one if given."""
+    done = [e for e in _epochs(spark, f"{path}/manifest", before) if exists(spark, f"{path}/manifest/{e}/_SUCCESS")]
+    return {r["bucket"]: r["epoch"] for r in spark.read.parquet(f"{path}/manifest/{done[-1]}").collect()} if done else {}
+
+
+def _read(spark, path: str, newest: dict[int, int]) -> DataFrame:
+    """The outputs of the named versions; a bucket without outputs has no folder."""
+    folders = [f"{path}/epoch={e}/bucket={b}" for b, e in newest.items() if exists(spark, f"{path}/epoch={e}/bucket={b}")]
+    if not folders:
+        return spark.createDataFrame([], ROWS)
+    plain = spark.read.schema("tx_id long, ix long, address long, lovelace long").parquet(*folders)
+    return plain.withColumn("bucket", F.regexp_extract(F.col("_metadata.file_path"), "bucket=([0-9]+)", 1).cast("int"))
+
 
-    try:
-        every = spark.read.schema("tx_id long, ix long, address long, lovelace long, bucket int, epoch long").parquet(path)
-    except AnalysisException:
-        return None
-    if before is not None:
-        every = every.where(F.col("epoch") < before)
-    newest = every.select("bucket", "epoch").groupBy("bucket").agg(F.max("epoch").alias("epoch"))
-    return every.join(F.broadcast(newest), ["bucket", "epoch"]).where("tx_id is not null").drop("epoch")
+def utxo_at(spark, path: str) -> DataFrame:
+    """The unspent outputs after the last finished batch; none before the first one."""
+    return _read(spark, path, _manifest(spark, path)).drop("bucket")

@@ -78,15 +78,21 @@ def tx_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of script spends: ix is the spending index among the tx's sorted spent inputs."""
+    """Of script spends, minted policies and withdrawing accounts; ix is the place among the tx's sorted ones of the kind."""
     lines = _lines(spark, sf_dir).where("l_linestatus = 'F' and l_returnflag <> 'R'")
     place = (F.row_number().over(W.partitionBy("l_orderkey").orderBy("ix")) - 1).cast("long")
     qty = F.col("l_quantity").cast("long")
-    return lines.withColumn("place", place).where("l_returnflag = 'A'").select(
+    spends = lines.withColumn("place", place).where("l_returnflag = 'A'").select(
         (F.col("l_orderkey") + 1).alias("tx_id"), F.lit("spend").alias("purpose"), F.col("place").alias("ix"),
         (cents(F.col("l_discount")) != 10).alias("ok"), (qty * 1000).alias("mem"), (qty * 100_000).alias("steps"),
     )
 
+    def others(df: DataFrame, key: str, purpose: str, bad: int) -> DataFrame:
+        rows = df.select("tx_id", key).distinct().withColumn("ix", (F.row_number().over(W.partitionBy("tx_id").orderBy(key)) - 1).cast("long"))
+        return rows.select("tx_id", F.lit(purpose).alias("purpose"), "ix", (F.col(key) % 4 != bad).alias("ok"), (1000 * (F.col(key) + 1)).alias("mem"), (100_000 * (F.col(key) + 1)).alias("steps"))
+
+    return spends.unionByName(others(tx_mint(spark, sf_dir), "policy_id", "mint", 1)).unionByName(others(tx_withdrawal(spark, sf_dir), "account", "reward", 2))
+
 
 def chain_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, slot, back_slot (of roll-backs only) and tip_slot, which is null at the start of a chain."""
@@ -155,6 +161,8 @@ SQL = f"""WITH RECURSIVE lines AS (
   SELECT * EXCLUDE (flag) FROM (
     SELECT l_orderkey + 1 AS tx_id, 'spend' AS purpose, row_number() OVER (PARTITION BY l_orderkey ORDER BY ix) - 1 AS ix, disc <> 10 AS ok, qty * 1000 AS mem, qty * 100000 AS steps, l_returnflag AS flag
     FROM lines WHERE l_linestatus = 'F' AND l_returnflag <> 'R') WHERE flag = 'A'
+  UNION ALL SELECT tx_id, 'mint', row_number() OVER (PARTITION BY tx_id ORDER BY policy_id) - 1, policy_id % 4 <> 1, 1000 * (policy_id + 1), 100000 * (policy_id + 1) FROM (SELECT DISTINCT tx_id, policy_id FROM tx_mint)
+  UNION ALL SELECT tx_id, 'reward', row_number() OVER (PARTITION BY tx_id ORDER BY account) - 1, account % 4 <> 2, 1000 * (account + 1), 100000 * (account + 1) FROM (SELECT DISTINCT tx_id, account FROM tx_withdrawal)
 ), chain_event AS (
   SELECT user_id AS follower, event_id AS seq, CASE WHEN event_type = 'error' THEN 'back' ELSE 'forward' END AS kind, slot,
          CASE WHEN event_type = 'error' THEN greatest(0, slot - k * 3600) END AS back_slot, CASE WHEN k % 7 <> 0 THEN slot + CASE WHEN k > 50 THEN 0 ELSE k END END AS tip_slot

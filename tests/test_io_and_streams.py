@@ -90,4 +90,34 @@ def test_utxo_stream_like_the_batch(spark, tmp_path):
     utxo_stream(stream, str(tmp_path / "utxo"), str(tmp_path / "ck"), buckets=4).awaitTermination()
     got = {(r["tx_id"], r["ix"], r["lovelace"]) for r in utxo_at(spark, str(tmp_path / "utxo")).collect()}
     batch = {(r["tx_id"], r["ix"], r["lovelace"]) for r in U.live_utxos(outputs, inputs).collect()}
-    assert batch and got - batch == set() and len(batch - got) == 0
+    assert batch and got == batch
+    epochs = [p.name for p in (tmp_path / "utxo").iterdir() if p.name.startswith("epoch=")]
+    assert len(list((tmp_path / "utxo" / "manifest").iterdir())) <= 2 and len(epochs) <= 3
+
+
+def test_no_outputs_before_the_first_batch(spark, tmp_path):
+    assert utxo_at(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_broken_manifest_is_an_error(spark, tmp_path):
+    (tmp_path / "manifest" / "0").mkdir(parents=True)
+    (tmp_path / "manifest" / "0" / "_SUCCESS").touch()
+    (tmp_path / "manifest" / "0" / "part-0.parquet").write_text("no parquet")
+    try:
+        utxo_at(spark, str(tmp_path)).collect()
+        raise RuntimeError("must fail")
+    except Exception as e:
+        assert "must fail" not in str(e)
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from ledgerloom.functions.pinned import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    try:
+        shared_folder(SimpleNamespace(sparkContext=context, conf={}))
+        raise RuntimeError("must fail")
+    except ValueError as e:
+        assert "spark.checkpoint.dir" in str(e)

@@ -123,6 +123,68 @@ def test_fee_loop_splits_refunds(spark):
     assert {r[4] for r in out if r[0] == 2} == {"OutputError"}
 
 
+def test_fee_loop_with_outputs_of_its_own(spark):
+    requests = spark.createDataFrame([(1, 300, 1_000_000, 2, 0), (2, 300, 1000, 2, 0)], "tx_id long, base_size long, total_in long, n long, tip long")
+
+    def thirds(fee):  # two thirds to one, a third to the other; none below a limit
+        rest = F.col("total_in") - fee
+        return F.when(rest > 10_000, F.array(F.expr("bigint(0)") + F.call_function("div", rest * 2, F.lit(3)), F.call_function("div", rest, F.lit(3))))
+
+    out = rows(B.balance_fee_loop(requests, thirds), "tx_id", "ix")
+    fee = out[0][3]
+    assert [(r[0], r[1], r[2]) for r in out] == [(1, 0, (1_000_000 - fee) * 2 // 3), (1, 1, (1_000_000 - fee) // 3), (2, None, None)]
+    assert out[2][4] == "OutputError" and fee == 44 * (300 + 106 + 5 + 5 + 5) + 155_381
+
+
+def test_prices_of_any_denominator(spark):
+    from fractions import Fraction
+    from math import ceil
+
+    from ledgerloom.functions.fees import execution_fee
+    from ledgerloom.params import Params
+
+    params = Params(price_mem=(2, 7), price_steps=(5, 3_000_017))
+    units = [(0, 0), (1, 1), (7, 3_000_017), (16_500_000, 10_000_000_000), (13, 999_999_937)]
+    got = spark.createDataFrame(units, "mem long, steps long").select("mem", "steps", execution_fee(F.col("mem"), F.col("steps"), params).alias("fee")).collect()
+    assert all(r["fee"] == ceil(r["mem"] * Fraction(2, 7) + r["steps"] * Fraction(5, 3_000_017)) for r in got)
+
+
+def test_first_failure_by_purpose_and_index(spark):
+    data = [(1, "mint", 0, False), (1, "spend", 2, False), (1, "spend", 1, True), (1, "reward", 0, False), (2, "reward", 0, False), (2, "mint", 3, False), (3, "spend", 0, True)]
+    out = E.eval_failures(spark.createDataFrame(data, "tx_id long, purpose string, ix long, ok boolean"))
+    assert rows(out, "tx_id") == [(1, "spend", 2, 3), (2, "mint", 3, 2)]
+
+
+def test_settled_transactions_keep_their_errors(spark):
+    data = [(1, 230, 10_000_000, 3_000_000, 1, 0, 0, 0), (2, 230, 1, 0, 0, 0, 0, 0), (3, 230, 10_000_000, 9_700_000, 1, 0, 0, 0)]
+    outputs = spark.createDataFrame([(1, 0, 7, 3_000_000), (3, 0, 7, 9_700_000)], "tx_id long, ix long, address long, lovelace long")
+    chosen = spark.createDataFrame([(1, 200_000), (2, 200_000)], "tx_id long, chosen long")
+    out = rows(E.settle_at_fee(spark.createDataFrame(data, READY), outputs, chosen, [("large", F.col("change") > 1_000_000), ("unknown", F.lit(None).cast("boolean") | (F.col("tx_id") == 1))]), "tx_id", "ix")
+    assert out[:2] == [(1, 0, 7, 3_000_000, 200_000, None), (1, 1, None, 6_800_000, 200_000, None)]
+    assert out[2] == (2, None, None, None, None, "InsufficientFee")
+    assert {r[5] for r in out[3:]} == {"ChecksFailed"} and sum(r[3] for r in out[3:]) + out[3][4] == 10_000_000
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_coins_of_large_owners(spark, seed):
+    rng = random.Random(seed)
+    coins = [(o, i, 0, rng.choice([0, 1, 5, 5, 64, rng.randrange(1, 10**rng.randrange(1, 7))])) for o in (1, 2, 3) for i in range(60)]
+    targets = [(o, t) for o, t in ((1, rng.randrange(10**6)), (2, 10**9), (3, 0), (4, 7))]
+    want = []
+    for o, t in targets:
+        own, before = sorted((c for c in coins if c[0] == o), key=lambda c: (-c[3], c[1])), 0
+        short = max(0, t - sum(c[3] for c in own))
+        for c in own:
+            if before < t:
+                want.append((o, t, c[1], c[2], c[3], short))
+            before += c[3]
+        if not own:
+            want.append((o, t, None, None, None, short))
+    utxo = spark.createDataFrame(coins, "owner long, tx_id long, ix long, lovelace long")
+    got = [tuple(r) for r in U.select_coins(utxo, spark.createDataFrame(targets, "owner long, target long")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_bump_fee(spark):
     outputs = spark.createDataFrame([(1, 0, 1, 3_000_000), (1, 1, 2, 7_000_000)], "tx_id long, ix long, address long, lovelace long")
     def bump(target, ix):
