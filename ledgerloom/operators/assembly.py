@@ -7,9 +7,10 @@ the last instruction counts, seq decides, never the order of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.pinned import pinned
 from .indices import policy_index, spending_index, withdrawal_index
 
 LOG = T.StructType([T.StructField(n, t) for n, t in (
@@ -97,40 +98,104 @@ def redeemers(log: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     return kept.select("tx_id", "purpose", "ix", F.concat(F.lit("r"), "seq").alias("data"), zero.alias("mem"), zero.alias("steps"))
 
 
-def _nested(df: DataFrame, name: str, *columns: str) -> DataFrame:
-    return df.groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+def _some(items: Column) -> Column:
+    """The array, null if it is empty."""
+    return F.when(F.size(items) > 0, items)
+
+
+def _set(items: Column, *columns: str) -> Column:
+    """Sorted distinct structs of some columns."""
+    return F.array_sort(F.array_distinct(F.transform(items, lambda x: F.struct(*(x[c].alias(c) for c in columns)))))
+
+
+def _same(x: Column, key: Column, columns: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & x[c].eqNullSafe(key[c])
+    return out
+
+
+def _ended(items: Column, columns: tuple[str, ...], end) -> Column:
+    """Of each distinct key of items, in order, the first (F.array_min) or last (F.array_max) item; items begin with seq."""
+    return F.transform(_set(items, *columns), lambda key: end(F.filter(items, lambda x: _same(x, key, columns))))
+
+
+def _redeemer(purpose: str, ix: Column, seq: Column) -> Column:
+    zero = F.lit(0).cast("long")
+    return F.struct(F.lit(purpose).alias("purpose"), ix.cast("long").alias("ix"), F.concat(F.lit("r"), seq.cast("string")).alias("data"), zero.alias("mem"), zero.alias("steps"))
 
 
 def assemble(log: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """One row a transaction, its children as sorted arrays; null where it has none of a kind. No fee is set.
 
-    Every section reads the log, so log and redeemers are written once and read from there.
+    The log is grouped once by tx_id; all sections are made from the arrays of a row. Extra
+    inputs of transactions that are not in the log are left out.
     """
-    log = pinned(log)
-    brought = pinned(redeemers(log, extra))
-    sets = input_sets(log, extra)
-    parts = [_nested(sets.where(F.col("kind") == k), n, "src_tx_id", "src_ix") for k, n in zip(ROLES, ("inputs", "collateral", "reference_inputs"), strict=True)]
-    parts += [
-        _nested(ordered_outputs(log), "outputs", "ix", "address", "lovelace", "has_datum", "policy_id", "asset_name", "qty"),
-        _nested(net_mint(log), "mint", "policy_id", "asset_name", "qty"), _nested(withdrawals(log), "withdrawals", "account", "amount"),
-        _nested(metadata(log), "metadata", "label", "value"), _nested(signers(log), "signers", "signer"), _nested(scripts(log), "scripts", "script_hash"),
-        _nested(brought, "redeemers", "purpose", "ix", "data", "mem", "steps"), validity(log), integrity_digest(brought), aux_digest(metadata(log)),
-    ]
-    out = log.select("tx_id").distinct()
-    for part in parts:
-        out = out.join(part, "tx_id", "left")
-    return out
+    rows = log.select(*LOG.names)
+    if extra is not None:
+        more = extra.select("tx_id", F.lit("extra").alias("op"), "src_tx_id", "src_ix")
+        rows = rows.unionByName(more, allowMissingColumns=True)
+
+    def held(name: str, *columns: str) -> Column:
+        return F.collect_list(F.when(F.col("op") == name, F.struct(*columns))).alias(f"_{name}")
+
+    key, asset = ("src_tx_id", "src_ix"), ("policy_id", "asset_name")
+    held_rows = rows.groupBy("tx_id").agg(
+        held("spend", "seq", *key, "witness"), held("extra", *key), held("collateral", *key), held("reference", *key), held("pay", "seq", "address", "lovelace", "has_datum", *asset, "qty"),
+        held("mint", "seq", *asset, "qty", "witness"), held("withdraw", "seq", "account", "lovelace", "witness"), held("metadata", "seq", "label", "value"), held("sign", "signer"), held("attach", "script_hash"),
+        *(F.max_by("slot", F.when(F.col("op") == b, F.col("seq"))).alias(b) for b in ("valid_from", "valid_to")), F.max((F.col("op") != "extra").cast("int")).alias("_known"),
+    ).where("_known = 1")
+    pays = F.transform(F.array_sort("_pay"), lambda x, i: F.struct(i.cast("long").alias("ix"), *(x[c].alias(c) for c in ("address", "lovelace", "has_datum", *asset, "qty"))))
+    minted = F.filter("_mint", lambda x: x["qty"] != 0)
+    held_rows = held_rows.withColumns({
+        "inputs": _set(F.concat(F.transform("_spend", lambda x: F.struct(*(x[c].alias(c) for c in key))), F.col("_extra")), *key), "_minted": minted,
+        "_last": _ended(F.col("_withdraw"), ("account",), F.array_max), "_notes": _ended(F.col("_metadata"), ("label",), F.array_max), "_first": _ended(minted, ("policy_id",), F.array_min),
+    })
+    sums = F.transform(_set(F.col("_minted"), *asset), lambda k: F.struct(
+        *(k[c].alias(c) for c in asset), F.aggregate(F.filter("_minted", lambda x: _same(x, k, asset)), F.lit(0).cast("long"), lambda a, x: a + x["qty"]).alias("qty")))
+    scripted = F.filter("_spend", lambda x: x["witness"] == "script")
+    spends = F.transform(_ended(scripted, key, F.array_max), lambda x: _redeemer("spend", F.array_position(F.col("inputs"), F.struct(*(x[c].alias(c) for c in key))) - 1, x["seq"]))
+
+    def placed(items: str, purpose: str) -> Column:  # the first or last instruction of each key, in the keys' order
+        every = F.transform(items, lambda x, i: F.struct(i.alias("ix"), x["seq"].alias("seq"), x["witness"].alias("witness")))
+        return F.transform(F.filter(every, lambda x: x["witness"] == "script"), lambda x: _redeemer(purpose, x["ix"], x["seq"]))
+
+    out = held_rows.select(
+        "tx_id", _some(F.col("inputs")).alias("inputs"), _some(_set(F.col("_collateral"), *key)).alias("collateral"), _some(_set(F.col("_reference"), *key)).alias("reference_inputs"),
+        _some(pays).alias("outputs"), _some(F.filter(sums, lambda x: x["qty"] != 0)).alias("mint"),
+        _some(F.transform("_last", lambda x: F.struct(x["account"].alias("account"), x["lovelace"].alias("amount")))).alias("withdrawals"),
+        _some(F.transform("_notes", lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value")))).alias("metadata"),
+        _some(_set(F.col("_sign"), "signer")).alias("signers"), _some(_set(F.col("_attach"), "script_hash")).alias("scripts"),
+        _some(F.array_sort(F.concat(spends, placed("_first", "mint"), placed("_last", "reward")))).alias("redeemers"), "valid_from", "valid_to",
+    )
+    integrity = _row_digest(F.col("redeemers"), lambda x: [x["purpose"], x["ix"], x["data"], x["mem"], x["steps"], F.lit(LANGUAGE)])
+    return out.withColumns({"integrity": integrity, "aux": _row_digest(F.col("metadata"), lambda x: [x["label"], x["value"]])})
+
+
+#: Of scripts, part of the integrity digest.
+LANGUAGE = "v3"
+
+
+def _text(values: Sequence[Column]) -> Column:
+    return F.concat_ws("|", *(F.coalesce(v.cast("string"), F.lit("")) for v in values))
+
+
+def _joined(texts: Column) -> Column:
+    return F.sha2(F.array_join(F.array_sort(texts), ";"), 256)
+
+
+def _row_digest(items: Column, values: Callable[[Column], Sequence[Column]]) -> Column:
+    return _joined(F.transform(items, lambda x: _text(values(x))))
 
 
 def _digest(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     """Digest of a tx's rows, the same for any order of them; a tx without rows has none, which is null after a join."""
-    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    return rows.groupBy("tx_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), ";"), 256).alias(name))
+    return rows.groupBy("tx_id").agg(_joined(F.collect_list(_text([F.col(c) for c in columns]))).alias(name))
 
 
 def integrity_digest(redeemer: DataFrame) -> DataFrame:
     """Of redeemers and language: deterministic and sensitive to content, but not the ledger's hash."""
-    return _digest(redeemer.withColumn("language", F.lit("v3")), "integrity", "purpose", "ix", "data", "mem", "steps", "language")
+    return _digest(redeemer.withColumn("language", F.lit(LANGUAGE)), "integrity", "purpose", "ix", "data", "mem", "steps", "language")
 
 
 def aux_digest(data: DataFrame) -> DataFrame:

@@ -75,6 +75,41 @@ def test_assembled_and_exploded_again(spark):
     assert tx.first()["collateral"] is None and tx.first()["integrity"] is None and tx.first()["aux"]
 
 
+def test_assembled_like_the_sections(spark):
+    rng, made = random.Random(4), []
+    for tx in range(1, 9):
+        for seq in range(40):
+            op = rng.choice(A.SECTIONS)
+            x = {"tx_id": tx, "seq": seq, "op": op, "witness": rng.choice(["script", "key", None])}
+            x |= {"src_tx_id": rng.randrange(4), "src_ix": rng.randrange(2), "address": rng.randrange(3), "lovelace": rng.randrange(99), "has_datum": rng.random() < 0.5, "policy_id": rng.randrange(3), "asset_name": rng.randrange(2), "qty": rng.randrange(-2, 3), "account": rng.randrange(3), "label": rng.randrange(3), "value": str(rng.randrange(9)), "signer": rng.randrange(3), "script_hash": rng.randrange(3), "slot": rng.randrange(99)}
+            made.append(x)
+    df = spark.createDataFrame([tuple(x.get(n) for n in A.LOG.names) for x in made], A.LOG)
+    extra = spark.createDataFrame([(1, 9, 9), (2, 0, 0), (77, 1, 1)], "tx_id long, src_tx_id long, src_ix long")
+    tx = {r["tx_id"]: r for r in A.assemble(df, extra).collect()}
+    assert sorted(tx) == list(range(1, 9))
+
+    def same(name, section, *columns):
+        want = {}
+        for r in section.collect():
+            want.setdefault(r["tx_id"], []).append(tuple(r[c] for c in columns))
+        for t, r in tx.items():
+            assert [tuple(x[c] for c in columns) for x in r[name] or []] == sorted(want.get(t, [])), name
+
+    sets, brought = A.input_sets(df, extra).where("tx_id < 77"), A.redeemers(df, extra)
+    for kind, name in zip(A.ROLES, ("inputs", "collateral", "reference_inputs"), strict=True):
+        same(name, sets.where(F.col("kind") == kind), "src_tx_id", "src_ix")
+    same("outputs", A.ordered_outputs(df), "ix", "address", "lovelace", "has_datum", "policy_id", "asset_name", "qty")
+    same("mint", A.net_mint(df), "policy_id", "asset_name", "qty")
+    same("withdrawals", A.withdrawals(df), "account", "amount")
+    same("metadata", A.metadata(df), "label", "value")
+    same("redeemers", brought, "purpose", "ix", "data", "mem", "steps")
+    bounds = {r["tx_id"]: (r["valid_from"], r["valid_to"]) for r in A.validity(df).collect()}
+    digests = {r["tx_id"]: r["integrity"] for r in A.integrity_digest(brought).collect()}
+    notes = {r["tx_id"]: r["aux"] for r in A.aux_digest(A.metadata(df)).collect()}
+    for t, r in tx.items():
+        assert (r["valid_from"], r["valid_to"]) == bounds.get(t, (None, None)) and (r["integrity"], r["aux"]) == (digests.get(t), notes.get(t))
+
+
 def values(spark, *x):
     return spark.createDataFrame([(1, 5, 6, q) for q in x], "tx_id long, policy_id long, asset_name long, qty long")
 
