@@ -15,7 +15,11 @@ Cases: null and empty texts have no leaks; null, empty items and those without l
 digits are never found; items shorter than q are found only unchanged, as whole words.
 Repeated rows are judged one by one, repeated items are found each. Places are code points of
 the original text, ends are exclusive. A passage that leaks an item is reported once, with
-the fewest edits; an item that repeats itself may be found at several overlapping passages. Other columns pass through; an input column named leaks is replaced.
+the fewest edits, on a tie the first one. A run of bands is narrower than an item is long, so
+passages that do not overlap are all reported; an item that repeats itself may be found at
+several overlapping passages. What is found in a text depends on no other text. Texts are
+searched whole. An empty table, or no items, gives no leaks. Other columns pass through; an
+input column named leaks is replaced.
 """
 
 from __future__ import annotations

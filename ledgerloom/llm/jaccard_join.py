@@ -1,5 +1,8 @@
 """N-gram Jaccard join: signature trees over the texts that share a rare shingle.
 
+The trees are the method; a prefix filter before them is the candidate step: it deals the
+sets to the trees, since trees over all sets would meet pair by pair. It loses no link.
+
 1. Shingles. A text is cut into words, each run of n words is a shingle (64-bit hash), and a
    text's distinct shingles are its set. Texts with equal sets form a class and go on as one.
 2. Blocking without loss. All shingles have one order: first those with the rarest word, then
@@ -23,7 +26,9 @@ Cases: null and empty texts, and those without words, have an empty set and link
 Texts with fewer than n words have one shingle, the whole sequence. Repeated rows, and rows
 with the same id, are rows of their own; a null id is never a component's name unless no row
 of the component has another. Words are runs of anything but ASCII white space, with A-Z
-lower-cased. Columns other than id and text do not matter to the join.
+lower-cased. Texts are read whole, however long. Ties do not occur: a link is decided by whole
+numbers, and of repeated smallest ids the name is the same. An empty table gives an empty
+table. Columns other than id and text do not matter to the join, whatever their names.
 """
 
 from __future__ import annotations

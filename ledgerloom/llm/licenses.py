@@ -19,7 +19,8 @@ prefix of their path, and files then meet the resolved directories.
 Cases: null and empty texts have no own licence; null paths have no directory and inherit
 nothing. Ties go to the licence that sorts last, of several licence files of a directory to
 the best score. Repeated rows are repeated in the result. Kept columns with the name of a
-result column are replaced. Texts are read whole.
+result column are replaced. Texts are read whole, also those of one very long line. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations

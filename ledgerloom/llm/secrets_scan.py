@@ -14,7 +14,9 @@ candidates meet the counts.
 
 Cases: null texts count as empty and have no spans; null owners count as one owner; repeated
 rows are repeated in the result; places count code points, ends are exclusive. Columns that
-are not kept do not travel; kept columns with the name of a result column are replaced.
+are not kept do not travel; kept columns with the name of a result column are replaced. Spans
+that begin at the same place come in the order of KINDS. Texts are scanned whole. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations

@@ -74,6 +74,38 @@ def test_items_that_repeat_themselves():
     assert min(x[1] for x in leaks) < 300 and max(x[2] for x in leaks) > len(long) - 300 and all(x[3] == 0 for x in leaks)
 
 
+def test_copies_apart_in_one_text_are_all_found():
+    item = "la " * 34
+    text = f"{item} and then some other words {item} more of them here {item} the end"
+    leaks = Index([(1, item)]).search([text])[0]
+    for start in (0, text.index(" and") - 1 + len(" and then some other words "), text.rindex("la la", 0, text.index(" the end"))):
+        assert any(x[1] <= start + 3 and x[2] >= start - 3 and x[3] == 0 for x in leaks)
+    covered = {i for _, a, b, _ in leaks for i in range(a, b)}
+    assert all(any(text.index(part) + k in covered for k in range(len(item))) for part in (f"{item} and", f"{item} more", f"{item} the"))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_text_does_not_depend_on_its_neighbours(seed):
+    rng = random.Random(seed)
+    item, beat = "".join(rng.choice("abcdefgh ij") for _ in range(200)), "ha " * 40
+    index = Index([(1, item), (2, beat), (3, "short")])
+    cut = item[:80] + item[93:]
+    texts = [rng.choice(["", None, "x", "ha", beat, beat[: rng.randrange(90)], item, cut, f"short {cut}", "?", "some other words of no item"]) for _ in range(150)]
+    assert index.search(texts) == [index.search([t])[0] for t in texts]
+    assert all(found for t, found in zip(texts, index.search(texts), strict=True) if t == cut) and cut in texts
+
+
+def test_same_leaks_however_rows_are_dealt(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.selectExpr("-doc_id", "substr(text, 1, 1)"))
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    first = None
+    for n in (1, 7, 50):
+        found = sorted((r["doc_id"], str(r["leaks"])) for r in mark_leaks(docs.repartition(n), bench).collect())
+        first = first or found
+        assert found == first
+
+
 def test_cases(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     long = "noise words everywhere here " * 5000 + item.upper() + " tail" * 5000
