@@ -590,18 +590,45 @@ def p3_at_most(spark, sf_dir):
     return sampling.at_most(Data(spark, sf_dir).tx.select("owner", "tx_id"), 5, ["tx_id"], ["owner"])
 
 
-@query(""", one AS (SELECT tx_id, 'outputs' AS section, concat('ix=', ix, ',lovelace=', lovelace) AS element FROM tx_output UNION ALL SELECT tx_id, 'mint', concat('asset_name=', asset_name, ',qty=', qty) FROM tx_mint),
-other AS (SELECT tx_id, 'outputs' AS section, concat('ix=', ix, ',lovelace=', lovelace + CASE WHEN qty = 50 THEN 1 ELSE 0 END) AS element FROM tx_output UNION ALL SELECT tx_id, 'mint', concat('asset_name=', asset_name, ',qty=', qty) FROM tx_mint WHERE qty > -40)
+def _element(*columns: str) -> str:
+    return "concat(" + ", ',', ".join(f"'{c}=', {c}" for c in columns) + ")"
+
+
+#: Sections of R1: the table, its columns, and what the other side lacks.
+_SECTIONS = {
+    "collateral": ("(SELECT * FROM tx_input WHERE kind = 'collateral')", ("src_tx_id", "src_ix"), "src_ix = 5"),
+    "inputs": ("(SELECT * FROM tx_input WHERE kind = 'spend')", ("src_tx_id", "src_ix"), "src_ix = 4"),
+    "metadata": ("tx_metadata", ("label", "value"), "label = 9"), "mint": ("tx_mint", ("asset_name", "qty"), "qty <= -40"),
+    "redeemers": ("eval_result", ("purpose", "ix", "mem"), "mem = 7000"), "references": ("(SELECT * FROM tx_input WHERE kind = 'reference')", ("src_tx_id", "src_ix"), "src_ix = 3"),
+    "scripts": ("tx_script", ("script_hash",), "script_hash = 24"), "signers": ("tx_signer", ("signer",), "signer % 50 = 0"),
+    "validity": ("(SELECT tx_id, posix_ms // 1000 AS valid_from FROM tx)", ("valid_from",), "valid_from % 7 = 0"), "withdrawals": ("tx_withdrawal", ("account", "amount"), "account % 9 = 0"),
+}
+
+
+def _side(where: str) -> str:
+    return " UNION ALL ".join(f"SELECT tx_id, '{name}' AS section, {_element(*columns)} AS element FROM {table} {where.format(lacks)}" for name, (table, columns, lacks) in _SECTIONS.items())
+
+
+@query(f""", one AS (SELECT tx_id, 'outputs' AS section, concat('ix=', ix, ',lovelace=', lovelace) AS element FROM tx_output UNION ALL {_side("")}),
+other AS (SELECT tx_id, 'outputs' AS section, concat('ix=', ix, ',lovelace=', lovelace + CASE WHEN qty = 50 THEN 1 ELSE 0 END) AS element FROM tx_output UNION ALL {_side("WHERE NOT ({})")})
 SELECT tx_id, section, element, CASE WHEN n > 0 THEN 'expected' ELSE 'actual' END AS side, CAST(abs(n) AS BIGINT) AS n FROM (SELECT tx_id, section, element, sum(k) AS n FROM (SELECT *, 1 AS k FROM one UNION ALL SELECT *, -1 FROM other) GROUP BY ALL) WHERE n <> 0""")
 def r1_diff_structural(spark, sf_dir):
+    """All sections, each changed or cut on one side."""
     d = Data(spark, sf_dir)
-    outputs, mint = d.tx_output.select("tx_id", "ix", "lovelace", "qty"), d.tx_mint.select("tx_id", "asset_name", "qty")
+    inputs = pinned(d.tx_input)
+    tables = {k: inputs.where(F.col("kind") == kind) for k, kind in (("inputs", "spend"), ("collateral", "collateral"), ("references", "reference"))}
+    tables |= {"metadata": d.tx_metadata, "mint": d.tx_mint, "redeemers": d.eval_result, "scripts": d.tx_script, "signers": d.tx_signer, "withdrawals": d.tx_withdrawal}
+    tables["validity"] = d.tx.select("tx_id", F.expr("posix_ms div 1000").alias("valid_from"))
+    outputs = d.tx_output.select("tx_id", "ix", "lovelace", "qty")
     changed = outputs.withColumn("lovelace", F.col("lovelace") + F.when(F.col("qty") == 50, 1).otherwise(0))
-    return R.diff_structural({"outputs": outputs.drop("qty"), "mint": mint}, {"outputs": changed.drop("qty"), "mint": mint.where("qty > -40")})
+    whole = {k: df.select("tx_id", *_SECTIONS[k][1]) for k, df in tables.items()}
+    cut = {k: df.where(f"not ({_SECTIONS[k][2]})") for k, df in whole.items()}
+    return R.diff_structural({"outputs": outputs.drop("qty"), **whole}, {"outputs": changed.drop("qty"), **cut})
 
 
 @query(f""", {_READY}, fees AS (SELECT tx_id, fee, n_outputs AS n, change FROM balanced WHERE error IS NULL), b AS (SELECT f.*, owner FROM fees f JOIN tx USING (tx_id))
-SELECT tx_id, 'change address' AS problem FROM b WHERE owner % 10 = 3 UNION ALL SELECT tx_id, 'outputs differ' FROM b WHERE tx_id IN (SELECT tx_id FROM tx_output WHERE qty = 50) UNION ALL SELECT tx_id, 'not one extra output' FROM b WHERE owner % 10 = 4 UNION ALL SELECT tx_id, 'change address' FROM b WHERE owner % 10 = 4 AND coalesce((SELECT arg_max(address, ix) FROM tx_output o WHERE o.tx_id = b.tx_id), -7) <> 7 UNION ALL SELECT tx_id, 'change has datum' FROM b WHERE owner % 10 = 4 AND (SELECT arg_max(has_datum, ix) FROM tx_output o WHERE o.tx_id = b.tx_id)""")
+SELECT tx_id, 'change address' AS problem FROM b WHERE owner % 10 = 3 UNION ALL SELECT tx_id, 'outputs differ' FROM b WHERE tx_id IN (SELECT tx_id FROM tx_output WHERE qty = 50) UNION ALL SELECT tx_id, 'not one extra output' FROM b WHERE owner % 10 = 4 UNION ALL SELECT tx_id, 'change address' FROM b WHERE owner % 10 = 4 AND coalesce((SELECT arg_max(address, ix) FROM tx_output o WHERE o.tx_id = b.tx_id), -7) <> 7 UNION ALL SELECT tx_id, 'change has datum' FROM b WHERE owner % 10 = 4 AND (SELECT arg_max(has_datum, ix) FROM tx_output o WHERE o.tx_id = b.tx_id)
+UNION ALL SELECT tx_id, 'units differ' FROM b WHERE owner % 10 < 8 AND tx_id IN (SELECT tx_id FROM eval_result WHERE mem = 7000)""")
 def r2_diff_balanced(spark, sf_dir):
     """Balanced transactions against their drafts; some changed, some without or with a wrong change output."""
     d = Data(spark, sf_dir)
@@ -610,7 +637,10 @@ def r2_diff_balanced(spark, sf_dir):
     drafts = d.tx_output.join(done.select("tx_id"), "tx_id", "left_semi")
     actual = drafts.withColumn("lovelace", F.col("lovelace") + F.when(F.col("qty") == 50, 1).otherwise(0)).select(columns)
     change = done.where("owner % 10 <> 4").select("tx_id", "ix", F.when(F.col("owner") % 10 == 3, 8).otherwise(7).cast("long").alias("address"), F.col("change").alias("lovelace"), F.lit(False).alias("has_datum"))
-    return R.diff_balanced(drafts.select(columns), actual.unionByName(change), done.select("tx_id", F.lit(7).cast("long").alias("address")), done.select("tx_id", "fee"))
+    units = d.eval_result.join(done.select("tx_id", "owner"), "tx_id")
+    other = units.withColumn("steps", F.when((F.col("mem") == 7000) & (F.col("owner") % 10 < 8), F.col("steps") + 1).otherwise(F.col("steps")))
+    address = done.select("tx_id", F.lit(7).cast("long").alias("address"))
+    return R.diff_balanced(drafts.select(columns), actual.unionByName(change), address, done.select("tx_id", "fee"), units, other)
 
 
 @query(""", texts AS (SELECT CASE WHEN qty = 7 THEN 'broken line' ELSE sha256(CAST(tx_id AS VARCHAR)) || '#' || ix || ' ' || lovelace END AS value, sha256(CAST(tx_id AS VARCHAR)) AS h, ix, lovelace, qty FROM tx_output)

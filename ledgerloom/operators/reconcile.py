@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.pinned import pinned
+
 
 def _rows(section: str, df: DataFrame) -> DataFrame:
     columns = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("~"))) for c in df.columns if c != "tx_id"]
@@ -13,7 +15,12 @@ def _rows(section: str, df: DataFrame) -> DataFrame:
 
 
 def _differences(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Elements with different numbers on the two sides, compared tx by tx only where the digests differ."""
+    """Elements with different numbers on the two sides, compared tx by tx only where the digests differ.
+
+    Both sides are read for the digests and again for what differs, so they are written once.
+    """
+    one, other = pinned(one), pinned(other)
+
     def digest(df: DataFrame) -> DataFrame:
         return df.groupBy("tx_id").agg(F.sum(F.xxhash64("section", "element").cast("decimal(38,0)")).alias("d"), F.count(F.lit(1)).alias("c"))
 
@@ -40,10 +47,11 @@ def diff_structural(expected: Mapping[str, DataFrame], actual: Mapping[str, Data
     return _differences(union(expected), union(actual))
 
 
-def diff_balanced(expected: DataFrame, actual: DataFrame, change: DataFrame, fees: DataFrame) -> DataFrame:
-    """(tx_id, problem): balanced outputs must be the expected ones and one more, at the change address, without datum, with a fee.
+def diff_balanced(expected: DataFrame, actual: DataFrame, change: DataFrame, fees: DataFrame, units: DataFrame | None = None, actual_units: DataFrame | None = None) -> DataFrame:
+    """(tx_id, problem): balanced outputs must be the expected ones and one more, at the change address, without datum, with a fee, with equal units.
 
-    expected, actual: tx_id, ix, address, lovelace, has_datum; change: tx_id, address; fees: tx_id, fee.
+    expected, actual: tx_id, ix, address, lovelace, has_datum; change: tx_id, address; fees: tx_id, fee;
+    units, actual_units: tx_id, purpose, ix, mem, steps of the redeemers, both or none.
     """
     n = expected.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n"))
     sized = actual.join(n, "tx_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -59,4 +67,9 @@ def diff_balanced(expected: DataFrame, actual: DataFrame, change: DataFrame, fee
     shape = facts.select("tx_id", F.explode(failed).alias("problem")).where("problem is not null")
     columns = ["tx_id", "ix", "address", "lovelace", "has_datum"]
     rest = _differences(_rows("outputs", expected.select(*columns)), _rows("outputs", sized.where("ix < n").select(*columns)))
-    return shape.unionByName(rest.select("tx_id", F.lit("outputs differ").alias("problem")).distinct())
+    out = shape.unionByName(rest.select("tx_id", F.lit("outputs differ").alias("problem")).distinct())
+    if units is None or actual_units is None:
+        return out
+    columns = ["tx_id", "purpose", "ix", "mem", "steps"]
+    other = _differences(_rows("redeemers", units.select(*columns)), _rows("redeemers", actual_units.select(*columns)))
+    return out.unionByName(other.select("tx_id", F.lit("units differ").alias("problem")).distinct())
