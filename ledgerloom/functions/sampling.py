@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .pinned import pinned
+from .ranges import RANGE, in_ranges, sum_before, sum_of_all, with_earlier, within
 
 
 def positions(last: int) -> list[int]:
@@ -22,25 +22,25 @@ def positions(last: int) -> list[int]:
 def numbered(df: DataFrame, order: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:
     """Adds pos, from 0, and size of the partition.
 
-    Without a partition the order is global: rows are dealt to ranges, written with their
-    range, counted, and numbered within it from the sum of the ranges before, so no task sees
-    all rows.
+    Rows are dealt to ranges, written with their range, counted, and numbered within it from the
+    sum of the ranges before, so no task sees all rows of a partition, or of the table where
+    there is none and the order is global.
     """
     if partition:
-        w = W.partitionBy(*partition)
-        return df.withColumns({"pos": (F.row_number().over(w.orderBy(*order)) - 1).cast("long"), "size": F.count(F.lit(1)).over(w)})
-    spark = df.sparkSession
-    ranged = pinned(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id()))
-    sizes = ranged.groupBy("_p").count().collect()  # a row for each partition
+        rows = with_earlier(in_ranges(df, partition, order), partition, F.count(F.lit(1)), _before=sum_before, size=sum_of_all)
+        place = F.row_number().over(within(partition).orderBy(*order)) - 1
+        return rows.withColumn("pos", (F.col("_before") + place).cast("long")).drop("_before", RANGE)
+    ranged = in_ranges(df, [], order)
+    sizes = ranged.groupBy(RANGE).count().collect()  # a row for each range
     before, rows = 0, []
-    for r in sorted(sizes, key=lambda r: r["_p"]):
-        rows.append((r["_p"], before))
+    for r in sorted(sizes, key=lambda r: r[RANGE]):
+        rows.append((r[RANGE], before))
         before += r["count"]
     if not rows:
         return df.withColumns({"pos": F.lit(0).cast("long"), "size": F.lit(0).cast("long")})
     offset = F.create_map(*(x for p, n in rows for x in (F.lit(p), F.lit(n))))
-    place = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumns({"pos": (F.element_at(offset, F.col("_p")) + place).cast("long"), "size": F.lit(before).cast("long")}).drop("_p")
+    place = F.row_number().over(within([]).orderBy(*order)) - 1
+    return ranged.withColumns({"pos": (F.element_at(offset, F.col(RANGE)) + place).cast("long"), "size": F.lit(before).cast("long")}).drop(RANGE)
 
 
 def _at_positions(df: DataFrame) -> DataFrame:

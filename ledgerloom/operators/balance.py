@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.fees import cbor_length, fixed_point, min_fee
+from ..functions.ranges import in_ranges, sum_before, with_earlier, within
 from ..params import DEFAULT, Params
 
 ASSET = ("policy_id", "asset_name")
@@ -108,6 +109,7 @@ def bump_fee(outputs: DataFrame, tx: DataFrame) -> DataFrame:
 
 
 def chain_balances(seed: DataFrame, fees: DataFrame) -> DataFrame:
-    """Remaining coin after each of a chain of self-transfers. seed: chain, seed; fees: chain, n, fee."""
-    spent = F.sum("fee").over(W.partitionBy("chain").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    return fees.join(seed, "chain").select("chain", "n", "fee", (F.col("seed") - spent).cast("long").alias("balance"))
+    """Remaining coin after each of a chain of self-transfers; a null fee is none. seed: chain, seed; fees: chain, n, fee."""
+    rows = with_earlier(in_ranges(fees.select("chain", "n", "fee"), ["chain"], ["n"]), ["chain"], F.sum("fee"), before=sum_before)
+    spent = F.col("before") + F.coalesce(F.sum("fee").over(within(["chain"]).orderBy("n").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    return rows.select("chain", "n", "fee", spent.alias("spent")).join(seed, "chain").select("chain", "n", "fee", (F.col("seed") - F.col("spent")).cast("long").alias("balance"))

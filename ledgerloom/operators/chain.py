@@ -1,14 +1,18 @@
 """Following chains in batch: roll-backs, phases, block contents and the mapping of time to slots.
 
 Events: follower, seq, kind (forward or back), slot, back_slot (target of a roll-back, null for
-origin) and tip_slot. A follower's window is one partition; for a single very long chain
-canonical_chain_bucketed does the same in two stages.
+origin) and tip_slot. In canonical_chain a follower's window is one partition; for a single very
+long chain canonical_chain_bucketed does the same in two stages. Where else blocks or txs are put
+in order, a follower's or chain's rows are dealt to ranges.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.ranges import in_ranges, one_before, with_earlier, within
+from ..functions.sampling import numbered
+
 
 def fetched(events: DataFrame) -> DataFrame:
     """Roll-forwards with tip slot, 0 at genesis, and how far they are behind the tip."""
@@ -55,12 +59,11 @@ def find_intersection(points: DataFrame, chain: DataFrame) -> DataFrame:
 
 def phases(events: DataFrame) -> DataFrame:
     """(follower, seq, slot, phase, transition): restoring until the first block at the tip, following ever after."""
-    so_far = W.partitionBy("follower").orderBy("seq")
-    rows = fetched(events).withColumn("at_tip", ((F.col("tip_slot") > 0) & (F.col("slot") >= F.col("tip_slot"))).cast("int"))
-    rows = rows.withColumns({"now": F.max("at_tip").over(so_far), "n": F.sum("at_tip").over(so_far)})
-    return rows.select(
-        "follower", "seq", "slot", F.when(F.col("now") == 1, "following").otherwise("restoration").alias("phase"), ((F.col("at_tip") == 1) & (F.col("n") == 1)).alias("transition")
-    )
+    rows = fetched(events).withColumn("at_tip", (F.col("tip_slot") > 0) & (F.col("slot") >= F.col("tip_slot")))
+    first = rows.where("at_tip").groupBy(F.col("follower").alias("_follower")).agg(F.min("seq").alias("first"))
+    rows = rows.join(first, rows["follower"].eqNullSafe(first["_follower"]), "left")
+    phase = F.when(F.col("seq") >= F.col("first"), "following").otherwise("restoration")
+    return rows.select("follower", "seq", "slot", phase.alias("phase"), F.coalesce(F.col("at_tip") & (F.col("seq") == F.col("first")), F.lit(False)).alias("transition"))
 
 
 def block_txs(chain: DataFrame) -> DataFrame:
@@ -70,17 +73,23 @@ def block_txs(chain: DataFrame) -> DataFrame:
 
 
 def take_blocks(chain: DataFrame, n: int) -> DataFrame:
-    """The first n blocks of each follower, numbered from 1."""
-    return _numbered(chain).where(F.col("n") <= n)
+    """The first n blocks of each follower, numbered from 1.
+
+    A few blocks are picked before they travel; many are numbered in ranges.
+    """
+    if n > 1000:  # up to here Spark keeps the first rows of each task only
+        return _numbered(chain).where(F.col("n") <= n)
+    place = F.row_number().over(W.partitionBy("follower").orderBy("seq"))
+    return chain.withColumn("n", place).where(F.col("n") <= n).withColumn("n", F.col("n").cast("long"))
 
 
 def block_batches(chain: DataFrame, n: int) -> DataFrame:
     """Blocks with the number of their batch of n blocks."""
-    return _numbered(chain).withColumn("batch", F.floor((F.col("n") - 1) / n))
+    return _numbered(chain).withColumn("batch", F.call_function("div", F.col("n") - 1, F.lit(n)))
 
 
 def _numbered(chain: DataFrame) -> DataFrame:
-    return chain.withColumn("n", F.row_number().over(W.partitionBy("follower").orderBy("seq")).cast("long"))
+    return numbered(chain, ["seq"], ["follower"]).withColumn("n", F.col("pos") + 1).drop("pos", "size")
 
 
 def audit_order(submitted: DataFrame, chain_txs: DataFrame) -> DataFrame:
@@ -90,7 +99,9 @@ def audit_order(submitted: DataFrame, chain_txs: DataFrame) -> DataFrame:
     """
     first = chain_txs.groupBy("tx_id").agg(F.min("pos").alias("pos"))
     rows = submitted.join(first, "tx_id", "left")
-    before = F.lag("pos").over(W.partitionBy("chain").orderBy("n"))
+    rows = with_earlier(in_ranges(rows, ["chain"], ["n"]), ["chain"], F.max(F.struct("n", "pos")), _last=one_before)
+    order = within(["chain"]).orderBy("n")
+    before = F.when(F.row_number().over(order) == 1, F.col("_last.pos")).otherwise(F.lag("pos").over(order))
     problem = F.when(F.col("pos").isNull(), "missing").when(F.col("pos") <= before, "out of order")
     return rows.withColumn("problem", problem).where("problem is not null").select("chain", "n", "tx_id", "pos", "problem")
 

@@ -7,7 +7,8 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.fees import cbor_length, fixed_point, min_fee
-from ledgerloom.functions.sampling import at_most, positions, sample_fibonacci, sample_list
+from ledgerloom.functions.ranges import in_ranges
+from ledgerloom.functions.sampling import at_most, numbered, positions, sample_fibonacci, sample_list
 from ledgerloom.operators import assembly as A, balance as B, chain as C, checks as K, execution as E, indices as I, utxo as U
 
 INPUT = "tx_id long, kind string, src_tx_id long, src_ix long"
@@ -266,6 +267,43 @@ def test_sampling(spark):
     assert [at_most(part, n, ["x"], ["g"]).select("x").collect() for n in (0, 3, 999)] == [[], [(2,)], [(377,)]]
 
 
+def test_orders_of_large_groups_are_dealt_to_ranges(spark):
+    """One group holds most rows, others a few, one has a null key; against plain Python."""
+    rng = random.Random(5)
+    data = [(g, n, rng.choice([None, *range(9)])) for g, size in ((1, 2000), (2, 3), (None, 50), (3, 1)) for n in range(size)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "g long, x long, fee long")
+    groups = {g: sorted((r for r in data if r[0] == g), key=lambda r: r[1]) for g in (1, 2, 3, None)}
+    out = numbered(df, ["x"], ["g"])
+    assert {(r["g"], r["x"], r["pos"], r["size"]) for r in out.collect()} == {(g, r[1], i, len(own)) for g, own in groups.items() for i, r in enumerate(own)}
+    assert out.count() == len(data) and numbered(df.limit(0), ["x"], ["g"]).count() == 0
+    assert in_ranges(df, ["g"], ["x"]).where("g = 1").select("_p").distinct().count() > 1
+
+    chain = df.withColumnsRenamed({"g": "follower", "x": "seq"})
+    batches = {(r["follower"], r["seq"]): (r["n"], r["batch"]) for r in C.block_batches(chain, 3).collect()}
+    assert batches == {(g, r[1]): (i + 1, i // 3) for g, own in groups.items() for i, r in enumerate(own)}
+    for n in (2, 1500):
+        assert {(r["follower"], r["seq"], r["n"]) for r in C.take_blocks(chain, n).collect()} == {(g, r[1], i + 1) for g, own in groups.items() for i, r in enumerate(own[:n])}
+
+    seed = spark.createDataFrame([(1, 10_000), (2, 5)], "chain long, seed long")
+    want = {(g, r[1], start - sum(x[2] or 0 for x in groups[g][: i + 1])) for g, start in ((1, 10_000), (2, 5)) for i, r in enumerate(groups[g])}
+    assert {(r["chain"], r["n"], r["balance"]) for r in B.chain_balances(seed, df.withColumnsRenamed({"g": "chain", "x": "n"})).collect()} == want
+
+    txs = [(g, i, f"{g}.{i}") for g, own in groups.items() for i in range(len(own))]
+    pos = {t: rng.randrange(3 * i + 5) for _, i, t in txs if i % 7}
+    found = C.audit_order(spark.createDataFrame(txs, "chain long, n long, tx_id string"), spark.createDataFrame(list(pos.items()), "tx_id string, pos long"))
+    before = {t: pos.get(f"{g}.{i - 1}") for g, i, t in txs}
+    want = {(t, "missing") for *_, t in txs if t not in pos} | {(t, "out of order") for *_, t in txs if t in pos and before[t] is not None and pos[t] <= before[t]}
+    assert {(r["tx_id"], r["problem"]) for r in found.collect()} == want
+
+
+def test_phases(spark):
+    tips = [(1, 0, None), (1, 1, 5), (1, 2, 2), (1, 3, 9), (1, 4, 4), (None, 0, 9), (None, 1, 1), (2, 0, 0)]  # slot is seq
+    df = spark.createDataFrame([(f, s, "forward", s, None, t) for f, s, t in tips], "follower long, seq long, kind string, slot long, back_slot long, tip_slot long")
+    out = {(r["follower"], r["seq"]): (r["phase"][0], r["transition"]) for r in C.phases(df).collect()}
+    assert out == {(1, 0): ("r", False), (1, 1): ("r", False), (1, 2): ("f", True), (1, 3): ("f", False), (1, 4): ("f", False), (None, 0): ("r", False), (None, 1): ("f", True), (2, 0): ("r", False)}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_canonical_chain(spark, seed):
     rng = random.Random(seed)
