@@ -57,6 +57,15 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Short rows that may be broadcast, after they were counted.
+FEW = 500_000
+
+
+def if_few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcasting if its counted rows are few enough."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import encode_texts, ids_sha256
-from .common import bucket_of, table
-from . import lang_id
+from .common import bucket_of, if_few, table
+from . import lang_id, quality
 from .decontaminate import mark_leaks
 from .hnsw import near_vectors
 from .html_extract import extract
@@ -97,6 +97,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs.select("doc_id", "text", "held_out"), model).drop("text")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket_of(F.col("doc_id")) == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs.where("not held_out").join(if_few(labels), "doc_id"))
+    return quality.judge(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scans": op2_license_scans,
@@ -108,4 +115,5 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op11_quality_classifier": op11_quality_classifier,
 }
