@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from .ball_search import TERM
 from .licenses import CUES, TEMPLATES, THRESHOLD, TOKEN
 
 OP4 = r"""
@@ -87,8 +88,24 @@ SELECT doc_id, path, coalesce(b, found).licence AS licence, CASE WHEN b IS NOT N
 FROM judged LEFT JOIN nearest USING (dir)
 """
 
+_TERMS = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce({_TERMS}, []) AS terms FROM documents),
+size AS (SELECT rn, doc_id, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM size),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+held AS (SELECT rn, term, count(*) AS tf FROM (SELECT rn, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, whole GROUP BY term),
+parts AS (SELECT rn, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))) AS part FROM held JOIN size USING (rn) JOIN weights USING (term), whole),
+scores AS (SELECT item_id, rn, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores
+QUALIFY rank <= 50
+"""
+
 ORACLES = {
     "op2_license_scans": OP2,
     "op4_url_filters": OP4,
     "op8_secret_scans": OP8,
+    "op12_lexical_search": OP12,
 }

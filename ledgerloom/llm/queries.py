@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .ball_search import rank_documents
 from .bpe import encode_texts, ids_sha256
 from .common import bucket_of, if_few, table
 from . import lang_id, quality
@@ -104,6 +105,10 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scans": op2_license_scans,
@@ -116,4 +121,5 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
     "op11_quality_classifier": op11_quality_classifier,
+    "op12_lexical_search": op12_lexical_search,
 }
