@@ -103,9 +103,68 @@ SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 QUALIFY rank <= 50
 """
 
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295)"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _way(cost: str, letter: str, line: str, then: str) -> str:
+    """A way that begins with an edit: its cost, its audit and its lines, each ended by a newline."""
+    return f"struct_pack(c := {then}.c + {cost}, a := '{letter}' || {then}.a, t := {line} || {then}.t)"
+
+
+def _edited(state: int, kept: str, due: tuple[str, int]) -> str:
+    """The least way of a state at a row, before rows may be inserted; kept: by initial, the state after keeping the row."""
+    role, then = due
+    keep = " ".join(f"WHEN i = '{x}' THEN {_way('cut', 'K', line, f's{n}')}" for x, n in kept for line in ["role || ':' || text || chr(10)"])
+    keeps = f"CASE WHEN must THEN struct_pack(c := 1000000000, a := '', t := '') {keep} ELSE struct_pack(c := 1000000000, a := '', t := '') END"
+    line = f"'{role}:' || text || chr(10)"
+    reroles = f"CASE WHEN must THEN struct_pack(c := 1000000000, a := '', t := '') ELSE {_way('2 + cut', 'R', line, f's{then}')} END"
+    return _least(_way("3", "D", "''", f"s{state}"), keeps, reroles) + f" AS b{state}"
+
+
+OP13 = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS k FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations)
+), harmed AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END)
+  FROM keyed WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM harmed
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair,
+         regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS shown
+  FROM placed
+), judged AS (
+  SELECT *, CASE WHEN shown = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN shown[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, count(*) OVER (PARTITION BY conv_id) AS top FROM seen
+), found AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), ways AS (
+  SELECT conv_id, max(n) AS n, struct_pack(c := 0, a := '', t := '') AS s0, struct_pack(c := 4, a := 'II', t := 'user:' || chr(10) || 'assistant:' || chr(10)) AS s1,
+         struct_pack(c := 2, a := 'I', t := 'assistant:' || chr(10)) AS s2, struct_pack(c := 0, a := '', t := '') AS s3
+  FROM judged GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, n - 1, {_least("b0", _way("2", "I", "'user:' || chr(10)", "u"))}, {_least("b1", _way("2", "I", "'user:' || chr(10)", "u"))}, u, {_least("b3", _way("2", "I", "'user:' || chr(10)", "b2"))}
+  FROM (
+    SELECT *, {_least("b2", _way("2", "I", "'assistant:' || chr(10)", "b3"))} AS u FROM (
+      SELECT conv_id, n, {_edited(0, [("s", 1), ("u", 2)], ("user", 2))}, {_edited(1, [("u", 2)], ("user", 2))}, {_edited(2, [("a", 3)], ("assistant", 3))}, {_edited(3, [("u", 2)], ("user", 2))}
+      FROM (SELECT w.conv_id, w.n, s0, s1, s2, s3, role, text, role[1] AS i, fault IN ('blank', 'duplicate') AS must, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM ways w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.n = w.n)
+    )
+  )
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(left(s0.t, length(s0.t) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN found f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN (SELECT * FROM ways WHERE n = 0) w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 ORACLES = {
     "op2_license_scans": OP2,
     "op4_url_filters": OP4,
     "op8_secret_scans": OP8,
     "op12_lexical_search": OP12,
+    "op13_conversation_repair": OP13,
 }

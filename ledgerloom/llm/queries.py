@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .ball_search import rank_documents
 from .bpe import encode_texts, ids_sha256
 from .common import bucket_of, if_few, table
-from . import lang_id, quality
+from . import conversations, lang_id, quality
 from .decontaminate import mark_leaks
 from .hnsw import near_vectors
 from .html_extract import extract
@@ -109,6 +109,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair_digests(conversations.damaged(rows), rows)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scans": op2_license_scans,
@@ -122,4 +127,5 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_quality_classifier": op11_quality_classifier,
     "op12_lexical_search": op12_lexical_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
