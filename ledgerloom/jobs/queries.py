@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import views as V
 from ..functions import sampling
 from ..functions.pinned import pinned, shared_folder
-from ..operators import assembly as A, balance as B, chain as C, checks as K, execution as E, indices as I, reconcile as R, utxo as U
+from ..operators import assembly as A, balance as B, building, chain as C, checks as K, derived, execution as E, indices as I, reconcile as R, utxo as U
+from ..operators.scripts import evaluate_scripts
 from ..params import DEFAULT
 from ..sources.readers import EVENTS, parse_genesis_funds, parse_params, parse_tx_hex, parse_utxo_lines, read_chain_events
 from ..streaming.follow import OUT as OUT_ACTIONS, follow_stream, live_after, utxo_at, utxo_stream
@@ -451,6 +452,116 @@ def e7_evaluate_and_balance(spark, sf_dir):
     return E.evaluate_and_balance(d.ready(), d.redeemer(), d.eval_result, [("change is worth an output", F.col("change") >= 1_000_000)], _margin)
 
 
+def _script(request: dict) -> tuple[int, int]:
+    """A script evaluator as a user would give it: units of a request, or an exception."""
+    if not request["good"]:
+        raise ValueError("script failed")
+    if request["luck"] == 0:
+        raise ArithmeticError("value not conserved")
+    return request["mem"] + request["luck"], request["steps"]
+
+
+_ERRORS = "CASE WHEN NOT r.ok THEN 'ValueError: script failed' WHEN {luck} = 0 THEN 'ArithmeticError: value not conserved' END"
+
+
+@query(f""" SELECT tx_id, purpose, ix, {_ERRORS.format(luck="qty")} IS NULL AS ok, CASE WHEN error IS NULL THEN mem + qty END AS mem, CASE WHEN error IS NULL THEN steps END AS steps, error
+FROM (SELECT *, {_ERRORS.format(luck="qty")} AS error FROM (SELECT *, (tx_id + ix) % 7 AS qty FROM eval_result) r) r""")
+def e3_evaluate_scripts(spark, sf_dir):
+    """User code as the evaluator: scripts with equal requests run once, whichever transaction asks; two passes share the answers."""
+    asked = Data(spark, sf_dir).eval_result.select("tx_id", "purpose", "ix", F.col("ok").alias("good"), "mem", "steps", ((F.col("tx_id") + F.col("ix")) % 7).alias("luck"))
+    columns, out = ("good", "mem", "steps", "luck"), ("tx_id", "purpose", "ix", "ok", "mem", "steps", "error")
+    plain = asked.withColumnsRenamed({"mem": "mem0", "steps": "steps0"})
+    request = plain.select("tx_id", "purpose", "ix", F.struct("good", F.col("mem0").alias("mem"), F.col("steps0").alias("steps"), "luck").alias("request"))
+    _, known = evaluate_scripts(request.where("purpose = 'spend'").select("request.*"), columns, _script)
+    answered, _ = evaluate_scripts(request.select("tx_id", "purpose", "ix", "request"), ["request.*"], _script, known)
+    return answered.select(*out)
+
+
+def _program(redeemers: DataFrame) -> building.Program:
+    """Outputs and sizes that depend on the transaction before, and scripts that depend on the fee they run under."""
+    owner, fee = F.col("owner"), F.col("prev_fee")
+
+    def interpret(state: DataFrame) -> DataFrame:
+        tips = owner % 4 == 1
+        tip = F.when(tips, F.least(F.lit(1000).cast("long"), F.expr("greatest(0, coalesce(prev_change, 0)) div 10"))).otherwise(0)
+        extra = F.when((owner % 5 == 0) & (F.expr("prev_fee div 900") % 2 == 0), 40).otherwise(0)
+        out = state.withColumns({"base_size": F.col("own_size") + extra, "total_out": F.col("own_out") + tip, "n_outputs": F.col("own_n") + F.when(tips, 1).otherwise(0)})
+        same = F.coalesce(F.col("total_in") - F.col("total_out") - fee == F.col("prev_change"), F.lit(False))
+        return out.withColumn("peeked", (fee > 0) & (~tips | same))
+
+    known = None
+
+    def evaluate(drafts: DataFrame) -> DataFrame:
+        nonlocal known
+        luck = F.when(owner % 3 == 1, F.when(fee == 0, 0).otherwise(9)).when(owner % 3 == 0, (fee * 7 + F.col("tx_id") * 13 + F.col("ix")) % 10).otherwise(9)
+        asked = drafts.select("tx_id", "prev_fee", "owner").join(redeemers, "tx_id")
+        request = F.struct(F.col("ok").alias("good"), "mem", "steps", luck.alias("luck"))
+        results, known = evaluate_scripts(asked.select("tx_id", "prev_fee", "purpose", "ix", request.alias("request")), ["request.*"], _script, known)
+        return results
+
+    return building.Program(interpret, evaluate, lambda x: x + F.call_function("div", x, F.lit(10).cast("long")), [("change is worth an output", F.col("change") >= 1_000_000)])
+
+
+_LUCK = "(CASE owner % 3 WHEN 1 THEN CASE WHEN pf = 0 THEN 0 ELSE 9 END WHEN 0 THEN (pf * 7 + tx_id * 13 + r.ix) % 10 ELSE 9 END)"
+_BUILD = f"""{_READY}, asked AS (SELECT ready.tx_id, owner, CASE WHEN owner % 7 = 0 THEN total_in ELSE total_in + total_out END AS total_in, ref_bytes, ready.base_size AS own_size, total_out AS own_out, n_outputs AS own_n FROM ready JOIN tx ON tx.tx_id = ready.tx_id),
+reds AS (SELECT tx_id, list(struct_pack(rank := CASE purpose WHEN 'spend' THEN 1 WHEN 'mint' THEN 2 ELSE 3 END, ix := ix, purpose := purpose, ok := ok, mem := mem, steps := steps) ORDER BY CASE purpose WHEN 'spend' THEN 1 WHEN 'mint' THEN 2 ELSE 3 END, ix) AS reds FROM eval_result GROUP BY 1),
+rounds AS (
+  SELECT a.*, coalesce(reds, []) AS reds, CAST(0 AS BIGINT) AS prev_fee, CAST(NULL AS BIGINT) AS prev_change, CAST(0 AS BIGINT) AS um, CAST(0 AS BIGINT) AS us, CAST([] AS BIGINT[]) AS seen, CAST(0 AS BIGINT) AS max_fee, 0 AS retries,
+         CAST(NULL AS BIGINT) AS low, CAST(NULL AS BIGINT) AS high, CAST(NULL AS BIGINT) AS base_fee, CAST(NULL AS BIGINT) AS base_change, 0 AS rounds, CAST(NULL AS VARCHAR) AS outcome,
+         CAST(NULL AS BIGINT) AS fee, CAST(NULL AS BIGINT) AS change, CAST(NULL AS VARCHAR) AS error, CAST(NULL AS VARCHAR) AS purpose, CAST(NULL AS BIGINT) AS ix
+  FROM asked a LEFT JOIN reds USING (tx_id)
+  UNION ALL
+  SELECT tx_id, owner, total_in, ref_bytes, own_size, own_out, own_n, reds,
+         CASE WHEN halves THEN pf WHEN again THEN 44 * (base_size + {_length("pf")}) + 155381 + 44 * ref_bytes WHEN raised THEN top ELSE fee END,
+         CASE WHEN halves OR again THEN NULL WHEN raised THEN change - (top - fee) ELSE change END,
+         CASE WHEN halves THEN CASE WHEN passed THEN um2 ELSE um END WHEN again THEN 0 WHEN failed THEN um ELSE um2 END, CASE WHEN halves THEN CASE WHEN passed THEN us2 ELSE us END WHEN again THEN 0 WHEN failed THEN us ELSE us2 END,
+         CASE WHEN halves OR again OR same OR swings THEN seen ELSE list_append(seen, fee) END, CASE WHEN halves OR again THEN max_fee ELSE top END, CASE WHEN again THEN retries + 1 ELSE 0 END,
+         CASE WHEN halves THEN CASE WHEN last OR passed THEN low ELSE pf END WHEN swings THEN least(fee, pf) END, CASE WHEN halves THEN CASE WHEN passed THEN pf ELSE high END WHEN swings THEN greatest(fee, pf) END,
+         CASE WHEN halves THEN CASE WHEN passed THEN pf ELSE base_fee END WHEN swings THEN fee END, CASE WHEN halves THEN CASE WHEN passed THEN change - (pf - fee) ELSE base_change END WHEN swings THEN change END, rounds + 1,
+         CASE WHEN halves AND last THEN CASE WHEN problem IS NOT NULL THEN 'BalanceFailed' WHEN change - (pf - fee) < 1000000 THEN 'ChecksFailed' ELSE 'ok' END WHEN halves THEN NULL
+              WHEN failed AND retries > 0 THEN 'EvalFailure' WHEN again THEN NULL WHEN problem IS NOT NULL THEN 'BalanceFailed' WHEN failed THEN CASE WHEN same THEN 'ok' END
+              WHEN same AND top = fee AND peeked THEN CASE WHEN change < 1000000 THEN 'ChecksFailed' ELSE 'ok' END WHEN same AND top = fee AND change IS NOT DISTINCT FROM pc THEN 'NotConverged' END,
+         CASE WHEN halves THEN pf ELSE fee END, CASE WHEN halves THEN change - (pf - fee) ELSE change END, CASE WHEN NOT halves AND failed AND retries > 0 THEN failure.error ELSE problem END, failure.purpose, failure.ix
+  FROM (
+    SELECT *, failed AND retries = 0 AND pf = 0 AND NOT halves AS again, fee = pf AS same, greatest(max_fee, fee) AS top, NOT failed AND fee = pf AND greatest(max_fee, fee) > fee AS raised,
+           NOT failed AND fee <> pf AND list_contains(seen, fee) AS swings, NOT last AND problem IS NULL AND NOT failed AS passed
+    FROM (
+      SELECT *, total_in - total_out - fee AS change, CASE WHEN total_in - total_out - fee < 0 THEN 'InsufficientFee' END AS problem
+      FROM (
+        SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT), CAST(range(11) AS BIGINT[])), lambda f, i: greatest(f, CAST(44 * (base_size + {_length("f")} + {_length("greatest(0, rest - f)")}) + other AS BIGINT))) AS fee
+        FROM (
+          SELECT *, total_in - total_out AS rest, (bm * 577000 + bs * 721 + 9999999) // 10000000 + 44 * ref_bytes + 155381 AS other
+          FROM (
+            SELECT *, CASE WHEN halves THEN CASE WHEN last THEN um ELSE 0 END WHEN failed THEN um ELSE um2 END AS bm, CASE WHEN halves THEN CASE WHEN last THEN us ELSE 0 END WHEN failed THEN us ELSE us2 END AS bs
+            FROM (
+              SELECT *, failure IS NOT NULL AS failed, coalesce(list_sum(list_transform(results, lambda r: CASE WHEN r.error IS NULL THEN r.mem + r.mem // 10 ELSE 0 END)), 0) AS um2, coalesce(list_sum(list_transform(results, lambda r: CASE WHEN r.error IS NULL THEN r.steps + r.steps // 10 ELSE 0 END)), 0) AS us2
+              FROM (
+                SELECT *, list_filter(results, lambda r: r.error IS NOT NULL)[1] AS failure
+                FROM (
+                  SELECT *, list_transform(reds, lambda r: struct_pack(purpose := r.purpose, ix := r.ix, mem := r.mem + {_LUCK}, steps := r.steps, error := {_ERRORS.format(luck=_LUCK)})) AS results,
+                         pf > 0 AND (owner % 4 <> 1 OR coalesce(total_in - total_out - pf = pc, false)) AS peeked
+                  FROM (
+                    SELECT *, own_size + CASE WHEN owner % 5 = 0 AND (pf // 900) % 2 = 0 THEN 40 ELSE 0 END AS base_size, own_out + CASE WHEN owner % 4 = 1 THEN least(1000, greatest(0, coalesce(pc, 0)) // 10) ELSE 0 END AS total_out
+                    FROM (
+                      SELECT *, low IS NOT NULL AS halves, coalesce(high <= low + 1, false) AS last, CASE WHEN low IS NULL THEN prev_fee WHEN high <= low + 1 THEN high ELSE low + (high - low) // 2 END AS pf,
+                             CASE WHEN low IS NULL THEN prev_change WHEN high <= low + 1 THEN NULL ELSE base_change - (low + (high - low) // 2 - base_fee) END AS pc
+                      FROM (SELECT * EXCLUDE (fee, change, error, purpose, ix, outcome) FROM rounds WHERE outcome IS NULL)
+                    ))))))))))
+)
+"""
+
+
+@query(f""", {_BUILD} SELECT tx_id, CASE WHEN good THEN fee END AS fee, CASE WHEN good THEN change END AS change, CASE WHEN good THEN um END AS mem, CASE WHEN good THEN us END AS steps, outcome, error,
+CASE WHEN outcome = 'EvalFailure' THEN purpose END AS purpose, CASE WHEN outcome = 'EvalFailure' THEN ix END AS ix, rounds FROM (SELECT *, outcome NOT IN ('EvalFailure', 'BalanceFailed') AS good FROM rounds WHERE outcome IS NOT NULL)""")
+def e9_build(spark, sf_dir):
+    d = Data(spark, sf_dir)
+    ready = d.ready().join(d.tx.select("tx_id", "owner"), "tx_id")
+    total_in = F.when(F.col("owner") % 7 == 0, F.col("total_in")).otherwise(F.col("total_in") + F.col("total_out"))
+    tx = ready.select("tx_id", "owner", total_in.alias("total_in"), "ref_bytes", F.col("base_size").alias("own_size"), F.col("total_out").alias("own_out"), F.col("n_outputs").alias("own_n"))
+    redeemers = pinned(d.eval_result)
+    return building.build(tx, redeemers, _program(redeemers))
+
+
 @query(f""", {_READY}, fees AS (SELECT *, change - (target - fee) AS rest, CASE WHEN error IS NOT NULL THEN error WHEN change - (target - fee) < 1000000 THEN 'ChecksFailed' END AS problem FROM (SELECT tx_id, fee, change, change_ix, error, greatest(fee, 170000 + owner) AS target FROM balanced JOIN tx USING (tx_id)))
 SELECT tx_id, ix, address, lovelace, target AS fee, problem AS error FROM tx_output JOIN fees USING (tx_id) WHERE error IS NULL UNION ALL SELECT tx_id, change_ix, NULL, rest, target, problem FROM fees WHERE error IS NULL UNION ALL SELECT tx_id, NULL, NULL, NULL, NULL, error FROM fees WHERE error IS NOT NULL""")
 def e8_settle_at_fee(spark, sf_dir):
