@@ -39,6 +39,8 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 #: Runs of this many characters with small and capital letters and digits are candidates of kind token.
 TOKEN_LEAST = 24
 TOKEN = rf"[A-Za-z0-9_-]{{{TOKEN_LEAST},}}"
+#: Matches of a text whose places are summed up together.
+PART = 128
 KINDS = ("assign", "access", "hex", "token")
 
 _SPAN = "array<struct<start:int,kind_no:int,end:int,hash:string>>"
@@ -47,22 +49,38 @@ _SPAN = "array<struct<start:int,kind_no:int,end:int,hash:string>>"
 def _places(text: Column, pattern: str, value_group: int) -> Column:
     """start, end and value of all matches, leftmost and non-overlapping.
 
-    The texts between the matches and the matches themselves give the places.
+    The texts between the matches and the matches themselves give the places, summed up in
+    parts of PART matches: appending to an array copies it, so parts stay short.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     lengths = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("own"), value.alias("value")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    width = lambda x: x["gap"] + F.coalesce(x["own"], F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(x["own"], F.lit(0))
-        one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["own"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(one))).alias("found"))
+    def found(part: Column, at: Column) -> Column:
+        """Matches of a part that begins at a place."""
+        start = F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
 
-    return F.aggregate(lengths, start, step)["found"]
+        def step(acc: Column, x: Column) -> Column:
+            begin, end = acc["at"] + x["gap"], acc["at"] + width(x)
+            one = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
+            return F.struct(end.alias("at"), F.when(x["own"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(one))).alias("found"))
+
+        return F.aggregate(part, start, step)["found"]
+
+    def in_parts(every: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / PART).cast("int")), lambda k: F.slice(every, k * PART + 1, F.lit(PART)))
+        return F.transform(F.array(parts), placed)[0]
+
+    def placed(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + width(x)))
+        starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), found))
+
+    # arrays of one bind a value to a name, so that nothing is matched again for each part
+    return F.transform(F.array(lengths), in_parts)[0]
 
 
 def _spans(text: Column, kind: str, pattern: str, quick: str, group: int, keep) -> Column:
