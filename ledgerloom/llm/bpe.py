@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import chunks
+from .common import chunks, tidy
 
 #: Entries of a task's tables. A full table of transitions or pairs is emptied and fills again; of pieces, the last two fillings are kept.
 MAX_MOVES, MAX_PAIRS, MAX_PIECES = 150_000, 150_000, 120_000
@@ -271,7 +271,7 @@ def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text"
                 more = [pa.array([_decoded(np.frombuffer(x, dtype=np.int32).tolist(), tokens, False)[0] for x in rows], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(np.diff(offsets).astype(np.int64)), *more], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode_ids(docs: DataFrame, ranks: bytes, ids: str = "ids", with_text: bool = True) -> DataFrame:
@@ -289,7 +289,7 @@ def decode_ids(docs: DataFrame, ranks: bytes, ids: str = "ids", with_text: bool
                 more = [pa.array([t for _, t in done], pa.string())] if with_text else []
                 yield pa.RecordBatch.from_arrays([*part.columns, *more, pa.array([d for d, _ in done], pa.string())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def ids_sha256(ids: str = "ids"):

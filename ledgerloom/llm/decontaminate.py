@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import chunks
+from .common import chunks, tidy
 
 Q, PERCENT = 7, 12
 #: Cells that are aligned at once, with the margins.
@@ -103,13 +103,11 @@ def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, most: int) -> tu
     if b > a:
         padded[a - lo : b - lo] = text[a:b]
     windows = np.lib.stride_tricks.sliding_window_view(padded, width)
-    differ = (windows != item[:, None]) * np.int64(one)
-    differ[windows == 0] = far
     steps = np.arange(width, dtype=np.int64) * one
     least = np.minimum
     for i in range(m):
         down = row[1:] + one
-        row = row + differ[i]
+        row = row + np.where(windows[i] == 0, far, (windows[i] != item[i]) * np.int64(one))
         least(row[:-1], down, out=row[:-1])
         row -= steps
         least.accumulate(row, out=row)
@@ -243,4 +241,4 @@ def _mark(docs: DataFrame, index: Index, text: str) -> DataFrame:
                 columns[place] = pa.array([a + b for a, b in zip(before, new, strict=True)], batch.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

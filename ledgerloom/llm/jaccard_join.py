@@ -41,7 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import chunks, removed, written
+from .common import chunks, removed, tidy, written
 from .components import components
 
 #: Sets of a block; a task holds the blocks it works on one at a time.
@@ -62,14 +62,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.ones(1, dtype=np.uint64)
+#: Bytes of a text that are hashed at a time.
+PIECE = 1 << 20
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full((1 << 16) - 1, _ODD)]), dtype=np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1 << 16) - 1, _ODD)]), dtype=np.uint64)
-    return _POWERS[:n]
+    """Powers of _ODD; those of short texts are at hand."""
+    return _POWERS[:n] if n <= len(_POWERS) else np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _ODD)]), dtype=np.uint64)
 
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -78,10 +78,24 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """Hashes of a text's words, in order: polynomial in the word's bytes, then mixed."""
+    """Hashes of a text's words, in order: polynomial in the word's bytes, then mixed.
+
+    A text is taken in pieces of about PIECE bytes that end at white space; a word's hash does not
+    depend on its place.
+    """
     if not text:
         return np.empty(0, np.uint64)
-    data = np.frombuffer(text.encode().translate(_LOWER), dtype=np.uint8)
+    data, start, parts = np.frombuffer(text.encode().translate(_LOWER), dtype=np.uint8), 0, []
+    while start < len(data):
+        end = min(start + PIECE, len(data))
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        parts.append(_piece_hashes(data[start:end]))
+        start = end
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _piece_hashes(data: np.ndarray) -> np.ndarray:
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[0::2], edge[1::2]
@@ -148,7 +162,7 @@ def _frequent_words(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
         yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(counts[some])], names=["word", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["word", "n"])
 
-    sums = docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = docs.select(text).mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     table = written(sums, "words")
     total = table.where("word is null").select(F.sum("n")).first()[0] or 0
     head = table.where((F.col("word").isNotNull()) & (F.col("n") >= max(2.0, total * FREQUENT))).toArrow()
@@ -197,7 +211,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
                     names=["doc_id", "text_hash", "size", "s1", "s2", "shingles"],
                 )
 
-    cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, SET_SCHEMA)
+    cut = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(tidy(run), SET_SCHEMA)
     return written(cut.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -335,7 +349,7 @@ def _linked_in_blocks(rows: DataFrame, keys: list[str], percent: int) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), "a long, b long")
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .common import chunks, written
+from .common import chunks, tidy, written
 
 BUCKETS = 1 << 14
 #: Training documents of a language that k-means sees, and centroids of a language.
@@ -110,7 +110,7 @@ def _document_frequencies(train: DataFrame, text: str) -> tuple[np.ndarray, int]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*total[at], n], pa.int64())], names=["bucket", "n"])
 
-    rows = train.select(text).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = train.select(text).mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     held = {r["bucket"]: r["n"] for r in rows}
     df = np.array([held.get(i, 0) for i in range(BUCKETS)], dtype=np.float64)
     n = held.get(-1, 0)
@@ -201,7 +201,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         centres, reach = _clustered(Rows(list(frame["at"]), list(frame["weights"])))
         return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [c.astype(np.float32).tobytes() for c in centres], "reach": reach})
 
-    made = _sampled(train).mapInArrow(vectors, "lang string, hash long, at array<int>, weights array<float>")
+    made = _sampled(train).mapInArrow(tidy(vectors), "lang string, hash long, at array<int>, weights array<float>")
     rows = made.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, reach double").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["centre"])))
     matrix = np.array([np.frombuffer(r["centre"], dtype=np.float32) for r in rows]).reshape(len(rows), BUCKETS).T.copy()
@@ -238,4 +238,4 @@ def _predicted(docs: DataFrame, model: Model, text: str, first: bool) -> DataFra
                     names=[*columns, *NAMES],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

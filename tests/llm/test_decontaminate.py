@@ -1,9 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from ledgerloom.llm.decontaminate import PERCENT, Q, Index, budget, mark_leaks, normalised
+from ledgerloom.llm.decontaminate import PERCENT, Q, Index, align, budget, mark_leaks, normalised
 
 
 def edits_in(item, text):
@@ -130,3 +131,15 @@ def test_documents(spark):
     out = mark_leaks(docs, bench).collect()
     assert [any(t in (r["text"] or "") for t in items) for r in out] == [bool(r["leaks"]) for r in out]
     assert np.mean([bool(r["leaks"]) for r in out]) > 0
+
+
+def test_memory_of_a_long_item():
+    """Aligning an item of 20,000 characters holds rows of its band, not a table."""
+    r = np.random.default_rng(1)
+    item = r.integers(97, 123, 20_000).astype(np.uint32)
+    text = np.concatenate([item[:9_000], item[9_100:], item[:50]])
+    tracemalloc.start()
+    edits, start, end = align(item, text, -300, 300, 2_400)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (edits, start, end) == (100, 0, 19_900) and most < 20 << 20

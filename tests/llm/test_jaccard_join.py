@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -119,3 +120,21 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(x, find(x)) for x in up}
+
+
+def test_words_of_pieces(monkeypatch):
+    """Where a long text is cut does not change the hash of a word."""
+    text = "Ab  cd\té " * 40 + "x" * 300 + " end"
+    whole = jaccard_join.word_hashes(text)
+    monkeypatch.setattr(jaccard_join, "PIECE", 37)
+    assert (jaccard_join.word_hashes(text) == whole).all() and len(whole) == 122
+
+
+def test_memory_of_a_long_text():
+    """Hashing 20 MB takes a few bytes a byte of text, and keeps nothing."""
+    text = "some words of a text " * 1_000_000
+    tracemalloc.start()
+    words = jaccard_join.word_hashes(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) == 5_000_000 and most < 9 * len(text)
