@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .. import views as V
 from ..functions import sampling
@@ -14,7 +14,8 @@ from ..operators import assembly as A, balance as B, building, chain as C, check
 from ..operators.scripts import evaluate_scripts
 from ..params import DEFAULT
 from ..sources.readers import EVENTS, parse_genesis_funds, parse_params, parse_tx_hex, parse_utxo_lines, read_chain_events
-from ..streaming.follow import OUT as OUT_ACTIONS, follow_stream, live_after, utxo_at, utxo_stream
+from ..streaming.blocks import cut_back, follow_blocks, resume_points, stored
+from ..streaming.follow import OUT as OUT_ACTIONS, follow_stream, live_after, utxo_at, utxo_follow, utxo_stream
 from .submissions import outcome_counts, route_submissions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -813,6 +814,85 @@ def c10_follow_stream(spark, sf_dir):
     return live_after(spark.read.schema(OUT_ACTIONS).parquet(f"{path}-actions"))
 
 
+#: Slots that a follower keeps in the queries below: two days, while roll-backs go up to four days back.
+SMALL_K = 172_800
+_SMALL = f"""ev2 AS (SELECT follower, seq, kind, slot, coalesce(back_slot, -1) AS target, kind = 'forward' AND coalesce(tip_slot, 0) > 0 AND slot >= coalesce(tip_slot, 0) AS at_tip FROM chain_event),
+phased AS (SELECT *, CASE WHEN bool_or(at_tip) OVER (PARTITION BY follower ORDER BY seq) THEN 'following' ELSE 'restoration' END AS phase FROM ev2),
+fwd AS (SELECT * FROM phased WHERE kind = 'forward'), backs AS (SELECT * FROM phased WHERE kind = 'back'),
+frozen AS (SELECT x.follower, x.seq, x.slot, min(e.seq) AS f FROM fwd x LEFT JOIN fwd e ON e.follower = x.follower AND e.seq > x.seq AND e.slot - {SMALL_K} > x.slot GROUP BY ALL),
+undone AS (SELECT x.follower, x.seq, x.slot, x.f, min(b.seq) AS b FROM frozen x LEFT JOIN backs b ON b.follower = x.follower AND b.seq > x.seq AND (x.f IS NULL OR b.seq < x.f) AND b.target < x.slot GROUP BY ALL),
+floors AS (SELECT b.follower, b.seq, max(x.slot) AS floor FROM backs b JOIN undone x ON x.follower = b.follower AND x.f < b.seq AND x.b IS NULL GROUP BY ALL),
+actions AS (
+  SELECT follower, seq, slot, 'live' AS action, phase FROM fwd
+  UNION ALL SELECT u.follower, u.seq, u.slot, 'undo', b.phase FROM undone u JOIN backs b ON b.follower = u.follower AND b.seq = u.b
+  UNION ALL SELECT b.follower, b.seq, b.target, 'TooDeep', b.phase FROM backs b JOIN floors f ON f.follower = b.follower AND f.seq = b.seq AND b.target < floor
+)"""
+
+
+def _followed(events: DataFrame, path: str, k: int, kept: DataFrame | None = None) -> DataFrame:
+    """The rows of a follower over a stream of events, once all are read."""
+    sink = follow_blocks(events, k, kept).writeStream.format("parquet").option("path", f"{path}-rows").option("checkpointLocation", f"{path}-state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return events.sparkSession.read.schema(OUT_ACTIONS).parquet(f"{path}-rows")
+
+
+def _event_parts(spark: SparkSession, sf_dir: str, parts: int) -> list[str]:
+    """Folders of chain events, each with a part of the history, by seq."""
+    events = pinned(Data(spark, sf_dir).chain_event.select(*EVENTS.names))
+    top = events.agg(F.max("seq")).first()[0] or 0
+    path, out = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}", []
+    for i in range(parts):
+        low, high = i * (top + 1) // parts, (i + 1) * (top + 1) // parts
+        events.where((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.parquet(f"{path}/{i}")
+        out.append(f"{path}/{i}")
+    return out
+
+
+@query(f", {_SMALL} SELECT * FROM actions")
+def c10_follow_bounded(spark, sf_dir):
+    """A follower that keeps few slots: blocks, undone blocks and roll-backs that reach too deep."""
+    path = _event_files(spark, sf_dir)
+    return _followed(read_chain_events(spark, path, streaming=True), path, SMALL_K)
+
+
+@query(f", {_SMALL} SELECT * FROM actions")
+def c10_resume(spark, sf_dir):
+    """A follower that stops half-way and starts anew from its stored chain, at a point that the node knows: as if it had not stopped."""
+    one, two = _event_parts(spark, sf_dir, 2)
+    before = _followed(read_chain_events(spark, one, streaming=True), one, SMALL_K)
+    kept = pinned(stored(before, SMALL_K))
+    chain = C.canonical_chain(read_chain_events(spark, one)).select("follower", "slot", F.col("seq").alias("block"))
+    met = C.find_intersection(resume_points(kept), chain)
+    after = _followed(read_chain_events(spark, two, streaming=True), two, SMALL_K, cut_back(kept, met))
+    return before.unionByName(after)
+
+
+#: More slots than any roll-back goes back, fewer than the history has.
+DEEP_K = 400_000
+_BODIES = "SELECT follower, seq, unnest(range(CAST(1 + seq % 3 AS BIGINT))) AS ix FROM forwards"
+
+
+@query(f""", {_CHAIN}, forwards AS (SELECT follower, seq, lag(seq) OVER (PARTITION BY follower ORDER BY seq) AS prev FROM chain_event WHERE kind = 'forward'),
+made AS (SELECT b.seq AS tx_id, ix, b.seq % 100 AS address, 1000 + b.seq * 10 + ix AS lovelace FROM ({_BODIES}) b JOIN canonical c ON c.follower = b.follower AND c.seq = b.seq),
+gone AS (SELECT f.prev AS tx_id FROM forwards f JOIN canonical c ON c.follower = f.follower AND c.seq = f.seq WHERE f.prev IS NOT NULL)
+SELECT * FROM made WHERE NOT (ix = 0 AND tx_id IN (SELECT tx_id FROM gone))""")
+def c11_utxo_rollback(spark, sf_dir):
+    """Unspent outputs kept under roll-backs, in several batches; each block makes outputs and spends one of the block before."""
+    path = f"{shared_folder(spark)}/follow-{uuid.uuid4().hex}"
+    parts = _event_parts(spark, sf_dir, 3)
+    events = spark.read.schema(EVENTS).parquet(*parts)
+    own = W.partitionBy("follower").orderBy("seq")
+    forward = events.where("kind = 'forward'").select("follower", "seq", F.lag("seq").over(own).alias("prev"))
+    made = forward.select("follower", "seq", F.lit("create").alias("op"), F.col("seq").alias("tx_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("seq") % 3)).alias("ix"))
+    made = made.withColumns({"address": F.col("seq") % 100, "lovelace": 1000 + F.col("seq") * 10 + F.col("ix")})
+    none = F.lit(None).cast("long")
+    spent = forward.where("prev is not null").select("follower", "seq", F.lit("spend").alias("op"), F.col("prev").alias("tx_id"), F.lit(0).cast("long").alias("ix"), none.alias("address"), none.alias("lovelace"))
+    bodies = pinned(made.unionByName(spent))
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{parts[0].rsplit('/', 1)[0]}/*")
+    utxo_follow(follow_blocks(stream, DEEP_K), bodies, DEEP_K, path, f"{path}-state", buckets=4).awaitTermination()
+    return utxo_at(spark, path)
+
+
 @query(f", {_LIVE} SELECT tx_id, ix, address, lovelace FROM live")
 def c11_utxo_stream(spark, sf_dir):
     """Outputs made and spent as a stream of changes."""

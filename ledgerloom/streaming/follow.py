@@ -1,4 +1,4 @@
-"""Streaming followers: blocks kept for k slots, undone on roll-back; and outputs kept unspent."""
+"""Streaming followers: blocks kept for k slots, undone on roll-back; and outputs kept unspent, also under roll-backs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.pinned import exists, removed
+from ..functions.pinned import exists, pinned, removed
 
 OUT = "follower long, seq long, slot long, action string, phase string"
 STATE = "slots array<long>, seqs array<long>, following boolean, floor long"
@@ -58,6 +58,32 @@ def live_after(actions: DataFrame) -> DataFrame:
 ROWS = "tx_id long, ix long, address long, lovelace long, bucket int"
 
 
+def _write_changes(batch: DataFrame, epoch: int, path: str, buckets: int) -> None:
+    """Applies a batch of changes to the buckets that it touches."""
+    spark = batch.sparkSession
+    keyed = batch.withColumn("bucket", F.pmod(F.xxhash64("tx_id", "ix"), F.lit(buckets)).cast("int"))
+    touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # buckets numbers at most
+    if not touched:
+        return
+    old = _manifest(spark, path, before=epoch)
+    last = keyed.groupBy("bucket", "tx_id", "ix").agg(F.max(F.struct("n", "action", "address", "lovelace")).alias("x"))
+    alive = last.where(F.col("x.action").isin("create", "undo_spend")).select("tx_id", "ix", "x.address", "x.lovelace", "bucket")
+    again = {b: e for b, e in old.items() if b in set(touched)}
+    if again:
+        kept = _read(spark, path, again).join(last.select("tx_id", "ix"), ["tx_id", "ix"], "left_anti")
+        alive = alive.unionByName(kept.select(*alive.columns))
+    alive.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+    now = {**old, **dict.fromkeys(touched, epoch)}
+    spark.createDataFrame(sorted(now.items()), "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{epoch}")
+    named = {*now.values(), *old.values()}
+    older = _epochs(spark, f"{path}/manifest", epoch)[:-1]
+    for e in _epochs(spark, path, epoch):
+        if e not in named:
+            removed(spark, f"{path}/epoch={e}")
+    for e in older:
+        removed(spark, f"{path}/manifest/{e}")
+
+
 def utxo_stream(changes: DataFrame, path: str, checkpoint: str, buckets: int = 16):
     """Starts a stream that keeps the unspent outputs at path, in buckets by a hash of their key.
 
@@ -69,31 +95,67 @@ def utxo_stream(changes: DataFrame, path: str, checkpoint: str, buckets: int = 1
     buckets: so many that a batch touches few of them and each holds about a million outputs.
     """
 
+    return changes.writeStream.foreachBatch(lambda batch, epoch: _write_changes(batch, epoch, path, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+LOG = "follower long, seq long, slot long, tx_id long, ix long, address long, lovelace long"
+
+
+def utxo_follow(actions: DataFrame, bodies: DataFrame, k: int, path: str, checkpoint: str, buckets: int = 16):
+    """Starts a stream that keeps the unspent outputs at path under blocks that come and are undone.
+
+    actions: a stream of live and undo rows of blocks (follower, seq, slot, action), as a follower
+    gives them; error rows change nothing. bodies: what blocks do (follower, seq, op, tx_id, ix,
+    address, lovelace), op create or spend; a spend names its output by tx_id and ix alone. Keys of
+    outputs are unique, and only a block's own chain spends its outputs.
+
+    What a batch adds and takes back in all is applied at once: outputs that undone blocks made go,
+    those they spent come back as they were, then the outputs of new blocks come and what these
+    spend goes. How a spent output was is read from a log of before-images by follower and slot,
+    which holds the blocks that can still be undone: of the last k slots of each follower. An epoch
+    writes its own version of the log and reads the one before, so repeating it changes nothing.
+    """
+
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        keyed = batch.withColumn("bucket", F.pmod(F.xxhash64("tx_id", "ix"), F.lit(buckets)).cast("int"))
-        touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # buckets numbers at most
-        if not touched:
+        sign = F.when(F.col("action") == "live", 1).when(F.col("action") == "undo", -1).otherwise(0)
+        net = pinned(batch.groupBy("follower", "seq", "slot").agg(F.sum(sign).alias("n"), F.max(sign).alias("came")).where("n <> 0 or came = 1"))
+        if net.isEmpty():
             return
-        old = _manifest(spark, path, before=epoch)
-        last = keyed.groupBy("bucket", "tx_id", "ix").agg(F.max(F.struct("n", "action", "address", "lovelace")).alias("x"))
-        alive = last.where(F.col("x.action").isin("create", "undo_spend")).select("tx_id", "ix", "x.address", "x.lovelace", "bucket")
-        again = {b: e for b, e in old.items() if b in set(touched)}
-        if again:
-            kept = _read(spark, path, again).join(last.select("tx_id", "ix"), ["tx_id", "ix"], "left_anti")
-            alive = alive.unionByName(kept.select(*alive.columns))
-        alive.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
-        now = {**old, **dict.fromkeys(touched, epoch)}
-        spark.createDataFrame(sorted(now.items()), "bucket int, epoch long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{epoch}")
-        named = {*now.values(), *old.values()}
-        older = _epochs(spark, f"{path}/manifest", epoch)[:-1]
-        for e in _epochs(spark, path, epoch):
-            if e not in named:
-                removed(spark, f"{path}/epoch={e}")
-        for e in older:
-            removed(spark, f"{path}/manifest/{e}")
-
-    return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        key = ["tx_id", "ix"]
+        old = _log(spark, path, before=epoch)
+        done = bodies.join(net.where("n <> 0"), ["follower", "seq"])
+        undone, fresh = done.where("n < 0"), done.where("n > 0")
+        back = old.join(net.where("n < 0").select("follower", "seq"), ["follower", "seq"], "left_semi")
+        made = fresh.where("op = 'create'").select(*key, "address", "lovelace")
+        held = _read(spark, path, _manifest(spark, path, before=epoch)).select(*key, "address", "lovelace")
+        spent = fresh.where("op = 'spend'").select("follower", "seq", "slot", *key)
+        images = spent.join(held.unionByName(made).unionByName(back.select(*made.columns)).distinct(), key)
+        none = F.lit(None).cast("long")
+        changes = [
+            back.select(*key, "address", "lovelace", F.lit("undo_spend").alias("action"), F.lit(0).alias("n")),
+            undone.where("op = 'create'").select(*key, none.alias("address"), none.alias("lovelace"), F.lit("undo_create").alias("action"), F.lit(1).alias("n")),
+            made.select(*made.columns, F.lit("create").alias("action"), F.lit(2).alias("n")),
+            spent.select(*key, none.alias("address"), none.alias("lovelace"), F.lit("spend").alias("action"), F.lit(3).alias("n")),
+        ]
+        every = changes[0]
+        for more in changes[1:]:
+            every = every.unionByName(more)
+        kept = old.join(net.where("n < 0").select("follower", "seq"), ["follower", "seq"], "left_anti").unionByName(images.select(*old.columns))
+        top = net.where("came = 1").select("follower", "slot").unionByName(old.select("follower", "slot")).groupBy("follower").agg(F.max("slot").alias("top"))
+        log = kept.join(top, "follower", "left").where(F.col("top").isNull() | (F.col("slot") >= F.col("top") - k)).drop("top")
+        log.write.mode("overwrite").parquet(f"{path}/log/{epoch}")
+        _write_changes(every, epoch, path, buckets)
+        for e in _epochs(spark, f"{path}/log", epoch)[:-1]:
+            removed(spark, f"{path}/log/{e}")
+
+    return actions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _log(spark, path: str, before: int | None = None) -> DataFrame:
+    """The before-images of the newest finished epoch, of epochs before one if given."""
+    done = [e for e in _epochs(spark, f"{path}/log", before) if exists(spark, f"{path}/log/{e}/_SUCCESS")]
+    return spark.read.schema(LOG).parquet(f"{path}/log/{done[-1]}") if done else spark.createDataFrame([], LOG)
 
 
 def _epochs(spark, path: str, before: int | None = None) -> list[int]:
