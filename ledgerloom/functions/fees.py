@@ -18,34 +18,51 @@ def cbor_length(n: Column) -> Column:
     return F.when(n < 24, 1).when(n < 1 << 8, 2).when(n < 1 << 16, 3).when(n < 1 << 32, 5).otherwise(9)
 
 
+def _whole(x: int | Column, digits: int) -> Column:
+    return (x if isinstance(x, Column) else F.lit(x)).cast(f"decimal({digits},0)")
+
+
 def execution_fee(mem: Column, steps: Column, params: Params = DEFAULT) -> Column:
     """Units times rational prices over a common denominator, exact, their sum rounded up once."""
-    whole = math.lcm(params.price_mem[1], params.price_steps[1])
+    (mem_up, mem_down), (steps_up, steps_down) = params.price_mem, params.price_steps
+    if isinstance(mem_down, Column) or isinstance(steps_down, Column):
+        whole, up = _whole(mem_down, 10) * _whole(steps_down, 10), (_whole(mem_up, 9) * _whole(steps_down, 10), _whole(steps_up, 9) * _whole(mem_down, 10))
+        total = _whole(mem, 19) * up[0].cast("decimal(18,0)") + _whole(steps, 19) * up[1].cast("decimal(18,0)") + whole - 1
+        return F.call_function("div", total, whole)
+    whole = math.lcm(mem_down, steps_down)
+    up = (_whole(mem_up * (whole // mem_down), 17), _whole(steps_up * (whole // steps_down), 17))
+    return F.call_function("div", _whole(mem, 19) * up[0] + _whole(steps, 19) * up[1] + _whole(whole - 1, 19), _whole(whole, 19))
 
-    def shares(x: Column, price: tuple[int, int]) -> Column:
-        return x.cast("decimal(19,0)") * F.lit(price[0] * (whole // price[1])).cast("decimal(17,0)")
 
-    total = shares(mem, params.price_mem) + shares(steps, params.price_steps) + F.lit(whole - 1).cast("decimal(19,0)")
-    return F.call_function("div", total, F.lit(whole).cast("decimal(19,0)"))
+#: Whole tiers of reference-script bytes whose price is exact in 38 digits; the ledger allows eight.
+TIERS = 35
 
 
 def ref_script_fee(size: Column, params: Params = DEFAULT) -> Column:
-    """Tiered price of reference-script bytes: each further tier costs its growth more a byte; rounded down."""
-    total = F.lit(0.0)
-    price = float(params.ref_script_per_byte)
-    for tier in range(8):
-        low = tier * params.ref_script_tier
-        part = F.greatest(F.lit(0), size - low)
-        if tier < 7:
-            part = F.least(F.lit(params.ref_script_tier), part)
-        total = total + part * F.lit(price)
-        price = price * params.ref_script_growth[0] / params.ref_script_growth[1]
-    return F.floor(total).cast("long")
+    """Tiered price of reference-script bytes: each further tier costs its growth more a byte; exact, rounded down.
+
+    Null beyond TIERS tiers, four times what the ledger allows in a transaction.
+    """
+    tier, (up, down) = params.ref_script_tier, params.ref_script_growth
+    n = F.call_function("div", size.cast("long"), F.lit(tier).cast("long")).cast("int")
+
+    def of_tiers(value: Callable[[int], int]) -> Column:
+        return F.get(F.array(*(F.lit(str(value(i))).cast("decimal(33,0)") for i in range(TIERS + 1))), n)
+
+    # n whole tiers cost tier * (g^n - 1) / (g - 1), what is left g^n a byte, times the price; over one denominator
+    whole, rest, under = of_tiers(lambda i: tier * down * (up**i - down**i)), of_tiers(lambda i: (up - down) * up**i), of_tiers(lambda i: (up - down) * down**i)
+    left = (size.cast("long") % tier).cast("decimal(5,0)")
+    return F.call_function("div", _whole(params.ref_script_per_byte, 5) * (whole + left * rest), under)
 
 
 def min_fee(size: Column, mem: Column, steps: Column, ref_bytes: Column, params: Params = DEFAULT) -> Column:
     """a * size + b, execution prices rounded up once, and reference-script bytes."""
-    return (size * params.fee_per_byte + params.fee_fixed + execution_fee(mem, steps, params) + ref_script_fee(ref_bytes, params)).cast("long")
+    return size_fee(size, execution_fee(mem, steps, params) + ref_script_fee(ref_bytes, params), params)
+
+
+def size_fee(size: Column, other: Column, params: Params = DEFAULT) -> Column:
+    """min_fee where what does not depend on the size is known."""
+    return (size * params.fee_per_byte + params.fee_fixed + other).cast("long")
 
 
 def fixed_point(estimate: Callable[[Column], Column]) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .. import views as V
 from ..functions import sampling
+from ..functions.fees import ref_script_fee
 from ..functions.pinned import pinned, shared_folder
-from ..operators import assembly as A, balance as B, building, chain as C, checks as K, derived, execution as E, indices as I, reconcile as R, utxo as U
+from ..operators import assembly as A, balance as B, building, chain as C, checks as K, derived, execution as E, indices as I, parameters as P, reconcile as R, utxo as U
 from ..operators.scripts import evaluate_scripts
 from ..params import DEFAULT
 from ..sources.readers import EVENTS, parse_genesis_funds, parse_params, parse_tx_hex, parse_utxo_lines, read_chain_events
@@ -345,6 +346,16 @@ def b3_min_fee(spark, sf_dir):
     return Data(spark, sf_dir).eval_result.select("tx_id", "purpose", "ix", fee.alias("fee"))
 
 
+_TIERED = "CAST(44 * (25600 * 5 * (CAST(pow(6, n) AS HUGEINT) - CAST(pow(5, n) AS HUGEINT)) + (size % 25600) * CAST(pow(6, n) AS HUGEINT)) // CAST(pow(5, n) AS HUGEINT) AS BIGINT)"
+
+
+@query(f" SELECT p_partkey AS tx_id, size, {_TIERED} AS fee FROM (SELECT *, size // 25600 AS n FROM (SELECT p_partkey, CAST(p_partkey AS BIGINT) * 7919 % 400000 AS size FROM part))")
+def b3_ref_script_fee(spark, sf_dir):
+    """Reference-script bytes of up to sixteen tiers, twice what the ledger allows."""
+    sizes = Data(spark, sf_dir).part.select(F.col("p_partkey").alias("tx_id"), (F.col("p_partkey").cast("long") * 7919 % 400_000).alias("size"))
+    return sizes.select("tx_id", "size", ref_script_fee(F.col("size")).alias("fee"))
+
+
 def _length(x: str) -> str:
     return f"(CASE WHEN {x} < 24 THEN 1 WHEN {x} < 256 THEN 2 WHEN {x} < 65536 THEN 3 WHEN {x} < 4294967296 THEN 5 ELSE 9 END)"
 
@@ -367,6 +378,31 @@ def b4_balance(spark, sf_dir):
     return B.balance(Data(spark, sf_dir).ready())
 
 
+_EPOCH = 20_000_000
+_FORCE = f"""{_READY}, changes AS (SELECT tx_id % 41 AS epoch, max(tx_id) % 30 + 30 AS fee_per_byte, 150000 + max(tx_id) % 9000 AS fee_fixed, max(tx_id) % 50 AS ref_script_per_byte, 500 + max(tx_id) % 300 AS price_mem_up, 9000 + max(tx_id) % 2000 AS price_mem_down
+  FROM tx WHERE tx_id % 41 > 20 AND tx_id % 3 = 0 GROUP BY ALL),
+placed AS (SELECT r.*, posix_ms // 1000 AS slot, (SELECT max(epoch) FROM changes WHERE epoch <= posix_ms // 1000 // {_EPOCH}) AS epoch FROM ready r JOIN tx ON tx.tx_id = r.tx_id),
+forced AS (SELECT p.tx_id, p.base_size, total_in, total_out, fee_per_byte AS a, CAST(ceil_ + ref_script_per_byte * ref_bytes + fee_fixed AS BIGINT) AS other, n_outputs, p.epoch
+  FROM (SELECT p.*, c.* EXCLUDE (epoch), CAST((CAST(mem AS HUGEINT) * price_mem_up * 10000000 + CAST(steps AS HUGEINT) * 721 * price_mem_down + CAST(price_mem_down AS HUGEINT) * 10000000 - 1) // (CAST(price_mem_down AS HUGEINT) * 10000000) AS BIGINT) AS ceil_ FROM placed p LEFT JOIN changes c ON c.epoch = p.epoch) p),
+forced_search AS (
+  SELECT tx_id, 0 AS k, CAST(0 AS BIGINT) AS fee, false AS stop, base_size, total_in - total_out AS rest, a, other FROM forced WHERE epoch IS NOT NULL
+  UNION ALL SELECT tx_id, k + 1, CASE WHEN est <= fee THEN fee ELSE est END, est <= fee, base_size, rest, a, other
+  FROM (SELECT *, a * (base_size + {_length("fee")} + {_length("greatest(0, rest - fee)")}) + other AS est FROM forced_search WHERE NOT stop AND k < 11)
+)"""
+
+
+@query(f", {_FORCE} SELECT f.tx_id, fee, total_in - total_out - fee AS change, CASE WHEN f.epoch IS NULL THEN 'NoParameters' WHEN total_in - total_out - fee < 0 THEN 'InsufficientFee' END AS error FROM forced f LEFT JOIN (SELECT tx_id, fee FROM forced_search WHERE stop) s ON s.tx_id = f.tx_id")
+def b4_balance_in_force(spark, sf_dir):
+    """Balanced under the parameters in force: rows of parameters begin at some of the epochs, and none holds before the first."""
+    d = Data(spark, sf_dir)
+    last = F.max("tx_id")
+    parts = {"fee_per_byte": last % 30 + 30, "fee_fixed": 150_000 + last % 9000, "ref_script_per_byte": last % 50, "price_mem_up": 500 + last % 300, "price_mem_down": 9000 + last % 2000}
+    changes = d.tx.where("tx_id % 41 > 20 and tx_id % 3 = 0").groupBy((F.col("tx_id") % 41).alias("epoch")).agg(*(c.alias(n) for n, c in parts.items()))
+    changes = changes.withColumns({"price_steps_up": F.lit(721), "price_steps_down": F.lit(10_000_000)})
+    tx = d.ready().join(d.tx.select("tx_id", F.expr("posix_ms div 1000").alias("slot")), "tx_id")
+    return P.balance_in_force(tx, pinned(changes), epoch_slots=_EPOCH).select("tx_id", "fee", "change", "error")
+
+
 @query(f""", {_SPENT}, requests AS (SELECT tx_id, base_size, total_in, 1 + owner % 5 AS n, 50000 AS tip FROM tx JOIN (SELECT tx_id, CAST(sum(lovelace) // 10 AS BIGINT) AS total_in FROM spent GROUP BY 1) USING (tx_id)),
 search AS (SELECT *, 0 AS k, CAST(0 AS BIGINT) AS fee, false AS stop FROM requests UNION ALL SELECT tx_id, base_size, total_in, n, tip, k + 1, CASE WHEN est <= fee THEN fee ELSE est END, est <= fee
   FROM (SELECT * EXCLUDE (rest), 44 * (base_size + 106 + {_length("fee")} + CASE WHEN rest < 0 THEN 0 ELSE (n - 1) * {_length("(rest // n)")} + {_length("(rest // n + rest % n)")} END) + 155381 AS est FROM (SELECT *, total_in - fee - n * tip AS rest FROM search WHERE NOT stop AND k < 11))),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.fees import cbor_length, fixed_point, min_fee
+from ..functions.fees import cbor_length, execution_fee, fixed_point, min_fee, ref_script_fee, size_fee
 from ..functions.ranges import in_ranges, sum_before, with_earlier, within
 from ..params import DEFAULT, Params
 
@@ -46,9 +46,10 @@ def balance(tx: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
     def estimate(fee: Column) -> Column:
         size = F.col("base_size") + cbor_length(fee) + cbor_length(F.greatest(F.lit(0), left - fee))
-        return min_fee(size, F.col("mem"), F.col("steps"), F.col("ref_bytes"), params)
+        return size_fee(size, F.col("_other"), params)
 
-    out = tx.withColumn("_search", fixed_point(estimate))
+    other = execution_fee(F.col("mem"), F.col("steps"), params) + ref_script_fee(F.col("ref_bytes"), params)
+    out = tx.withColumn("_other", other).withColumn("_search", fixed_point(estimate))
     fee = F.when(F.col("_search.converged"), F.col("_search.fee"))
     error = F.when(~F.col("_search.converged"), "FeeNotConverged").when(left - fee < 0, "InsufficientFee")
     return out.select(*tx.columns, fee.alias("fee"), (left - fee).alias("change"), F.col("n_outputs").cast("long").alias("change_ix"), error.alias("error"))
