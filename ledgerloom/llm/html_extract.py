@@ -3,7 +3,10 @@
 The standard library's parser turns a page into lines, one for each block of text, with the
 number of tags that stand in and around it and the share of its text inside links. Elements
 that are no article by their own name, role or class (menus, page headers, footers, sidebars,
-notices, adverts, forms, comments, code) are marked and left out. A class, or the id of a container, marks
+notices, adverts, forms, comments, code) are marked and left out. A tag, role or hidden state
+marks no element that holds most of the page's text outside links: a form, dialog or header then
+frames the page, and so does any other such element if an article or main element stands in it.
+Controls, scripts and styles are left out wherever they stand. A class, or the id of a container, marks
 by its whole name or last word, and never an article, main or body element; a container that holds
 an article or most of the page's text outside links is marked by a class only where an
 article or main element has at least a fifth of the text without it. Text-to-tag ratios of the lines
@@ -17,7 +20,7 @@ with a target.
 
 Cases: a null or empty page, and one without text outside marked elements, gives an empty
 text with 0 characters. Unclosed and badly nested tags are closed by the next element that
-cannot stand inside them. Character references are decoded, white space inside a block
+cannot stand inside them, an open menu by an article or main element. Character references are decoded, white space inside a block
 becomes one space, blocks are joined by one newline; pages are read whole. The work is linear
 in the page, however deep its elements stand in each other. Of regions with equal mass the
 inner one is taken. Repeated rows are extracted one by one. An empty table gives an empty table. Other columns pass through; result columns replace input columns of
@@ -44,10 +47,10 @@ BLOCKS = frozenset(
     "header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SKIPPED = frozenset(
-    "aside audio button canvas datalist dialog footer form frameset head header iframe math menu nav noframes noscript object script search select style svg template textarea title video".split()
-)
-ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar tablist".split())
+SKIPPED = frozenset("audio button canvas datalist frameset head iframe math noframes noscript object script select style svg template textarea title video".split())
+#: Elements and roles that are no article unless most of the page's text stands in them: alone, or only if an article or main element holds some of it.
+FRAMES, ASIDES = frozenset("dialog form header".split()), frozenset("aside footer menu nav search".split())
+FRAME_ROLES, ASIDE_ROLES = frozenset("alertdialog dialog form".split()), frozenset("alert banner complementary contentinfo menu menubar navigation search toolbar tablist".split())
 #: Words of a class or id that name something beside the article.
 NAMES = frozenset(
     "ad ads adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus "
@@ -57,9 +60,9 @@ NAMES = frozenset(
 )
 #: An element that opens one of these closes those still open of the others, up to a container.
 _CLOSES = {
-    **{t: frozenset(["p"]) for t in BLOCKS},
-    "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]),
-    "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]),
+    **{t: frozenset(["p", "select"]) for t in BLOCKS},
+    "li": frozenset(["li", "p", "select"]), "dt": frozenset(["dt", "dd", "p", "select"]), "dd": frozenset(["dt", "dd", "p", "select"]),
+    "tr": frozenset(["tr", "td", "th", "p", "select"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]),
     "option": frozenset(["option"]), "a": frozenset(["a"]), "body": frozenset(["head", "p"]),
 }
 _CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main nav ol section table ul".split())
@@ -99,19 +102,20 @@ class Element:
     article: int = 0
     link: bool = False
     title: bool = False
-    heading: bool = False
-    #: Of marked elements: the outermost mark is a header within an article.
-    own_header: bool = False
 
 
-def _is_marked(tag: str, attrs: dict[str, str | None]) -> bool:
+def _kind(tag: str, attrs: dict[str, str | None]) -> str | None:
+    """Whether an element is skipped, or a frame or aside by tag, role or being hidden."""
     if tag in ("html", "body", "main"):
-        return False
-    if tag in SKIPPED or (attrs.get("role") or "").lower() in ROLES:
-        return True
+        return None
+    role = (attrs.get("role") or "").lower()
+    if tag in SKIPPED:
+        return "skipped"
     if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or "", re.I):
-        return True
-    return False
+        return "aside"
+    if tag in ASIDES or role in ASIDE_ROLES:
+        return "aside"
+    return "frame" if tag in FRAMES or role in FRAME_ROLES else None
 
 
 def _named(tag: str, attrs: dict[str, str | None]) -> list[list[str]]:
@@ -152,7 +156,9 @@ class Lines(HTMLParser):
         self.size_of: dict[int, int] = {}
         self.texts: set[int] = set()
         self.headers: set[int] = set()
-        self._total = self._plain = 0
+        #: Of size_of what stands in an article; by number: frame or aside, of elements that their tag, role or being hidden names.
+        self.story_of: dict[int, int] = {}
+        self.kinds: dict[int, str] = {}
         self._parts: list[tuple[str, int, bool]] = []
         self._tags = 0
 
@@ -163,21 +169,46 @@ class Lines(HTMLParser):
             self._tags = 0
         self._parts = []
 
-    def _marks(self) -> set[int]:
-        """Named elements that are left out, with all named elements in them."""
-        inner_first = sorted(self.named_around, reverse=True)
+    def _asides(self, inner_first: list[int]) -> set[int]:
+        """Frames and asides that are left out, with all named elements in them."""
         sizes, holds = dict(self.size_of), {self.name_of_article[a] for a in self.texts}
         for n in inner_first:
             around = self.named_around[n]
             sizes[around] = sizes.get(around, 0) + sizes.get(n, 0)
             if n in holds:
                 holds.add(around)
-        every = 5 * self._plain >= self._total
-        marks: set[int] = set()
+        out: set[int] = set()
         for n in reversed(inner_first):
-            if self.named_around[n] in marks or every or (n not in holds and 2 * sizes.get(n, 0) <= self._total):
-                marks.add(n)
-        return marks
+            most = 2 * sizes.get(n, 0) > sizes.get(0, 0) and (n in holds or self.kinds.get(n) == "frame")
+            if self.named_around[n] in out or (n in self.kinds and not most):
+                out.add(n)
+        return out
+
+    def _marks(self) -> set[int]:
+        """Named elements that are left out, with all named elements in them."""
+        inner_first = sorted(self.named_around, reverse=True)
+        marks = self._asides(inner_first)
+        # of what is left, each element's next one that a class names
+        name = {0: 0}
+        for n in reversed(inner_first):
+            if n not in marks:
+                name[n] = name[self.named_around[n]] if n in self.kinds else n
+        around = {n: name[self.named_around[n]] for n in name if n and name[n] == n}
+        sizes, plain = dict.fromkeys(name.values(), 0), 0
+        for n, own in name.items():
+            sizes[own] += self.size_of.get(n, 0)
+            plain += 0 if own else self.story_of.get(n, 0)
+        total = sum(sizes.values())
+        holds = {name[n] for n in (self.name_of_article[a] for a in self.texts) if n in name}
+        for n in sorted(around, reverse=True):
+            sizes[around[n]] += sizes[n]
+            if n in holds:
+                holds.add(around[n])
+        every, named = 5 * plain >= total, set()
+        for n in sorted(around):
+            if around[n] in named or every or (n not in holds and 2 * sizes[n] <= total):
+                named.add(n)
+        return marks | {n for n, own in name.items() if own in named}
 
     def lines(self) -> list[Line]:
         """The lines without what is marked by class names."""
@@ -208,6 +239,8 @@ class Lines(HTMLParser):
             self._parts.append((" ", 0, False))
         if tag in VOID:
             return
+        while tag in ("article", "main") and self.containers["nav"] > 0:  # no menu holds the story: it was not closed
+            self._pop()
         for closed in _CLOSES.get(tag, ()):
             while self.scopes[-1][closed] > 0:
                 self._pop()
@@ -215,12 +248,17 @@ class Lines(HTMLParser):
         given = dict(attrs)
         self.count += 1
         number, name = self.count, top.name
-        marked = top.marked or _is_marked(tag, given)
-        own_header = top.own_header if top.marked else marked and tag == "header" and bool(top.article)
+        kind = None if top.marked else _kind(tag, given)
+        marked = top.marked or kind == "skipped"
         if tag in HEADINGS:
             while name in self.headers:
                 name = self.named_around[name]
-        found = [] if marked else _named(tag, given)
+        found = [] if marked or kind else _named(tag, given)
+        if kind and not marked:
+            self.named_around[number], self.kinds[number] = name, kind
+            name = number
+            if tag == "header" and top.article:
+                self.headers.add(number)
         if found:
             self.named_around[number] = name
             name = number
@@ -239,7 +277,7 @@ class Lines(HTMLParser):
         else:
             self.scopes[-1][tag] += 1
         link = top.link or (tag == "a" and any(key == "href" for key, _ in attrs))
-        self.stack.append(Element(tag, marked, place, name, article, link, top.title or tag == "h1", top.heading or tag in HEADINGS, own_header))
+        self.stack.append(Element(tag, marked, place, name, article, link, top.title or tag == "h1"))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -254,15 +292,14 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         top = self.stack[-1]
-        if top.marked and not (top.own_header and top.heading):  # only the heading of an article's own header is shown
+        if top.marked:
             return
         self._parts.append((data, top.name, top.link))
         size = 0 if top.link else len(data.strip())
         if size:
-            self._total += size
-            self._plain += size if top.article and not top.name else 0
             self.size_of[top.name] = self.size_of.get(top.name, 0) + size
             if top.article:
+                self.story_of[top.name] = self.story_of.get(top.name, 0) + size
                 self.texts.add(top.article)
 
 

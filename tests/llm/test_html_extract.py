@@ -108,3 +108,36 @@ def test_deep_nesting_takes_linear_time(opened):
 def test_what_stands_inside_the_article_stays():
     page = f"<nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{STORY * 3}</p><p id='legal'>{STORY}</p><p><a href=/x>{STORY}</a></p><p>in<img src=x>side</p></article><footer>end</footer>"
     assert main_text(page) == "\n".join(["Title", (STORY * 3).strip(), STORY.strip(), STORY.strip(), "inside"])
+
+
+BLOCKS = [f"Block {i}. {STORY}".strip() for i in range(7)]
+BODY = "".join(f"<p>{b}</p>" for b in BLOCKS)
+MENU = "<nav><a href=/>Home</a> <a href=/a>All</a></nav>"
+FRAMED = {
+    "a page-wide form": f"<form id=aspnetForm><input name=q><button>Go</button>{MENU}<article>{BODY}</article><footer>End of page</footer></form>",
+    "a form around a div": f"<form id=aspnetForm><select><option>de<option>en</select><div class=content>{BODY}</div></form>",
+    "a header around an article": f"<header><h2>Site</h2><article>{BODY}</article></header>",
+    "a dialog": f"<div role=dialog><article>{BODY}</article></div>",
+    "a dialog element": f"<dialog open><main>{BODY}</main></dialog>",
+    "hidden until loaded": f"<div aria-hidden=true><article>{BODY}</article></div>",
+    "not displayed until loaded": f"<div style='display:none'><main>{BODY}</main></div>",
+    "an open menu": f"<nav><a href=/>Home</a><a href=/a>All</a><article>{BODY}</article>",
+    "an open list of choices": f"<select><option>de<option>en<article>{BODY}</article>",
+    "an open list before a div": f"<select><option>de<option>en<div>{BODY}</div>",
+    "an aside": f"<aside role=complementary><article>{BODY}</article></aside>",
+    "a banner": f"<div role=banner><article>{BODY}</article></div>",
+    "frames in frames": f"<form><div role=dialog><header>{MENU}<article>{BODY}</article></header></div></form>",
+    "a form with a class": f"<form class=search-form><div class=wrapper><article>{BODY}</article></div></form>",
+    "beside a hidden notice": f"<div hidden><p>{STORY}</p></div><article>{BODY}</article>",
+    "beside a form": f"<article>{BODY}</article><form><p>Write to us. {STORY}</p><textarea>x</textarea></form>",
+    "beside a footer with an article": f"<main>{BODY}</main><footer><article>{STORY}</article></footer>",
+    "a div beside a long footer": f"<div>{BODY}</div><footer><p>{STORY * 4}</p></footer>",
+    "a div beside an aside": f"<div>{BODY}</div><aside><p>{STORY}</p><p>{STORY}</p></aside>",
+    "a menu and a search": f"{MENU}<search><p>Find {STORY}</p></search><main>{BODY}</main>",
+    "tables": f"<table><tr><td>{MENU}</td><td><form>{BODY}</form></td></tr></table>",
+}
+
+
+@pytest.mark.parametrize("name", FRAMED)
+def test_what_frames_the_page_marks_nothing(name):
+    assert main_text(f"<html><body>{FRAMED[name]}</body></html>") == "\n".join(BLOCKS)
