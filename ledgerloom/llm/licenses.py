@@ -10,8 +10,12 @@ what cannot reach the threshold: by Cauchy and Schwarz a file needs tokens with
 template's squared length, and the squared cosine of a window is at most the sum of those of
 its lines. Windows are compared only where they can beat the file's best line.
 
-A file like a whole licence text, or of which lines at or above the threshold, tags and the
-best window make up at least half, is a licence file and covers its directory. A file without
+A text that begins with the title of a licence (TITLES) is that licence, with score 1, whatever
+notices it quotes; a line that reserves all rights counts only where a file says no more.
+
+A file like a whole licence text or with its title, one named LICENSE, COPYING, NOTICE or alike
+that has an own licence, or one of which lines at or above the threshold, tags and the best window
+make up at least half, is a licence file and covers its directory. A file without
 an own licence takes that of its nearest ancestor directory:
 distinct directories, not files, are joined with the directories of licence files on every
 prefix of their path, and files then meet the resolved directories.
@@ -36,6 +40,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import ascii_lower, written
 
 THRESHOLD = 0.6
+#: What a line that reserves all rights says, unless the file says more.
+RESERVED = "proprietary"
 
 # Notices of common licences.
 TEMPLATES = (
@@ -87,6 +93,37 @@ TEXTS = (
     ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
             "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY),
 )
+#: Title pages of whole licence texts, the more precise ones first.
+TITLES = (
+    ("AGPL-3.0", "gnu affero general public license version 3"),
+    ("GPL-1.0", "gnu general public license version 1"),
+    ("GPL-2.0", "gnu general public license version 2"),
+    ("GPL-3.0", "gnu general public license version 3"),
+    ("LGPL-2.0", "gnu library general public license version 2"),
+    ("LGPL-2.1", "gnu lesser general public license version 2.1"),
+    ("LGPL-3.0", "gnu lesser general public license version 3"),
+    ("GFDL-1.1", "gnu free documentation license version 1.1"),
+    ("GFDL-1.2", "gnu free documentation license version 1.2"),
+    ("GFDL-1.3", "gnu free documentation license version 1.3"),
+    ("Apache-1.1", "apache software license version 1.1"),
+    ("Apache-2.0", "apache license version 2.0"),
+    ("MPL-1.0", "mozilla public license version 1.0"),
+    ("MPL-1.1", "mozilla public license version 1.1"),
+    ("MPL-2.0", "mozilla public license version 2.0"),
+    ("EPL-1.0", "eclipse public license v 1.0"),
+    ("EPL-2.0", "eclipse public license v 2.0"),
+    ("BSL-1.0", "boost software license version 1.0"),
+    ("CC0-1.0", "cc0 1.0 universal"),
+    ("CC0-1.0", "creative commons legal code cc0 1.0 universal"),
+    ("CC-BY-4.0", "creative commons attribution 4.0 international"),
+    ("CC-BY-4.0", "attribution 4.0 international"),
+    ("CC-BY-SA-4.0", "attribution sharealike 4.0 international"),
+    ("CC-BY-NC-4.0", "attribution noncommercial 4.0 international"),
+    ("Artistic-1.0", "the artistic license preamble"),
+    ("Artistic-2.0", "the artistic license 2.0"),
+)
+#: Names of files that hold the licence of their directory.
+LICENCE_FILE = r"(?i)^(?:.*/)?(?:licen[sc]e|copying|notice|unlicense)(?:[._-][^/]*)?$"
 SPDX = r"(?i)spdx-license-identifier:[ \t]*([a-z0-9.+() \t-]*[a-z0-9.+)])"
 CUES = r"(?i)licen[sc]|reserved|permission|permitted"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -134,6 +171,15 @@ def _tag(content: Column) -> Column:
     return F.when(found != "", F.trim(F.regexp_replace(found, "(?i)(GPL-[0-9.]+)(?:-only|-or-later|\\+)", "$1")))
 
 
+def _titled(content: Column) -> Column:
+    """The licence whose title page the text begins with, null without one; signs and white space between words do not count."""
+    out = F.lit(None).cast("string")
+    for name, title in reversed(TITLES):
+        pattern = r"(?i)^[^a-z0-9]*" + r"[^a-z0-9]+".join(re.escape(w) for w in title.split()) + r"(?![a-z0-9]|\.[0-9])"
+        out = F.when(F.rlike(content, F.lit(pattern)), name).otherwise(out)
+    return out
+
+
 def _judged(base: DataFrame, n: int, counts: dict[str, int], notices: Sequence[tuple[str, str]], texts: Sequence[tuple[str, str]]) -> DataFrame:
     """(id, best, held, whole): the best line, window, file or tag, characters in good lines and the best window, whether the file is a licence text."""
     spark = base.sparkSession
@@ -152,6 +198,7 @@ def _judged(base: DataFrame, n: int, counts: dict[str, int], notices: Sequence[t
     score = F.round(F.least("cosine", F.lit(1.0)), 6).alias("score")
     single = rows.where("not is_text").select("id", "l", F.struct(score, "licence").alias("best")).groupBy("id", "l").agg(F.max("best").alias("best")).where(F.col("best.score") >= THRESHOLD)
     single = written(single, "good_lines")
+    own_line = F.coalesce(F.max(F.when(F.col("best.licence") != RESERVED, F.col("best"))), F.max("best"))
     line_best = single.groupBy("id").agg(F.max("best.score").alias("top"))
 
     # Starts of windows that can beat the best line, and what each line adds to the length of such a window.
@@ -179,10 +226,12 @@ def _judged(base: DataFrame, n: int, counts: dict[str, int], notices: Sequence[t
     tags = base.where("content is not null").select("id", _tag(F.col("content")).alias("tag")).where("tag is not null").select("id", F.struct(F.lit(1.0).alias("score"), F.col("tag").alias("licence")).alias("tag"))
     covered = lines.select("id", "l", "size", "tagged").join(single, ["id", "l"], "left").join(window, "id", "left")
     covered = covered.where(F.col("tagged") | F.col("best").isNotNull() | F.col("l").between(F.col("window.first"), F.col("window.last")))
-    covered = covered.groupBy("id").agg(F.sum("size").alias("held"), F.max("best").alias("line"))
-    found = covered.join(window, "id", "full").join(whole, "id", "full").join(tags, "id", "full")
-    best = F.greatest("line", F.when(F.col("window").isNotNull(), F.struct("window.score", "window.licence")), "text", "tag")
-    return found.select("id", best.alias("best"), "held", F.col("text").isNotNull().alias("whole")).where("best is not null")
+    covered = covered.groupBy("id").agg(F.sum("size").alias("held"), own_line.alias("line"))
+    titles = base.where("title is not null").select("id", F.struct(F.lit(1.0).alias("score"), F.col("title").alias("licence")).alias("title"))
+    found = covered.join(window, "id", "full").join(whole, "id", "full").join(tags, "id", "full").join(titles, "id", "full")
+    notice = lambda x: F.when(F.col(x)["licence"] != RESERVED, F.col(x))
+    best = F.coalesce("title", F.greatest(notice("line"), F.when(F.col("window.licence") != RESERVED, F.struct("window.score", "window.licence")), "text", "tag"), "line")
+    return found.select("id", best.alias("best"), "held", (F.col("text").isNotNull() | F.col("title").isNotNull()).alias("whole")).where("best is not null")
 
 
 def scan_licences(
@@ -200,10 +249,10 @@ def scan_licences(
     mass = F.from_json(F.lit(json.dumps(masses)), "map<string,array<double>>")
     sums = F.aggregate(_held(content, set(masses)), F.array_repeat(F.lit(0.0), len(every)), lambda a, t: F.zip_with(a, F.element_at(mass, t), lambda x, y: x + y))
     near = (F.array_max(sums) >= THRESHOLD**2 - 1e-6) | F.rlike(content, F.lit(SPDX))
-    base = files.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)), directory(F.col(path)).alias("dir"), F.length(content).alias("size"), F.when(near, content).alias("content"))
+    base = files.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)), directory(F.col(path)).alias("dir"), F.length(content).alias("size"), F.when(near, content).alias("content"), _titled(content).alias("title"), F.coalesce(F.rlike(path, F.lit(LICENCE_FILE)), F.lit(False)).alias("named"))
     base = written(base.withColumn("id", F.monotonically_increasing_id()), "files")
     found = _judged(base, n, counts, templates, texts)
-    covers = F.coalesce(F.col("whole") | (2 * F.coalesce("held", F.lit(0)) >= F.col("size")), F.lit(False)) & F.col("best").isNotNull()
+    covers = F.coalesce(F.col("whole") | F.col("named") | (2 * F.coalesce("held", F.lit(0)) >= F.col("size")), F.lit(False)) & F.col("best").isNotNull()
     rows = written(base.drop("content").join(found, "id", "left").select(*(f"k{i}" for i in range(len(kept))), "dir", "best", covers.alias("covers")), "licences")
     licensed = rows.where("covers and dir is not null").groupBy("dir").agg(F.max("best").alias("found"))
     parts = F.split("dir", "/", -1)

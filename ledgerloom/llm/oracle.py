@@ -79,7 +79,7 @@ terms AS (SELECT rn, l, tok, tf * coalesce(idf, ln(1 + n) + 1) AS w FROM tokens
 lengths AS (SELECT rn, l, sqrt(sum(w * w)) AS len FROM terms GROUP BY ALL),
 scores AS (SELECT rn, l, licence, round(sum(w * u) / any_value(len), 6) AS score FROM terms JOIN units USING (tok) JOIN lengths USING (rn, l) GROUP BY rn, l, i, licence),
 best AS (SELECT rn, l, max(struct_pack(score := score, licence := licence)) AS b FROM scores GROUP BY ALL HAVING max(score) >= {THRESHOLD}),
-own AS (SELECT rn, max(b) AS b, sum(length(line)) AS held FROM best JOIN lines USING (rn, l) GROUP BY rn),
+own AS (SELECT rn, coalesce(max(b) FILTER (b.licence <> 'proprietary'), max(b)) AS b, sum(length(line)) AS held FROM best JOIN lines USING (rn, l) GROUP BY rn),
 judged AS (SELECT files.rn, doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, b, 2 * held >= length(t) AS covers FROM files LEFT JOIN own USING (rn)),
 licensed AS (SELECT dir, max(b) AS found FROM judged WHERE covers GROUP BY dir),
 dirs AS (SELECT DISTINCT dir FROM judged WHERE b IS NULL),

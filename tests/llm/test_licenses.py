@@ -1,7 +1,9 @@
 import math
+import os
 import re
 from collections import Counter
 
+import pytest
 from ledgerloom.llm.licenses import CUES, NOTICES, TEMPLATES, TEXTS, THRESHOLD, scan_licences, template_tokens
 
 NOTICE = "Released under the MIT License."
@@ -90,3 +92,36 @@ def test_wrapped_notices_tags_and_whole_texts(spark):
         "m/x.c": ("MPL-2.0", "own"), "l/x.py": ("LGPL-3.0", "own"), "i/x.c": ("ISC", "own"), "s/x.c": ("MIT", "own"), "w/COPYING": ("MIT", "own"), "w/a/x.c": ("MIT", "inherited"),
         "o/x.c": ("Apache-2.0", "own"), "n/x.c": (None, "none"), "l/one.py": ("LGPL-3.0", "own"), "g/x.c": ("GPL-2.0", "own"),
     }
+
+
+#: What each whole text of the system is called.
+SYSTEM = {
+    "Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0",
+}
+
+
+def test_whole_licence_files_of_the_system(spark):
+    """Each names itself and covers the files below it."""
+    folder = "/usr/share/common-licenses"
+    texts = {n: open(f"{folder}/{n}", encoding="utf-8", errors="replace").read() for n in SYSTEM if os.path.exists(f"{folder}/{n}")}
+    if not texts:
+        pytest.skip("no licence texts here")
+    code = "def one(value):\n    return value + first_place\n" * 40
+    files = [x for n, t in texts.items() for x in ((f"{n}/LICENSE", t), (f"{n}/src/x.py", code))]
+    got = {r["path"]: (r["licence"], r["origin"]) for r in scan_licences(spark.createDataFrame(files, "path string, text string"), keep=["path"]).collect()}
+    assert {n: got[f"{n}/LICENSE"] for n in texts} == {n: (SYSTEM[n], "own") for n in texts}
+    assert {n: got[f"{n}/src/x.py"] for n in texts} == {n: (SYSTEM[n], "inherited") for n in texts}
+
+
+def test_names_and_reserved_rights(spark):
+    """A named file covers with a short grant among much else; reserved rights yield to any notice; a title counts at the start only."""
+    code = "def one(value):\n    return value + first_place\n" * 40
+    files = [
+        ("a/NOTICE.txt", code + "Released under the MIT License.\n"), ("a/x.py", code), ("b/note.py", code + "Released under the MIT License.\n"), ("b/x.py", code),
+        ("c/x.c", "All rights reserved.\nReleased under the MIT License.\n"), ("d/x.c", "All rights reserved.\n"), ("e/COPYING", code), ("e/x.py", code),
+        ("f/x.md", "** GNU General Public License **\n   Version 2\n" + code), ("g/x.md", "See GNU General Public License Version 2\n" + code), ("h/x", "Mozilla Public License Version 2.07"),
+    ]
+    got = {r["path"]: (r["licence"], r["origin"]) for r in scan_licences(spark.createDataFrame(files, "path string, text string"), keep=["path"]).collect()}
+    assert got["a/x.py"] == ("MIT", "inherited") and got["b/x.py"] == (None, "none") and got["c/x.c"] == ("MIT", "own") and got["d/x.c"] == ("proprietary", "own")
+    assert got["e/x.py"] == (None, "none") and got["f/x.md"] == ("GPL-2.0", "own") and got["h/x"][0] != "MPL-2.0"
