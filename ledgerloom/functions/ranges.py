@@ -48,5 +48,9 @@ def sum_of_all(value: Column, order: W) -> Column:
     return F.sum(value).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
 
 
+def least_after(value: Column, order: W) -> Column:
+    return F.min(value).over(order.rowsBetween(1, W.unboundedFollowing))
+
+
 def one_before(value: Column, order: W) -> Column:
     return F.lag(value).over(order)

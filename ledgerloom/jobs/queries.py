@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .. import views as V
 from ..functions import sampling
 from ..functions.fees import ref_script_fee
+from ..functions.sizes import tx_sizes
 from ..functions.pinned import pinned, shared_folder
 from ..operators import assembly as A, balance as B, building, chain as C, checks as K, derived, execution as E, indices as I, parameters as P, reconcile as R, utxo as U
 from ..operators.scripts import evaluate_scripts
@@ -599,6 +600,40 @@ def e9_build(spark, sf_dir):
     return building.build(tx, redeemers, _program(redeemers))
 
 
+_EXTRA = "(SELECT i.* FROM tx_input i JOIN tx t ON t.tx_id = i.tx_id AND t.owner % 3 = 0 WHERE kind = 'collateral')"
+_DERIVED = f"""every AS (SELECT DISTINCT tx_id, src_tx_id, src_ix FROM tx_input WHERE kind = 'spend' UNION SELECT tx_id, src_tx_id, src_ix FROM {_EXTRA}),
+index_ AS (SELECT *, row_number() OVER (PARTITION BY tx_id ORDER BY src_tx_id, src_ix) - 1 AS ix FROM every),
+place AS (SELECT tx_id, max(ix) AS place FROM index_ WHERE (tx_id, src_tx_id, src_ix) IN (SELECT (tx_id, src_tx_id, src_ix) FROM tx_input WHERE kind = 'spend' AND witness = 'script') GROUP BY 1),
+datum AS (SELECT o.tx_id, o.ix, place * 1000 + min(o.ix) OVER (PARTITION BY o.tx_id, address, lovelace, policy_id, asset_name, qty, has_datum) + coalesce(CAST(round(s_acctbal) AS BIGINT), 0) * 1000000 AS datum
+  FROM tx_output o JOIN place p ON p.tx_id = o.tx_id LEFT JOIN supplier ON s_suppkey = o.address)"""
+
+
+@query(f", {_DERIVED}, top AS (SELECT tx_id, 'd' || max(datum) AS data FROM datum GROUP BY 1) SELECT d.tx_id, ix, datum, data FROM datum d JOIN top t ON t.tx_id = d.tx_id")
+def e10_derived_values(spark, sf_dir):
+    """Data of outputs that depend on where an input stands and on a user's table, redeemer data that depend on those; then fee inputs are added, and only what moves is made again."""
+    d = Data(spark, sf_dir)
+    rates = d.supplier.select(F.col("s_suppkey").alias("address"), F.round("s_acctbal").cast("long").alias("rate"))
+
+    def place(inputs: DataFrame) -> DataFrame:
+        index = I.spending_index(inputs.where("kind = 'spend'"))
+        scripts = inputs.where("kind = 'spend' and witness = 'script'").select("tx_id", "src_tx_id", "src_ix").distinct()
+        return index.join(scripts, ["tx_id", "src_tx_id", "src_ix"], "left_semi").groupBy("tx_id").agg(F.max("ix").alias("place"))
+
+    def datum(place: DataFrame, outputs: DataFrame) -> DataFrame:
+        rows = I.output_index(outputs).join(place, "tx_id").join(rates, "address", "left")
+        return rows.select("tx_id", "ix", (F.col("place") * 1000 + F.col("first_ix") + F.coalesce("rate", F.lit(0)) * 1_000_000).alias("datum"))
+
+    values = [
+        derived.Derived("data", ("datum",), lambda x: x.groupBy("tx_id").agg(F.concat(F.lit("d"), F.max("datum")).alias("data"))),
+        derived.Derived("datum", ("place", "outputs"), datum), derived.Derived("place", ("inputs",), place),
+    ]
+    outputs, inputs = pinned(d.tx_output), pinned(d.tx_input)
+    first = derived.derive(values, {"inputs": inputs, "outputs": outputs})
+    extra = inputs.where("kind = 'collateral'").join(d.tx.where("owner % 3 = 0").select("tx_id"), "tx_id", "left_semi").withColumns({"kind": F.lit("spend"), "witness": F.lit("key")})
+    now, _ = derived.refresh(values, {"inputs": inputs.unionByName(extra), "outputs": outputs}, first, {"inputs": extra})
+    return now["datum"].join(now["data"], "tx_id").select("tx_id", "ix", "datum", "data")
+
+
 @query(f""", {_READY}, fees AS (SELECT *, change - (target - fee) AS rest, CASE WHEN error IS NOT NULL THEN error WHEN change - (target - fee) < 1000000 THEN 'ChecksFailed' END AS problem FROM (SELECT tx_id, fee, change, change_ix, error, greatest(fee, 170000 + owner) AS target FROM balanced JOIN tx USING (tx_id)))
 SELECT tx_id, ix, address, lovelace, target AS fee, problem AS error FROM tx_output JOIN fees USING (tx_id) WHERE error IS NULL UNION ALL SELECT tx_id, change_ix, NULL, rest, target, problem FROM fees WHERE error IS NULL UNION ALL SELECT tx_id, NULL, NULL, NULL, NULL, error FROM fees WHERE error IS NOT NULL""")
 def e8_settle_at_fee(spark, sf_dir):

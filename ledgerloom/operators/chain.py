@@ -1,16 +1,16 @@
 """Following chains in batch: roll-backs, phases, block contents and the mapping of time to slots.
 
 Events: follower, seq, kind (forward or back), slot, back_slot (target of a roll-back, null for
-origin) and tip_slot. In canonical_chain a follower's window is one partition; for a single very
-long chain canonical_chain_bucketed does the same in two stages. Where else blocks or txs are put
-in order, a follower's or chain's rows are dealt to ranges.
+origin) and tip_slot. Where blocks or txs are put in order, a follower's or chain's rows are dealt
+to ranges. canonical_chain_bucketed does the same as canonical_chain without writing: in ranges of
+seq of a given width.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.ranges import in_ranges, one_before, with_earlier, within
+from ..functions.ranges import RANGE, in_ranges, least_after, one_before, with_earlier, within
 from ..functions.sampling import numbered
 
 
@@ -26,10 +26,15 @@ def _target(kind: str = "kind") -> Column:
 
 
 def canonical_chain(events: DataFrame) -> DataFrame:
-    """Roll-forwards that no later roll-back takes back."""
-    later = W.partitionBy("follower").orderBy("seq").rowsBetween(1, W.unboundedFollowing)
-    kept = events.withColumn("_least", F.min(_target()).over(later)).where("kind = 'forward' and (_least is null or slot <= _least)")
-    return kept.drop("_least", "back_slot", "kind")
+    """Roll-forwards that no later roll-back takes back.
+
+    Events are dealt to ranges: what later events of a range and all later ranges of a follower
+    take back is a least target each, so a chain of any length spreads over many tasks.
+    """
+    rows = with_earlier(in_ranges(events, ["follower"], ["seq"]), ["follower"], F.min(_target()), _after=least_after)
+    later = within(["follower"]).orderBy("seq").rowsBetween(1, W.unboundedFollowing)
+    kept = rows.withColumn("_least", F.least(F.min(_target()).over(later), "_after")).where("kind = 'forward' and (_least is null or slot <= _least)")
+    return kept.drop("_least", "_after", RANGE, "back_slot", "kind")
 
 
 def canonical_chain_bucketed(events: DataFrame, width: int) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.ranges import in_ranges, sum_before, with_earlier, within
+
 
 def utxos_at(utxo: DataFrame, addresses: DataFrame) -> DataFrame:
     """Outputs at any of the addresses; an unknown address gives no rows."""
@@ -83,7 +85,8 @@ def select_coins(utxo: DataFrame, targets: DataFrame) -> DataFrame:
 
     Coins are classed by the number of binary digits of their value, and an owner's classes are
     summed first. Classes that are needed whole are taken whole, smaller ones than needed never
-    travel, and only the coins of the one class in which the target falls are put in order.
+    travel, and only the coins of the one class in which the target falls are put in order, in
+    ranges, so that an owner with many coins of one class spreads over many tasks.
     """
     digits = F.length(F.bin(F.col("lovelace"))).alias("digits")
     sums = utxo.groupBy("owner", digits).agg(F.sum("lovelace").alias("held"))
@@ -92,8 +95,10 @@ def select_coins(utxo: DataFrame, targets: DataFrame) -> DataFrame:
     asked = targets.select("owner", "target").join(classes, "owner", "left").withColumn("shortfall", F.greatest(F.lit(0), F.col("target") - F.coalesce("total", F.lit(0))))
     needed = asked.where("above < target").select("owner", "digits", "target", "shortfall", "above", (F.col("above") + F.col("held") <= F.col("target")).alias("whole"))
     coins = utxo.select("owner", "tx_id", "ix", "lovelace", digits).join(needed, ["owner", "digits"])
-    order = W.partitionBy("owner").orderBy(F.desc("lovelace"), "tx_id", "ix").rowsBetween(W.unboundedPreceding, -1)
-    cut = coins.where("not whole").withColumn("before", F.col("above") + F.coalesce(F.sum("lovelace").over(order), F.lit(0))).where("before < target")
+    placed = in_ranges(coins.where("not whole").drop("whole", "digits").withColumn("_size", -F.col("lovelace")), ["owner"], ["_size", "tx_id", "ix"])
+    cut = with_earlier(placed, ["owner"], F.sum("lovelace"), _larger=sum_before)
+    order = within(["owner"]).orderBy("_size", "tx_id", "ix").rowsBetween(W.unboundedPreceding, -1)
+    cut = cut.withColumn("before", F.col("above") + F.col("_larger") + F.coalesce(F.sum("lovelace").over(order), F.lit(0))).where("before < target")
     columns = ["owner", "target", "tx_id", "ix", "lovelace", "shortfall"]
     none = asked.where("total is null").select("owner", "target", *(F.lit(None).cast(utxo.schema[c].dataType).alias(c) for c in ("tx_id", "ix", "lovelace")), "shortfall")
     return coins.where("whole").select(columns).unionByName(cut.select(columns)).unionByName(none)
