@@ -16,6 +16,7 @@ from ..operators import assembly as A, balance as B, building, chain as C, check
 from ..operators.scripts import evaluate_scripts
 from ..params import DEFAULT
 from ..sources.readers import EVENTS, parse_genesis_funds, parse_params, parse_tx_hex, parse_utxo_lines, read_chain_events
+from ..streaming.callbacks import kept_rows, on_batches
 from ..streaming.blocks import cut_back, follow_blocks, resume_points, stored
 from ..streaming.follow import OUT as OUT_ACTIONS, follow_stream, live_after, utxo_at, utxo_follow, utxo_stream
 from .submissions import outcome_counts, route_submissions
@@ -361,6 +362,40 @@ def _length(x: str) -> str:
     return f"(CASE WHEN {x} < 24 THEN 1 WHEN {x} < 256 THEN 2 WHEN {x} < 65536 THEN 3 WHEN {x} < 4294967296 THEN 5 ELSE 9 END)"
 
 
+def _section(rows: str, each: str, field: int = 1) -> str:
+    """Bytes of a tx's list of rows."""
+    return f"(SELECT tx_id, CAST({field} + {_length('count(*)')} + sum({each}) AS BIGINT) AS n FROM ({rows}) GROUP BY 1)"
+
+
+def _string(n: str) -> str:
+    return f"({_length(n)} + {n})"
+
+
+_INPUT = f"35 + {_length('src_ix')}"
+_ASSET = f"31 + {_string('length(CAST(asset_name AS VARCHAR))')} + CASE WHEN qty < 0 THEN {_length('(-1 - qty)')} ELSE {_length('qty')} END"
+_SECTIONS = {
+    "ins": _section("SELECT DISTINCT tx_id, src_tx_id, src_ix FROM tx_input WHERE kind = 'spend'", _INPUT),
+    "col": _section("SELECT DISTINCT tx_id, src_tx_id, src_ix FROM tx_input WHERE kind = 'collateral'", _INPUT),
+    "ref": _section("SELECT DISTINCT tx_id, src_tx_id, src_ix FROM tx_input WHERE kind = 'reference'", _INPUT),
+    "outs": _section("SELECT * FROM tx_output", f"62 + {_length('lovelace')} + 2 + {_ASSET} + CASE WHEN has_datum THEN 37 ELSE 0 END"),
+    "wdr": _section("SELECT tx_id, account, arg_max(amount, seq) AS amount FROM tx_withdrawal GROUP BY ALL", f"31 + {_length('amount')}"),
+    "mint": _section("SELECT tx_id, policy_id, asset_name, CAST(sum(qty) AS BIGINT) AS qty FROM tx_mint GROUP BY ALL HAVING sum(qty) <> 0", _ASSET),
+    "sig": _section("SELECT DISTINCT tx_id, signer FROM tx_signer", "30"), "vkey": _section("SELECT DISTINCT tx_id, signer FROM tx_signer", "101"),
+    "scr": _section("SELECT DISTINCT tx_id, script_hash FROM tx_script", "34"),
+    "red_": _section("SELECT * FROM red", f"3 + {_length('ix')} + {_string('length(data)')} + {_length('mem')} + {_length('steps')}"),
+    "aux": _section("SELECT tx_id, label, arg_max(value, seq) AS value FROM tx_metadata GROUP BY ALL", f"{_length('label')} + {_string('length(value)')}", 0),
+}
+_SIZES = " ".join(f"LEFT JOIN {sql} {name} ON {name}.tx_id = k.tx_id" for name, sql in _SECTIONS.items())
+
+
+@query(f""", {_LOG} SELECT k.tx_id, CAST(5 + {' + '.join(f'coalesce({n}.n, 0)' for n in _SECTIONS)} + CASE WHEN aux.n IS NULL THEN 1 ELSE 35 END + CASE WHEN red_.n IS NULL THEN 0 ELSE 35 END
++ CASE WHEN t.tx_id IS NULL THEN 0 ELSE 1 + {_length('(posix_ms // 1000)')} END + CASE WHEN owner % 2 = 0 THEN 1 + {_length('(posix_ms // 1000 + 1000)')} ELSE 0 END AS BIGINT) AS base_size
+FROM (SELECT DISTINCT tx_id FROM log) k LEFT JOIN tx t ON t.tx_id = k.tx_id {_SIZES}""")
+def a12_tx_sizes(spark, sf_dir):
+    """Sizes of assembled transactions from what they hold, as balancing and the size limit need them."""
+    return tx_sizes(A.assemble(Data(spark, sf_dir).log()))
+
+
 _UNITS = "(SELECT tx_id, CAST(sum(mem) AS BIGINT) AS mem, CAST(sum(steps) AS BIGINT) AS steps FROM {0} GROUP BY 1)"
 _READY = f"""{_SPENT}, ready AS (SELECT tx_id, base_size, CAST(coalesce(total_in, 0) AS BIGINT) AS total_in, CAST(coalesce(total_out, 0) AS BIGINT) AS total_out, coalesce(n_outputs, 0) AS n_outputs, coalesce(mem, 0) AS mem, coalesce(steps, 0) AS steps, coalesce(ref_bytes, 0) AS ref_bytes
   FROM tx LEFT JOIN (SELECT tx_id, sum(lovelace) AS total_in FROM spent GROUP BY 1) USING (tx_id) LEFT JOIN (SELECT tx_id, sum(lovelace) AS total_out, count(*) AS n_outputs FROM tx_output GROUP BY 1) USING (tx_id)
@@ -938,6 +973,23 @@ def c10_resume(spark, sf_dir):
     return before.unionByName(after)
 
 
+@query(f", {_SMALL} SELECT follower, CAST(count(*) FILTER (action = 'live') AS BIGINT) AS live, CAST(count(*) FILTER (action = 'undo') AS BIGINT) AS undone, max(slot) FILTER (action = 'live') AS newest FROM actions GROUP BY 1")
+def c10_callbacks(spark, sf_dir):
+    """A callback for each batch of a follower, whose rows are kept by epoch; the stream is run again from nothing and hands no epoch over twice."""
+    parts = _event_parts(spark, sf_dir, 2)
+    base = parts[0].rsplit("/", 1)[0]
+
+    def count(batch: DataFrame, epoch: int) -> DataFrame:
+        of = lambda action: F.count_if(F.col("action") == action)
+        return batch.groupBy("follower").agg(of("live").alias("live"), of("undo").alias("undone"), F.max(F.when(F.col("action") == "live", F.col("slot"))).alias("newest"))
+
+    for attempt in range(2):
+        events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
+        on_batches(follow_blocks(events, SMALL_K), count, f"{base}-kept", f"{base}-state{attempt}").awaitTermination()
+    rows = kept_rows(spark, f"{base}-kept", "follower long, live long, undone long, newest long")
+    return rows.groupBy("follower").agg(F.sum("live").alias("live"), F.sum("undone").alias("undone"), F.max("newest").alias("newest"))
+
+
 #: More slots than any roll-back goes back, fewer than the history has.
 DEEP_K = 400_000
 _BODIES = "SELECT follower, seq, unnest(range(CAST(1 + seq % 3 AS BIGINT))) AS ix FROM forwards"

@@ -1,9 +1,12 @@
 """Followers with little state, stopped and started again, and unspent outputs under roll-backs."""
 
+import time
+
 import pandas as pd
 
 from ledgerloom.sources.readers import EVENTS, read_chain_events
 from ledgerloom.streaming.blocks import Follower, cut_back, follow_blocks, resume_points, stored
+from ledgerloom.streaming.callbacks import Tracer, kept_rows, on_batches
 from ledgerloom.streaming.follow import OUT, utxo_at, utxo_follow
 
 ROWS = [
@@ -95,3 +98,35 @@ def test_unspent_outputs_under_roll_backs(spark, tmp_path):
         source = spark.readStream.schema(OUT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / ("*" if parts == 4 else "{" + ",".join(map(str, range(parts))) + "}")))
         utxo_follow(source, bodies, 1000, str(out), f"{out}-ck", buckets=2).awaitTermination()
         assert {tuple(r) for r in utxo_at(spark, str(out)).select("tx_id", "ix", "address", "lovelace").collect()} == want
+
+
+def test_callbacks_by_epoch_and_trace(spark, tmp_path):
+    """Each epoch is handed over once, a stream that begins anew included; a failed call leaves nothing behind."""
+    for i, part in enumerate(([(1,), (2,)], [(3,)])):
+        spark.createDataFrame(part, "x long").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    seen, tracer = [], Tracer()
+    spark.streams.addListener(tracer)
+
+    def call(batch, epoch):
+        seen.append(epoch)
+        if seen == [0, 1]:
+            batch.write.mode("overwrite").parquet(str(tmp_path / "kept" / "rows" / "epoch=1"))
+            raise RuntimeError("stopped half-way")
+        return batch
+
+    for attempt in range(3):
+        stream = spark.readStream.schema("x long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        q = on_batches(stream, call, str(tmp_path / "kept"), str(tmp_path / f"ck{min(attempt, 1)}"))
+        try:
+            q.awaitTermination()
+        except Exception as e:
+            assert attempt == 0 and "stopped half-way" in str(e)
+            assert kept_rows(spark, str(tmp_path / "kept"), "x long").count() == 2
+    assert seen == [0, 1, 1]
+    assert sorted(map(tuple, kept_rows(spark, str(tmp_path / "kept"), "x long").collect())) == [(1, 0), (2, 0), (3, 1)]
+    for _ in range(50):
+        if tracer.lines:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(tracer)
+    assert {r["epoch"] for r in tracer.table(spark).collect()} <= {0, 1} and tracer.lines
