@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -82,3 +84,17 @@ def test_a_graph_travels_as_rows():
     again = hnsw.Graph.from_links(rows, graph.links(), graph.beam)
     assert again.entry == graph.entry and len(again.levels) == len(graph.levels) > 1
     assert all((a == b).all() for a, b in zip(again.levels, graph.levels, strict=True))
+
+
+def test_memory_of_a_dense_shard():
+    """All vectors alike: every cell is a pair, and few of them are held at a time."""
+    r = np.random.default_rng(0)
+    vectors = np.ones((20_000, 8)) + 1e-3 * r.standard_normal((20_000, 8))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    graph = hnsw.Graph.__new__(hnsw.Graph)
+    graph.vectors, graph.beam = vectors, len(vectors)
+    tracemalloc.start()
+    pairs = sum(len(q) for q, _ in graph.near(vectors[:1_000], 0.95))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == 1_000 * 20_000 and most < 300 << 20
