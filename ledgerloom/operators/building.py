@@ -159,11 +159,11 @@ def build(tx: DataFrame, redeemers: DataFrame, program: Program, params: Params
     own = [c for c in tx.columns if c not in _STATE]
     state = pinned(tx.select(*own).withColumns({**empty, **start, "rounds": F.lit(0)}))
     keep = [*own, *_STATE, "rounds"]
-    settled = None
+    settled, left = None, (not state.isEmpty(), False)
     for number in range(1, rounds + 1):
         columns, after = [*keep, "fee", "change", "outcome", "error", "failure"], None
-        for part, go in ((state.where("low is null"), _stepped), (state.where("low is not null"), _bisected)):
-            if part.isEmpty():
+        for some, part, go in ((left[0], state.where("low is null"), _stepped), (left[1], state.where("low is not null"), _bisected)):
+            if not some:
                 continue
             gone = go(part, redeemers, program, params).withColumn("rounds", F.lit(number))
             gone = gone.select(*(F.col(c).cast(_STATE[c]).alias(c) if c in _STATE else F.col(c) for c in columns))
@@ -176,6 +176,7 @@ def build(tx: DataFrame, redeemers: DataFrame, program: Program, params: Params
             after, over = after.withColumn("outcome", F.coalesce("outcome", F.lit("NotConverged"))), F.lit(True)
         settled = after.where(over) if settled is None else settled.unionByName(after.where(over))
         state = after.where(~over).select(*keep)
+        left = state.agg(F.count_if(F.col("low").isNull()), F.count_if(F.col("low").isNotNull())).first()
     if settled is None:
         return state.select("tx_id", *(F.lit(None).cast(t).alias(c) for c, t in _RESULT.items() if t))
     failed, unsettled = F.col("outcome") == "EvalFailure", F.col("outcome").isin("EvalFailure", "BalanceFailed")
