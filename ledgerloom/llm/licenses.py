@@ -173,11 +173,11 @@ def _tag(content: Column) -> Column:
 
 def _titled(content: Column) -> Column:
     """The licence whose title page the text begins with, null without one; signs and white space between words do not count."""
-    out = F.lit(None).cast("string")
-    for name, title in reversed(TITLES):
-        pattern = r"(?i)^[^a-z0-9]*" + r"[^a-z0-9]+".join(re.escape(w) for w in title.split()) + r"(?![a-z0-9]|\.[0-9])"
-        out = F.when(F.rlike(content, F.lit(pattern)), name).otherwise(out)
-    return out
+    ways = "|".join(r"[^a-z0-9]+".join(re.escape(w) for w in title.split()) for _, title in TITLES)
+    found = F.regexp_extract(content, r"(?i)^[^a-z0-9]*(" + ways + r")(?![a-z0-9]|\.[0-9])", 1)
+    plain = {re.sub("[^a-z0-9]", "", title): name for name, title in TITLES}
+    names = F.create_map(*(F.lit(x) for pair in plain.items() for x in pair))
+    return F.when(found != "", F.try_element_at(names, F.regexp_replace(ascii_lower(found), "[^a-z0-9]", "")))
 
 
 def _judged(base: DataFrame, n: int, counts: dict[str, int], notices: Sequence[tuple[str, str]], texts: Sequence[tuple[str, str]]) -> DataFrame:
