@@ -87,6 +87,10 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return h * np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Rows of an item that are compared with the text at a time.
+AT_ONCE = 256
+
+
 def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, most: int) -> tuple[int, int, int] | None:
     """Fewest edits between the item and a passage of text, on diagonals lo to hi - 1: (edits, start, end).
 
@@ -106,8 +110,12 @@ def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, most: int) -> tu
     steps = np.arange(width, dtype=np.int64) * one
     least = np.minimum
     for i in range(m):
+        if i % AT_ONCE == 0:
+            some = windows[i : i + AT_ONCE]
+            differ = (some != item[i : i + AT_ONCE, None]) * np.int64(one)
+            differ[some == 0] = far
         down = row[1:] + one
-        row = row + np.where(windows[i] == 0, far, (windows[i] != item[i]) * np.int64(one))
+        row = row + differ[i % AT_ONCE]
         least(row[:-1], down, out=row[:-1])
         row -= steps
         least.accumulate(row, out=row)
