@@ -108,20 +108,20 @@ def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, most: int) -> tu
         padded[a - lo : b - lo] = text[a:b]
     windows = np.lib.stride_tricks.sliding_window_view(padded, width)
     steps = np.arange(width, dtype=np.int64) * one
+    row -= steps  # a step to the right costs nothing then, one down twice as much
     least = np.minimum
     for i in range(m):
         if i % AT_ONCE == 0:
             some = windows[i : i + AT_ONCE]
             differ = (some != item[i : i + AT_ONCE, None]) * np.int64(one)
             differ[some == 0] = far
-        down = row[1:] + one
-        row = row + differ[i % AT_ONCE]
+        down = row[1:] + 2 * one
+        row += differ[i % AT_ONCE]
         least(row[:-1], down, out=row[:-1])
-        row -= steps
         least.accumulate(row, out=row)
-        row += steps
-        if i & 15 == 15 and row.min() >> 32 > most:
+        if i & 15 == 15 and (row + steps).min() >> 32 > most:
             return None
+    row += steps
     edits = row >> 32
     best = int(np.argmin(edits))
     if edits[best] > most:
