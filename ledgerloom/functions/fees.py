@@ -41,9 +41,12 @@ TIERS = 35
 def ref_script_fee(size: Column, params: Params = DEFAULT) -> Column:
     """Tiered price of reference-script bytes: each further tier costs its growth more a byte; exact, rounded down.
 
-    Null beyond TIERS tiers, four times what the ledger allows in a transaction.
+    Null beyond TIERS tiers, four times what the ledger allows in a transaction. Where the growth is
+    one, all bytes cost the same, and any number of them has a price.
     """
     tier, (up, down) = params.ref_script_tier, params.ref_script_growth
+    if up == down:
+        return (size.cast("long") * params.ref_script_per_byte).cast("long")
     n = F.call_function("div", size.cast("long"), F.lit(tier).cast("long")).cast("int")
 
     def of_tiers(value: Callable[[int], int]) -> Column:
