@@ -29,7 +29,7 @@ def evaluate_scripts(requests: DataFrame, columns: Sequence[str], call: Callable
     """
     asked = requests.withColumn("digest", request_digest(columns))
     body = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    fresh = asked.select("digest", body.alias("body")).dropDuplicates(["digest"])
+    fresh = asked.select("digest", body.alias("body")).distinct()  # a digest has one body; keys alone are hashed, not sorted
     if known is not None:
         fresh = fresh.join(known, "digest", "left_anti")
 
@@ -48,4 +48,5 @@ def evaluate_scripts(requests: DataFrame, columns: Sequence[str], call: Callable
 
     answers = pinned(fresh.mapInArrow(run, ANSWERS))
     every = answers if known is None else known.unionByName(answers)
-    return asked.join(every, "digest").drop("digest"), every
+    # the answers, few against what is asked, are the side that a task holds; what is asked streams by
+    return asked.join(every.hint("shuffle_hash"), "digest").drop("digest"), every
