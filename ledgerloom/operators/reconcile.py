@@ -14,20 +14,19 @@ def _rows(section: str, df: DataFrame) -> DataFrame:
     return df.select("tx_id", F.lit(section).alias("section"), F.concat_ws(",", *columns).alias("element"))
 
 
-def _differences(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Elements with different numbers on the two sides, compared tx by tx only where the digests differ.
+#: Elements that a task compares, on average.
+ELEMENTS = 500_000
 
-    Both sides are read for the digests and again for what differs, so they are written once.
-    """
-    one, other = pinned(one), pinned(other)
 
-    def digest(df: DataFrame) -> DataFrame:
-        return df.groupBy("tx_id").agg(F.sum(F.xxhash64("section", "element").cast("decimal(38,0)")).alias("d"), F.count(F.lit(1)).alias("c"))
+def _differences(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Elements with different numbers on the two sides.
 
-    left, right = digest(one), digest(other).withColumnsRenamed({"d": "d2", "c": "c2"})
-    changed = left.join(right, "tx_id", "full_outer").where(~(F.col("d").eqNullSafe(F.col("d2")) & F.col("c").eqNullSafe(F.col("c2")))).select("tx_id")
-    both = one.withColumn("n", F.lit(1)).unionByName(other.withColumn("n", F.lit(-1)))
-    sums = both.join(changed, "tx_id", "left_semi").groupBy("tx_id", "section", "element").agg(F.sum("n").alias("n")).where("n <> 0")
+    Both sides are written and counted, and dealt to so many tasks by tx that each holds about
+    ELEMENTS, whatever the session's number of partitions and however well the texts compress.
+    """
+    both = pinned(one.withColumn("n", F.lit(1)).unionByName(other.withColumn("n", F.lit(-1))))
+    parts = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), both.count() // ELEMENTS + 1)
+    sums = both.repartition(parts, "tx_id").groupBy("tx_id", "section", "element").agg(F.sum("n").alias("n")).where("n <> 0")
     return sums.select("tx_id", "section", "element", F.when(F.col("n") > 0, "expected").otherwise("actual").alias("side"), F.abs("n").cast("long").alias("n"))
 
 
