@@ -71,13 +71,17 @@ def size_fee(size: Column, other: Column, params: Params = DEFAULT) -> Column:
 def fixed_point(estimate: Callable[[Column], Column]) -> Column:
     """struct(fee, converged): from 0, each round estimates anew and stops with the current fee as soon as the estimate is no higher.
 
-    A fold inside the row, of ROUNDS estimates at most.
+    A fold inside the row, of ROUNDS estimates at most; what a round estimates is kept for the next one.
     """
-    start = F.struct(F.lit(0).cast("long").alias("fee"), F.lit(False).alias("converged"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("fee"), estimate(zero).cast("long").alias("next"))
 
     def step(acc: Column, _: Column) -> Column:
-        new = estimate(acc["fee"])
-        stop = acc["converged"] | (new <= acc["fee"])
-        return F.struct(F.when(stop, acc["fee"]).otherwise(new).cast("long").alias("fee"), stop.alias("converged"))
+        stop = acc["next"] <= acc["fee"]
+        return F.struct(F.when(stop, acc["fee"]).otherwise(acc["next"]).alias("fee"), F.when(stop, acc["next"]).otherwise(estimate(acc["next"])).cast("long").alias("next"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    def found(acc: Column) -> Column:
+        stop = acc["next"] <= acc["fee"]
+        return F.struct(F.when(stop, acc["fee"]).otherwise(acc["next"]).alias("fee"), stop.alias("converged"))
+
+    return F.aggregate(F.sequence(F.lit(2), F.lit(ROUNDS)), start, step, found)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.pinned import pinned
 from ..params import DEFAULT, EVALUATION_MEM, EVALUATION_STEPS, Params
 from .assembly import integrity_digest
 from .balance import balance, bump_fee
@@ -98,7 +99,8 @@ def settle_at_fee(inputs: DataFrame, outputs: DataFrame, chosen: DataFrame, chec
     and change; a tx that fails one keeps its outputs, with the error ChecksFailed. A tx that cannot
     be balanced has one row without output, with the error of balance.
     """
-    balanced = balance(inputs, params).withColumnRenamed("fee", "balanced_fee").join(chosen.select("tx_id", "chosen"), "tx_id", "left")
+    # written, as a filter on the error would be pushed down and run the fee search once for each mention of it
+    balanced = pinned(balance(inputs, params)).withColumnRenamed("fee", "balanced_fee").join(chosen.select("tx_id", "chosen"), "tx_id", "left")
     target = F.greatest("balanced_fee", "chosen")
     fees = balanced.withColumns({"fee": target, "change": F.col("change") - (target - F.col("balanced_fee"))})
     fees = fees.withColumn("error", F.when(F.col("error").isNull() & _broken(checks), "ChecksFailed").otherwise(F.col("error")))

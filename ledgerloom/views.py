@@ -20,49 +20,54 @@ def cents(x: Column) -> Column:
     return F.round(x * 100).cast("long")
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order lines with their place in the order; views that get them as lines do not put them in order again."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     ix = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)) - 1
-    return table(spark, sf_dir, "lineitem").withColumn("ix", ix.cast("long"))
+    return table(spark, sf_dir, "lineitem").withColumn("ix", ix.cast("long")).drop("l_linenumber", "l_shipdate")
 
 
-def tx_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, lines: DataFrame | None) -> DataFrame:
+    return order_lines(spark, sf_dir) if lines is None else lines
+
+
+def tx_output(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("script_bytes"))
-    return _lines(spark, sf_dir).join(sizes, "l_partkey", "left").select(
+    return _lines(spark, sf_dir, lines).join(sizes, "l_partkey", "left").select(
         F.col("l_orderkey").alias("tx_id"), "ix", F.col("l_suppkey").alias("address"), cents(F.col("l_extendedprice")).alias("lovelace"),
         (F.col("l_partkey") % 25).alias("policy_id"), F.col("l_partkey").alias("asset_name"), F.col("l_quantity").cast("long").alias("qty"),
         (F.col("l_linestatus") == "O").alias("has_datum"), "script_bytes",
     )
 
 
-def tx_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tx_input(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     closed, returned = F.col("l_linestatus") == "F", F.col("l_returnflag") == "R"
     kind = F.when(closed & ~returned, "spend").when(closed, "reference").when(returned, "collateral")
-    return _lines(spark, sf_dir).select(
+    return _lines(spark, sf_dir, lines).select(
         (F.col("l_orderkey") + 1).alias("tx_id"), F.col("ix").alias("seq"), kind.alias("kind"),
         F.when(F.col("l_returnflag") == "A", "script").otherwise("key").alias("witness"), F.col("l_orderkey").alias("src_tx_id"), F.col("ix").alias("src_ix"),
     ).where("kind is not null")
 
 
-def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spent = tx_input(spark, sf_dir).where("kind = 'spend'").groupBy("tx_id").agg(F.count(F.lit(1)).alias("ins"))
-    made = tx_output(spark, sf_dir).groupBy("tx_id").agg(F.count(F.lit(1)).alias("outs"))
+def tx(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, outputs: DataFrame | None = None) -> DataFrame:
+    spent = tx_input(spark, sf_dir, lines).where("kind = 'spend'").groupBy("tx_id").agg(F.count(F.lit(1)).alias("ins"))
+    made = (tx_output(spark, sf_dir, lines) if outputs is None else outputs).groupBy("tx_id").agg(F.count(F.lit(1)).alias("outs"))
     size = 200 + 40 * F.coalesce("ins", F.lit(0)) + 65 * F.coalesce("outs", F.lit(0))
     ms = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', cast(o_orderdate as timestamp_ntz))") * 1000
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_id"), F.col("o_custkey").alias("owner"), ms.alias("posix_ms"))
     return orders.join(spent, "tx_id", "left").join(made, "tx_id", "left").select("tx_id", "owner", "posix_ms", size.alias("base_size"))
 
 
-def tx_mint(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tx_mint(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     qty = F.col("l_quantity").cast("long")
-    return _lines(spark, sf_dir).where(cents(F.col("l_tax")) == 8).select(
+    return _lines(spark, sf_dir, lines).where(cents(F.col("l_tax")) == 8).select(
         F.col("l_orderkey").alias("tx_id"), F.col("ix").alias("seq"), (F.col("l_partkey") % 25).alias("policy_id"), F.col("l_partkey").alias("asset_name"),
         F.when(cents(F.col("l_discount")) > 5, -qty).otherwise(qty).alias("qty"),
     )
 
 
-def tx_withdrawal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).where("l_linestatus = 'O' and l_returnflag = 'A'").select(
+def tx_withdrawal(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    return _lines(spark, sf_dir, lines).where("l_linestatus = 'O' and l_returnflag = 'A'").select(
         F.col("l_orderkey").alias("tx_id"), F.col("ix").alias("seq"), F.col("l_suppkey").alias("account"), cents(F.col("l_extendedprice")).alias("amount")
     )
 
@@ -77,12 +82,12 @@ def tx_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(F.col("user_id").alias("tx_id"), F.col("event_id").alias("seq"), (F.col("k") % 10).alias("label"), F.col("event_type").alias("value"))
 
 
-def eval_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eval_result(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """Of script spends, minted policies and withdrawing accounts; ix is the place among the tx's sorted ones of the kind."""
-    lines = _lines(spark, sf_dir).where("l_linestatus = 'F' and l_returnflag <> 'R'")
+    closed = _lines(spark, sf_dir, lines).where("l_linestatus = 'F' and l_returnflag <> 'R'")
     place = (F.row_number().over(W.partitionBy("l_orderkey").orderBy("ix")) - 1).cast("long")
     qty = F.col("l_quantity").cast("long")
-    spends = lines.withColumn("place", place).where("l_returnflag = 'A'").select(
+    spends = closed.withColumn("place", place).where("l_returnflag = 'A'").select(
         (F.col("l_orderkey") + 1).alias("tx_id"), F.lit("spend").alias("purpose"), F.col("place").alias("ix"),
         (cents(F.col("l_discount")) != 10).alias("ok"), (qty * 1000).alias("mem"), (qty * 100_000).alias("steps"),
     )
@@ -91,7 +96,7 @@ def eval_result(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = df.select("tx_id", key).distinct().withColumn("ix", (F.row_number().over(W.partitionBy("tx_id").orderBy(key)) - 1).cast("long"))
         return rows.select("tx_id", F.lit(purpose).alias("purpose"), "ix", (F.col(key) % 4 != bad).alias("ok"), (1000 * (F.col(key) + 1)).alias("mem"), (100_000 * (F.col(key) + 1)).alias("steps"))
 
-    return spends.unionByName(others(tx_mint(spark, sf_dir), "policy_id", "mint", 1)).unionByName(others(tx_withdrawal(spark, sf_dir), "account", "reward", 2))
+    return spends.unionByName(others(tx_mint(spark, sf_dir, lines), "policy_id", "mint", 1)).unionByName(others(tx_withdrawal(spark, sf_dir, lines), "account", "reward", 2))
 
 
 def chain_event(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +121,9 @@ def tx_signer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx_id"), F.lit(0).cast("long").alias("seq"), F.col("o_custkey").alias("signer"))
 
 
-def tx_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tx_script(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     """The policies of script spends, as hashes of attached scripts."""
-    return _lines(spark, sf_dir).where("l_linestatus = 'F' and l_returnflag = 'A'").select(
+    return _lines(spark, sf_dir, lines).where("l_linestatus = 'F' and l_returnflag = 'A'").select(
         (F.col("l_orderkey") + 1).alias("tx_id"), F.col("ix").alias("seq"), (F.col("l_partkey") % 25).alias("script_hash")
     )
 
