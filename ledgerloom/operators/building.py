@@ -129,7 +129,8 @@ def _bisected(state: DataFrame, redeemers: DataFrame, program: Program, params:
     })
     drafts = _balanced(program.interpret(kept), F.when(F.col("last"), F.col("_units")).otherwise(F.array().cast(UNITS)), params)
     fee = F.col("prev_fee")
-    drafts = drafts.withColumns({"change": F.col("change") - (fee - F.col("fee")), "fee": fee})
+    # written, as a filter on the error would be pushed down and run the fee search once for each mention of it
+    drafts = pinned(drafts.withColumns({"change": F.col("change") - (fee - F.col("fee")), "fee": fee}))
     tried = ~F.col("last") & F.col("error").isNull()
     none = F.lit(None)
     out = _evaluated(drafts.where(tried), redeemers, program).unionByName(drafts.where(~tried).withColumns({"failure": none, "found": none}))
