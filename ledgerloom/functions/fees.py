@@ -50,7 +50,8 @@ def ref_script_fee(size: Column, params: Params = DEFAULT) -> Column:
     n = F.call_function("div", size.cast("long"), F.lit(tier).cast("long")).cast("int")
 
     def of_tiers(value: Callable[[int], int]) -> Column:
-        return F.get(F.array(*(F.lit(str(value(i))).cast("decimal(33,0)") for i in range(TIERS + 1))), n)
+        prices = ", ".join(f"cast('{value(i)}' as decimal(33,0))" for i in range(TIERS + 1))
+        return F.get(F.expr(f"array({prices})"), n)  # one text, as a call for each price slows down plans that are made in a loop
 
     # n whole tiers cost tier * (g^n - 1) / (g - 1), what is left g^n a byte, times the price; over one denominator
     whole, rest, under = of_tiers(lambda i: tier * down * (up**i - down**i)), of_tiers(lambda i: (up - down) * up**i), of_tiers(lambda i: (up - down) * down**i)
