@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Row, Window as W, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.sampling import sample_fibonacci
@@ -20,7 +20,7 @@ class Follower(StatefulProcessor):
     """Blocks of a follower by (slot, seq), and (following, floor): whether the tip was reached and the highest slot no longer kept."""
 
     def __init__(self, k: int, idle_ms: int | None):
-        self.k, self.idle_ms = k, idle_ms
+        self.k, self.idle_ms, self.last = k, idle_ms, None
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -28,37 +28,44 @@ class Follower(StatefulProcessor):
         self.known = handle.getValueState("known", "following boolean, floor long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        follower = int(key[0])
-        following, floor = self.known.get() if self.known.exists() else (False, None)
+        events = pd.concat(rows).sort_values("seq").itertuples()
+        plain = ((int(e.seq), e.kind, *(None if pd.isna(x) else int(x) for x in (e.slot, e.back_slot, e.tip_slot))) for e in events)
+        yield pd.DataFrame(self.followed(int(key[0]), plain, timerValues), columns=["follower", "seq", "slot", "action", "phase"])
+
+    def followed(self, follower: int, events: Iterable[tuple], timerValues) -> list[tuple]:
+        """Rows of a follower's events (seq, kind, slot, back_slot, tip_slot), which are in order, and its state after them."""
+        was = self.known.get()
+        following, floor = was or (False, None)
         window = sorted(k for k, _ in self.blocks.iterator())
         stored, out = set(window), []
-        for e in pd.concat(rows).sort_values("seq").itertuples():
+        for seq, kind, slot, target, tip in events:
             phase = "following" if following else "restoration"
-            if e.kind == "back":
-                target = -1 if pd.isna(e.back_slot) else int(e.back_slot)
+            if kind == "back":
+                target = -1 if target is None else target
                 if floor is not None and target < floor:
-                    out.append((follower, int(e.seq), target, "TooDeep", phase))
+                    out.append((follower, seq, target, "TooDeep", phase))
                 out += [(follower, q, s, "undo", phase) for s, q in sorted(window, key=lambda b: -b[1]) if s > target]
                 window = [b for b in window if b[0] <= target]
                 continue
-            tip, slot = 0 if pd.isna(e.tip_slot) else int(e.tip_slot), int(e.slot)
+            tip = tip or 0
             following = following or (tip > 0 and slot >= tip)
-            out.append((follower, int(e.seq), slot, "live", "following" if following else "restoration"))
+            out.append((follower, seq, slot, "live", "following" if following else "restoration"))
             gone = [s for s, _ in window if s < slot - self.k]
             if gone:
                 floor = max(*gone, floor if floor is not None else gone[0])
                 window = [b for b in window if b[0] >= slot - self.k]
-            window.append((slot, int(e.seq)))
+            window.append((slot, seq))
         for block in stored.difference(window):
             self.blocks.removeKey(block)
         for block in set(window).difference(stored):
             self.blocks.updateValue(block, (1,))
-        self.known.update((bool(following), floor))
+        if was is None or tuple(was) != (bool(following), floor):
+            self.known.update((bool(following), floor))
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(out, columns=["follower", "seq", "slot", "action", "phase"])
+        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """An idle follower's blocks go; a later roll-back below the newest of them is too deep."""
@@ -78,6 +85,28 @@ class Follower(StatefulProcessor):
         pass
 
 
+class RowFollower(Follower):
+    """The same over plain rows: a follower's few events need no data frame of their own, and rows of many followers go out together."""
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = sorted(((r["seq"], r["kind"], r["slot"], r["back_slot"], r["tip_slot"]) for r in rows), key=lambda e: e[0])
+        for row in self.followed(int(key[0]), events, timerValues):
+            yield Row(follower=row[0], seq=row[1], slot=row[2], action=row[3], phase=row[4])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        for _ in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            pass
+        return iter(())
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        """A row of a follower's stored chain; what is known beside the blocks is the same on all of them."""
+        if initialState["seq"] is not None:
+            self.blocks.updateValue((initialState["slot"], initialState["seq"]), (1,))
+        if self.last != key[0]:
+            self.known.update((bool(initialState["following"]), initialState["floor"]))
+            self.last = key[0]
+
+
 def follow_blocks(events: DataFrame, k: int, kept: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
     """live, undo and error rows of each follower, from a stream of events; undo rows come newest first.
 
@@ -91,7 +120,7 @@ def follow_blocks(events: DataFrame, k: int, kept: DataFrame | None = None, idle
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     grouped = None if kept is None else kept.groupBy("follower")
-    return events.groupBy("follower").transformWithStateInPandas(Follower(k, idle_ms), OUT, "Append", "None" if idle_ms is None else "ProcessingTime", grouped)
+    return events.groupBy("follower").transformWithState(RowFollower(k, idle_ms), OUT, "Append", "None" if idle_ms is None else "ProcessingTime", grouped)
 
 
 def stored(actions: DataFrame, k: int) -> DataFrame:
