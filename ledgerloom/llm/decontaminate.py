@@ -83,50 +83,87 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     wide = codes.astype(np.uint64)
     for i in range(q):
-        h = h * np.uint64(0x100000001B3) + wide[i : n + i]
-    return h * np.uint64(0x9E3779B97F4A7C15)
+        h *= np.uint64(0x100000001B3)
+        h += wide[i : n + i]
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return h
 
 
-#: Rows of an item that are compared with the text at a time.
-AT_ONCE = 256
+#: Rows of an item that are compared with the text at a time, and diagonals of all bands that are aligned at once.
+AT_ONCE, LANES = 16, 1 << 13
+ONE, FAR = 1 << 32, 1 << 60
+
+Band = tuple[np.ndarray, np.ndarray, int, int, int]
 
 
 def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, most: int) -> tuple[int, int, int] | None:
     """Fewest edits between the item and a passage of text, on diagonals lo to hi - 1: (edits, start, end).
 
-    None if there is no passage with at most so many edits; rows after the band has more are
-    left out. Of the passages with the fewest edits the one that ends first counts, of these
-    the one that starts first.
+    None if there is no passage with at most so many edits. Of the passages with the fewest edits
+    the one that ends first counts, of these the one that starts first.
     """
-    width, m, n = hi - lo, len(item), len(text)
-    one, far = 1 << 32, 1 << 60
-    row = np.arange(lo, hi, dtype=np.int64)  # edits * one + start
-    row = np.where((row >= 0) & (row <= n), row, far)
-    padded = np.zeros(m + width - 1, dtype=np.uint32)  # no item holds a zero
-    a, b = max(lo, 0), min(hi - 1 + m, n)
-    if b > a:
-        padded[a - lo : b - lo] = text[a:b]
-    windows = np.lib.stride_tricks.sliding_window_view(padded, width)
-    steps = np.arange(width, dtype=np.int64) * one
+    return align_all([(item, text, lo, hi, most)])[0]
+
+
+def align_all(bands: Sequence[Band]) -> list[tuple[int, int, int] | None]:
+    """What align gives for each band: bands of about the same width go row by row together."""
+    out: list[tuple[int, int, int] | None] = [None] * len(bands)
+    order = sorted(range(len(bands)), key=lambda k: (bands[k][3] - bands[k][2], len(bands[k][0])), reverse=True)
+    while order:
+        some = max(1, LANES // (bands[order[0]][3] - bands[order[0]][2]))
+        _align_some(bands, order[:some], out)
+        order = order[some:]
+    return out
+
+
+def _align_some(bands: Sequence[Band], lanes: list[int], out: list) -> None:
+    """Rows after which a band has more edits than it may are left out, and so is the rest of its item."""
+    width = max(bands[k][3] - bands[k][2] for k in lanes)
+    rows = max(len(bands[k][0]) for k in lanes)
+    items = np.zeros((len(lanes), rows), np.uint32)
+    padded = np.zeros((len(lanes), rows + width - 1), np.uint32)  # no item holds a zero
+    row = np.empty((len(lanes), width), np.int64)  # edits * ONE + start
+    least = np.full((len(lanes), width), -FAR)  # diagonals beyond a narrower band are never entered
+    for x, k in enumerate(lanes):
+        item, text, lo, hi, _ = bands[k]
+        m, n = len(item), len(text)
+        items[x, :m] = item
+        a, b = max(lo, 0), min(hi - 1 + m, n)
+        if b > a:
+            padded[x, a - lo : b - lo] = text[a:b]
+        start = np.arange(lo, lo + width, dtype=np.int64)
+        row[x] = np.where((start >= 0) & (start <= n) & (start < hi), start, FAR)
+        least[x, hi - lo :] = FAR
+    steps = np.arange(width, dtype=np.int64) * ONE
     row -= steps  # a step to the right costs nothing then, one down twice as much
-    least = np.minimum
-    for i in range(m):
-        if i % AT_ONCE == 0:
-            some = windows[i : i + AT_ONCE]
-            differ = (some != item[i : i + AT_ONCE, None]) * np.int64(one)
-            differ[some == 0] = far
-        down = row[1:] + 2 * one
-        row += differ[i % AT_ONCE]
-        least(row[:-1], down, out=row[:-1])
-        least.accumulate(row, out=row)
-        if i & 15 == 15 and (row + steps).min() >> 32 > most:
-            return None
-    row += steps
-    edits = row >> 32
-    best = int(np.argmin(edits))
-    if edits[best] > most:
-        return None
-    return int(edits[best]), int(row[best] & (one - 1)), lo + best + m
+    lane, lengths = np.array(lanes), np.array([len(bands[k][0]) for k in lanes])
+    most = np.array([bands[k][4] for k in lanes])
+    narrow = bool((least > 0).any())
+    for first in range(0, rows, AT_ONCE):
+        some = np.lib.stride_tricks.sliding_window_view(padded[:, first : first + AT_ONCE + width - 1], width, axis=1).transpose(1, 0, 2)
+        differ = (some != items[:, first : first + AT_ONCE].T[:, :, None]) * np.int64(ONE)
+        differ[some == 0] = FAR
+        ended: dict[int, list[int]] = {}
+        for x in np.flatnonzero(lengths <= first + AT_ONCE).tolist():
+            ended.setdefault(int(lengths[x]), []).append(x)
+        for i, cost in enumerate(differ, first + 1):
+            down = row[:, 1:] + 2 * ONE
+            row += cost
+            np.minimum(row[:, :-1], down, out=row[:, :-1])
+            np.minimum.accumulate(row, axis=1, out=row)
+            if narrow:
+                np.maximum(row, least, out=row)
+            for x in ended.get(i, ()):
+                _, _, lo, _, allowed = bands[lane[x]]
+                edits = (row[x] + steps) >> 32
+                best = int(np.argmin(edits))
+                if edits[best] <= allowed:
+                    out[lane[x]] = int(edits[best]), int((row[x, best] + steps[best]) & (ONE - 1)), lo + best + i
+        going = (lengths > first + AT_ONCE) & ((row + steps).min(axis=1) >> 32 <= most)
+        if not going.any():
+            return
+        if not going.all():
+            row, least, items, padded, lane, lengths, most = (z[going] for z in (row, least, items, padded, lane, lengths, most))
 
 
 class Index:
@@ -149,7 +186,8 @@ class Index:
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(g)) for g in grams)])
         order = np.argsort(every, kind="stable")
-        self.item, self.place = item[order].astype(np.int64), place[order]
+        self.item, self.place = item[order].astype(np.int64), place[order].astype(np.int32)
+        self.width, self.enough, self.mixed = (self.e[self.item] + 1).astype(np.int32), self.need[self.item].astype(np.int32), self.item * 0x9E3779B1
         self.gram, self.first, self.count = np.unique(every[order], return_index=True, return_counts=True)
         self.bits = np.uint64(64 - max(16, min(24, 5 + int(len(self.gram)).bit_length())))
         self.seen = np.zeros(1 << (64 - int(self.bits)), dtype=bool)
@@ -165,8 +203,13 @@ class Index:
         if len(self.gram):
             ends = np.cumsum([len(c) + 1 for c, _ in parts])
             glued = np.concatenate([x for c, _ in parts for x in (c, np.zeros(1, np.uint32))])
-            for d, item, lo, hi in self._bands(glued, ends):
-                self._verify(parts[d], item, lo, hi, found[d])
+            bands = self._bands(glued, ends)
+            matches = align_all([(self.items[i][1], parts[d][0], lo, hi, int(self.e[i])) for d, i, lo, hi in bands])
+            for (d, i, _, _), match in zip(bands, matches, strict=True):
+                if match:
+                    edits, start, end = match
+                    at = parts[d][1]
+                    found[d].append((self.items[i][0], int(at[start]), int(at[end - 1]) + 1, edits))
         return [sorted(set(x)) for x in found]
 
     def _short(self, text: str, at: np.ndarray):
@@ -177,6 +220,15 @@ class Index:
                 yield item_id, int(at[i]), int(at[i + len(item) - 3]) + 1, 0
                 i = text.find(item, i + 1)
 
+    @staticmethod
+    def _crowded(cells: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Whether a cell and one beside it may hold enough; cells that share a counter count together, so none is lost."""
+        counters = 1 << max(12, min(20, len(cells).bit_length()))
+        at = cells & (counters - 1)
+        held = np.bincount(at, minlength=counters).astype(np.int32)
+        both = held + np.maximum(np.roll(held, 1), np.roll(held, -1))
+        return both[at] >= need
+
     def _bands(self, glued: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, lowest diagonal, end) where bands share enough q-grams; short runs of such bands are one."""
         grams = _grams(glued, self.q)
@@ -189,20 +241,25 @@ class Index:
         n = self.count[slot]
         total = int(n.sum())
         entry = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-        item = self.item[entry]
-        shift = 1 << 20  # diagonals may be negative, by an item's length at most
+        begins = np.concatenate([[0], ends[:-1]])
         doc = np.searchsorted(ends, where, side="right")
-        local = where - np.concatenate([[0], ends[:-1]])[doc]
-        cell = (np.repeat(local, n) - self.place[entry] + shift * (self.e[item] + 1)) // (self.e[item] + 1)
-        pairs, which = np.unique(np.repeat(doc, n) * len(self.items) + item, return_inverse=True)
-        keys, counts = np.unique(which << 32 | cell, return_counts=True)
+        # cells of an item in one text follow each other, those of different texts are apart; diagonals may be negative, by an item's length at most
+        under = int(self.m.max()) + 1
+        base = begins + (np.arange(len(ends)) + 1) * under
+        span = int(base[-1] + ends[-1] - begins[-1]) + under
+        narrow = np.int32 if len(glued) < 1 << 30 else np.int64
+        cell = np.repeat(base[doc], n)
+        cell += (np.repeat((where - begins[doc]).astype(narrow), n) - self.place[entry]) // self.width[entry]
+        some = np.flatnonzero(self._crowded(cell + self.mixed[entry], self.enough[entry]))
+        keys, counts = np.unique(self.item[entry[some]] * span + cell[some], return_counts=True)
         both = counts.copy()
         beside = np.flatnonzero(keys[1:] == keys[:-1] + 1)
         both[beside] += counts[beside + 1]
-        good = keys[both >= self.need[pairs[keys >> 32] % len(self.items)]]
+        good = keys[both >= self.need[keys // span]]
         out = []
-        for key in good.tolist():
-            (d, i), c = divmod(int(pairs[key >> 32]), len(self.items)), (key & ((1 << 32) - 1)) - shift
+        texts = np.searchsorted(base - under, good % span, side="right") - 1
+        for key, d in zip(good.tolist(), texts.tolist(), strict=True):
+            i, c = key // span, key % span - int(base[d])
             w = int(self.e[i]) + 1
             lo, hi = c * w - w, (c + 2) * w + w
             if out and out[-1][:2] == (d, i) and out[-1][3] >= lo + 2 * w and hi - out[-1][2] <= RUN * w:
@@ -211,14 +268,6 @@ class Index:
                 out.append((d, i, lo, hi))
         return out
 
-    def _verify(self, part, item: int, lo: int, hi: int, found) -> None:
-        item_id, codes = self.items[item]
-        text, at = part
-        match = align(codes, text, lo, hi, int(self.e[item]))
-        if match:
-            edits, start, end = match
-            found.append((item_id, int(at[start]), int(at[end - 1]) + 1, edits))
-
 
 def _text(codes: np.ndarray) -> str:
     return codes.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")

@@ -4,7 +4,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from ledgerloom.llm.decontaminate import PERCENT, Q, Index, align, budget, mark_leaks, normalised
+from ledgerloom.llm.decontaminate import PERCENT, Q, Index, align, align_all, budget, mark_leaks, normalised
 
 
 def edits_in(item, text):
@@ -143,3 +143,30 @@ def test_memory_of_a_long_item():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (edits, start, end) == (100, 0, 19_900) and most < 20 << 20
+
+
+def test_bands_are_aligned_together():
+    """Bands of different widths and items, many at once, give what each gives by itself, and what the full table says where the band is wide enough."""
+    rng = random.Random(5)
+    bands = []
+    for _ in range(300):
+        item = [ord(rng.choice("abc ")) for _ in range(rng.randint(1, 60))]
+        cut = rng.randint(0, len(item))
+        text = [ord(rng.choice("abc ")) for _ in range(rng.randint(0, 20))] + item[:cut] + item[cut + rng.randint(0, 4) :]
+        whole = rng.random() < 0.5
+        lo, hi = (-len(item), len(text) + 1) if whole else (lo := rng.randint(-20, 20), lo + rng.randint(4, 40))
+        bands.append((np.array(item, np.uint32), np.array(text, np.uint32), lo, hi, rng.choice((0, 3, 60))))
+    together = align_all(bands)
+    assert together == [align(*b) for b in bands] and None in together
+    for (item, text, lo, hi, most), got in zip(bands, together, strict=True):
+        if (lo, hi) == (-len(item), len(text) + 1):
+            least = edits_in(item.tolist(), text.tolist())
+            assert (got[0] if got else None) == (least if least <= most else None)
+
+
+def test_cells_that_hold_enough_are_kept():
+    rng = np.random.default_rng(2)
+    cells, need = rng.integers(-50, 5_000, 20_000), np.full(20_000, 12)
+    kept = Index._crowded(cells, need)
+    held = dict(zip(*np.unique(cells, return_counts=True), strict=True))
+    assert all(k or held[c] + max(held.get(c - 1, 0), held.get(c + 1, 0)) < 12 for c, k in zip(cells.tolist(), kept.tolist(), strict=True)) and not kept.all()
