@@ -99,13 +99,13 @@ def redeemers(log: DataFrame, extra: DataFrame | None = None) -> DataFrame:
 
 
 def _some(items: Column) -> Column:
-    """The array, null if it is empty."""
-    return F.when(F.size(items) > 0, items)
+    """The array, null if it is empty; made once, as a condition on it would make it again."""
+    return F.get(F.filter(F.array(items), lambda x: F.size(x) > 0), F.lit(0))
 
 
 def _set(items: Column, *columns: str) -> Column:
-    """Sorted distinct structs of some columns."""
-    return F.array_sort(F.array_distinct(F.transform(items, lambda x: F.struct(*(x[c].alias(c) for c in columns)))))
+    """Sorted distinct structs of some columns. No item is null, so sort_array, which compares natively, gives the order of array_sort."""
+    return F.sort_array(F.array_distinct(F.transform(items, lambda x: F.struct(*(x[c].alias(c) for c in columns)))))
 
 
 def _same(x: Column, key: Column, columns: tuple[str, ...]) -> Column:
@@ -145,7 +145,7 @@ def assemble(log: DataFrame, extra: DataFrame | None = None) -> DataFrame:
         held("mint", "seq", *asset, "qty", "witness"), held("withdraw", "seq", "account", "lovelace", "witness"), held("metadata", "seq", "label", "value"), held("sign", "signer"), held("attach", "script_hash"),
         *(F.max_by("slot", F.when(F.col("op") == b, F.col("seq"))).alias(b) for b in ("valid_from", "valid_to")), F.max((F.col("op") != "extra").cast("int")).alias("_known"),
     ).where("_known = 1")
-    pays = F.transform(F.array_sort("_pay"), lambda x, i: F.struct(i.cast("long").alias("ix"), *(x[c].alias(c) for c in ("address", "lovelace", "has_datum", *asset, "qty"))))
+    pays = F.transform(F.sort_array("_pay"), lambda x, i: F.struct(i.cast("long").alias("ix"), *(x[c].alias(c) for c in ("address", "lovelace", "has_datum", *asset, "qty"))))
     minted = F.filter("_mint", lambda x: x["qty"] != 0)
     held_rows = held_rows.withColumns({
         "inputs": _set(F.concat(F.transform("_spend", lambda x: F.struct(*(x[c].alias(c) for c in key))), F.col("_extra")), *key), "_minted": minted,
@@ -166,7 +166,7 @@ def assemble(log: DataFrame, extra: DataFrame | None = None) -> DataFrame:
         _some(F.transform("_last", lambda x: F.struct(x["account"].alias("account"), x["lovelace"].alias("amount")))).alias("withdrawals"),
         _some(F.transform("_notes", lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value")))).alias("metadata"),
         _some(_set(F.col("_sign"), "signer")).alias("signers"), _some(_set(F.col("_attach"), "script_hash")).alias("scripts"),
-        _some(F.array_sort(F.concat(spends, placed("_first", "mint"), placed("_last", "reward")))).alias("redeemers"), "valid_from", "valid_to",
+        _some(F.sort_array(F.concat(spends, placed("_first", "mint"), placed("_last", "reward")))).alias("redeemers"), "valid_from", "valid_to",
     )
     integrity = _row_digest(F.col("redeemers"), lambda x: [x["purpose"], x["ix"], x["data"], x["mem"], x["steps"], F.lit(LANGUAGE)])
     return out.withColumns({"integrity": integrity, "aux": _row_digest(F.col("metadata"), lambda x: [x["label"], x["value"]])})
@@ -181,7 +181,7 @@ def _text(values: Sequence[Column]) -> Column:
 
 
 def _joined(texts: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(texts), ";"), 256)
+    return F.sha2(F.array_join(F.sort_array(texts), ";"), 256)
 
 
 def _row_digest(items: Column, values: Callable[[Column], Sequence[Column]]) -> Column:
