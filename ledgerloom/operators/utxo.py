@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.pinned import pinned
 from ..functions.ranges import in_ranges, sum_before, with_earlier, within
 
 
@@ -94,7 +95,7 @@ def select_coins(utxo: DataFrame, targets: DataFrame) -> DataFrame:
     classes = sums.select("owner", "digits", "held", F.coalesce(F.sum("held").over(larger), F.lit(0)).alias("above"), F.sum("held").over(W.partitionBy("owner")).alias("total"))
     asked = targets.select("owner", "target").join(classes, "owner", "left").withColumn("shortfall", F.greatest(F.lit(0), F.col("target") - F.coalesce("total", F.lit(0))))
     needed = asked.where("above < target").select("owner", "digits", "target", "shortfall", "above", (F.col("above") + F.col("held") <= F.col("target")).alias("whole"))
-    coins = utxo.select("owner", "tx_id", "ix", "lovelace", digits).join(needed, ["owner", "digits"])
+    coins = pinned(utxo.select("owner", "tx_id", "ix", "lovelace", digits).join(needed, ["owner", "digits"]))  # read whole, and cut in ranges
     placed = in_ranges(coins.where("not whole").drop("whole", "digits").withColumn("_size", -F.col("lovelace")), ["owner"], ["_size", "tx_id", "ix"])
     cut = with_earlier(placed, ["owner"], F.sum("lovelace"), _larger=sum_before)
     order = within(["owner"]).orderBy("_size", "tx_id", "ix").rowsBetween(W.unboundedPreceding, -1)

@@ -31,12 +31,16 @@ def _lines(spark: SparkSession, sf_dir: str, lines: DataFrame | None) -> DataFra
     return order_lines(spark, sf_dir) if lines is None else lines
 
 
-def tx_output(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    sizes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("script_bytes"))
-    return _lines(spark, sf_dir, lines).join(sizes, "l_partkey", "left").select(
+def tx_output(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, sized: bool = True) -> DataFrame:
+    """Without sizes there are no script_bytes, and parts are joined only if a key of theirs repeats, as it repeats outputs."""
+    rows, part = _lines(spark, sf_dir, lines), table(spark, sf_dir, "part")
+    if sized or not part.where("p_partkey is not null").groupBy("p_partkey").count().where("count > 1").isEmpty():
+        sizes = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("script_bytes"))
+        rows = rows.join(sizes, "l_partkey", "left")
+    return rows.select(
         F.col("l_orderkey").alias("tx_id"), "ix", F.col("l_suppkey").alias("address"), cents(F.col("l_extendedprice")).alias("lovelace"),
         (F.col("l_partkey") % 25).alias("policy_id"), F.col("l_partkey").alias("asset_name"), F.col("l_quantity").cast("long").alias("qty"),
-        (F.col("l_linestatus") == "O").alias("has_datum"), "script_bytes",
+        (F.col("l_linestatus") == "O").alias("has_datum"), *(["script_bytes"] if sized else []),
     )
 
 
