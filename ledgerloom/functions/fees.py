@@ -22,6 +22,11 @@ def _whole(x: int | Column, digits: int) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast(f"decimal({digits},0)")
 
 
+def _unless(nothing: Column, fee: Column) -> Column:
+    """The fee; where there is nothing to pay for, 0 without decimals, which take most of the time of a fee."""
+    return F.when(nothing, F.lit(0).cast("long")).otherwise(fee)
+
+
 def execution_fee(mem: Column, steps: Column, params: Params = DEFAULT) -> Column:
     """Units times rational prices over a common denominator, exact, their sum rounded up once."""
     (mem_up, mem_down), (steps_up, steps_down) = params.price_mem, params.price_steps
@@ -31,7 +36,8 @@ def execution_fee(mem: Column, steps: Column, params: Params = DEFAULT) -> Colum
         return F.call_function("div", total, whole)
     whole = math.lcm(mem_down, steps_down)
     up = (_whole(mem_up * (whole // mem_down), 17), _whole(steps_up * (whole // steps_down), 17))
-    return F.call_function("div", _whole(mem, 19) * up[0] + _whole(steps, 19) * up[1] + _whole(whole - 1, 19), _whole(whole, 19))
+    fee = F.call_function("div", _whole(mem, 19) * up[0] + _whole(steps, 19) * up[1] + _whole(whole - 1, 19), _whole(whole, 19))
+    return _unless((mem == 0) & (steps == 0), fee)
 
 
 #: Whole tiers of reference-script bytes whose price is exact in 38 digits; the ledger allows eight.
@@ -56,7 +62,7 @@ def ref_script_fee(size: Column, params: Params = DEFAULT) -> Column:
     # n whole tiers cost tier * (g^n - 1) / (g - 1), what is left g^n a byte, times the price; over one denominator
     whole, rest, under = of_tiers(lambda i: tier * down * (up**i - down**i)), of_tiers(lambda i: (up - down) * up**i), of_tiers(lambda i: (up - down) * down**i)
     left = (size.cast("long") % tier).cast("decimal(5,0)")
-    return F.call_function("div", _whole(params.ref_script_per_byte, 5) * (whole + left * rest), under)
+    return _unless(size == 0, F.call_function("div", _whole(params.ref_script_per_byte, 5) * (whole + left * rest), under))
 
 
 def min_fee(size: Column, mem: Column, steps: Column, ref_bytes: Column, params: Params = DEFAULT) -> Column:
