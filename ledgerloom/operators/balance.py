@@ -35,13 +35,8 @@ def change_assets(inputs: DataFrame, mint: DataFrame, outputs: DataFrame) -> Dat
     return _signed_assets(inputs, mint, outputs).where("qty > 0")
 
 
-def balance(tx: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Adds fee, change, change_ix and error to tx_id, base_size, total_in, total_out, n_outputs, mem, steps, ref_bytes.
-
-    The size depends on the fee only by the lengths of the fee and of the change, which counts
-    as 0 while it is negative. change is what is left, also when it is negative and the error
-    is InsufficientFee; FeeNotConverged leaves fee and change null.
-    """
+def balancing(params: Params = DEFAULT) -> Callable[[DataFrame], DataFrame]:
+    """balance for the tables of many rounds, whose expressions are made once."""
     left = F.col("total_in") - F.col("total_out")
 
     def estimate(fee: Column) -> Column:
@@ -49,10 +44,21 @@ def balance(tx: DataFrame, params: Params = DEFAULT) -> DataFrame:
         return size_fee(size, F.col("_other"), params)
 
     other = execution_fee(F.col("mem"), F.col("steps"), params) + ref_script_fee(F.col("ref_bytes"), params)
-    out = tx.withColumn("_other", other).withColumn("_search", fixed_point(estimate))
+    search = fixed_point(estimate)
     fee = F.when(F.col("_search.converged"), F.col("_search.fee"))
     error = F.when(~F.col("_search.converged"), "FeeNotConverged").when(left - fee < 0, "InsufficientFee")
-    return out.select(*tx.columns, fee.alias("fee"), (left - fee).alias("change"), F.col("n_outputs").cast("long").alias("change_ix"), error.alias("error"))
+    added = [fee.alias("fee"), (left - fee).alias("change"), F.col("n_outputs").cast("long").alias("change_ix"), error.alias("error")]
+    return lambda tx: tx.withColumn("_other", other).withColumn("_search", search).select(*tx.columns, *added)
+
+
+def balance(tx: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Adds fee, change, change_ix and error to tx_id, base_size, total_in, total_out, n_outputs, mem, steps, ref_bytes.
+
+    The size depends on the fee only by the lengths of the fee and of the change, which counts
+    as 0 while it is negative. change is what is left, also when it is negative and the error
+    is InsufficientFee; FeeNotConverged leaves fee and change null.
+    """
+    return balancing(params)(tx)
 
 
 def balance_inputs(tx: DataFrame, spent: DataFrame, outputs: DataFrame, units: DataFrame | None = None, ref: DataFrame | None = None) -> DataFrame:

@@ -47,6 +47,9 @@ def evaluate_scripts(requests: DataFrame, columns: Sequence[str], call: Callable
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_, kinds, strict=True)], names=["digest", "ok", "mem", "steps", "error"])
 
     answers = pinned(fresh.mapInArrow(run, ANSWERS))
-    every = answers if known is None else known.unionByName(answers)
+    if known is None:
+        every = answers
+    else:  # rounds that ask nothing new add no table to read
+        every = known if answers.isEmpty() else known.unionByName(answers)
     # the answers, few against what is asked, are the side that a task holds; what is asked streams by
     return asked.join(every.hint("shuffle_hash"), "digest").drop("digest"), every
