@@ -84,8 +84,8 @@ def fixed_point(estimate: Callable[[Column], Column]) -> Column:
     start = F.struct(zero.alias("fee"), estimate(zero).cast("long").alias("next"))
 
     def step(acc: Column, _: Column) -> Column:
-        stop = acc["next"] <= acc["fee"]
-        return F.struct(F.when(stop, acc["fee"]).otherwise(acc["next"]).alias("fee"), F.when(stop, acc["next"]).otherwise(estimate(acc["next"])).cast("long").alias("next"))
+        more = F.struct(acc["next"].alias("fee"), estimate(acc["next"]).cast("long").alias("next"))
+        return F.when(acc["next"] <= acc["fee"], acc).otherwise(more)  # what has stopped is passed on as it is
 
     def found(acc: Column) -> Column:
         stop = acc["next"] <= acc["fee"]

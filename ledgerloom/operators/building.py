@@ -72,13 +72,16 @@ def _evaluating(program: Program) -> Callable[[DataFrame, DataFrame], DataFrame]
     keys = ["tx_id", "prev_fee"]
     result = F.struct(_rank(F.col("purpose")).alias("rank"), "purpose", F.col("ix").cast("long").alias("ix"), "ok", "mem", "steps", "error")
 
-    def units(r: Column) -> Column:
+    def answered(r: Column) -> Column:
         answer = F.get(F.filter("results", lambda x: x["ok"] & (x["purpose"] == r["purpose"]) & (x["ix"] == r["ix"])), 0)
-        parts = [F.coalesce(program.margin(answer[c]), F.lit(0)).cast("long").alias(c) for c in ("mem", "steps")]
-        return F.struct(r["rank"].alias("rank"), r["purpose"].alias("purpose"), r["ix"].alias("ix"), *parts)
+        return F.struct(r.alias("of"), answer.alias("answer"))
+
+    def units(a: Column) -> Column:
+        parts = [F.coalesce(program.margin(a["answer"][c]), F.lit(0)).cast("long").alias(c) for c in ("mem", "steps")]
+        return F.struct(*(a["of"][c].alias(c) for c in ("rank", "purpose", "ix")), *parts)
 
     failures = F.transform(F.filter("results", lambda x: ~x["ok"]), lambda x: F.struct(x["rank"].alias("rank"), x["purpose"].alias("purpose"), x["ix"].alias("ix"), x["error"].alias("error")))
-    gathered, made = F.collect_list(result).alias("results"), {"failure": F.array_min(failures), "found": F.transform("units", units).cast(UNITS)}
+    gathered, made = F.collect_list(result).alias("results"), {"failure": F.array_min(failures), "found": F.transform(F.transform("units", answered), units).cast(UNITS)}
 
     def evaluated(drafts: DataFrame, asked: DataFrame) -> DataFrame:
         return drafts.join(program.evaluate(asked).groupBy(*keys).agg(gathered), keys, "left").withColumns(made).drop("results")
@@ -115,8 +118,12 @@ def _round(program: Program, params: Params) -> Callable[[DataFrame], DataFrame]
     failed = F.col("failure").isNotNull()
     used, totals = F.when(halves | failed, units).otherwise(F.col("found")), {c: F.when(trial, zero).otherwise(_total(units, c)) for c in ("mem", "steps")}
     held = {"fee": F.when(halves, prev_fee).otherwise(fee), "change": F.when(halves, change - (prev_fee - fee)).otherwise(change)}
-    again = ~halves & failed & (F.col("retries") == 0) & (prev_fee == 0)
-    same, top = fee == prev_fee, F.greatest("max_fee", "fee")
+    # columns of their own, as code that repeats them at each mention gets too long to be compiled
+    facts = {
+        "_again": ~halves & failed & (F.col("retries") == 0) & (prev_fee == 0), "_same": fee == prev_fee, "_top": F.greatest("max_fee", "fee"),
+        "_seen": F.array_contains("seen", fee), "_passed": trial & F.col("error").isNull() & ~failed,
+    }
+    again, same, top, seen, passed = map(F.col, facts)
     ended = same & (top == fee) & (F.col("peeked") | (fee == 0))
     stuck = same & (top == fee) & change.eqNullSafe(prev_change)
     checked = F.when(_broken(program.checks), "ChecksFailed").otherwise("ok")
@@ -126,8 +133,7 @@ def _round(program: Program, params: Params) -> Callable[[DataFrame], DataFrame]
         .when(failed, F.when(same, "ok")).when(ended, checked).when(stuck, "NotConverged")
     )
     estimate = min_fee(F.col("base_size") + cbor_length(prev_fee), zero, zero, F.col("ref_bytes"), params)
-    raised, seen = ~halves & ~failed & same & (top > fee), F.array_contains("seen", fee)
-    swings, passed = ~failed & ~same & seen, trial & F.col("error").isNull() & ~failed
+    raised, swings = ~halves & ~failed & same & (top > fee), ~failed & ~same & seen
     then = {
         "outcome": outcome,
         "prev_fee": F.when(again, estimate).when(raised, top).otherwise(fee),
@@ -145,7 +151,7 @@ def _round(program: Program, params: Params) -> Callable[[DataFrame], DataFrame]
 
     def go(state: DataFrame) -> DataFrame:
         drafts = program.interpret(state.withColumns(is_last).withColumns(under))
-        return balanced(evaluated(drafts, drafts.where(~last)).withColumn("units", used).withColumns(totals)).withColumns(held).withColumns(then)
+        return balanced(evaluated(drafts, drafts.where(~last)).withColumn("units", used).withColumns(totals)).withColumns(held).withColumns(facts).withColumns(then)
 
     return go
 

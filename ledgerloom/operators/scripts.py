@@ -12,6 +12,8 @@ from ..functions.pinned import pinned
 
 #: What user code gives for a request, in a table keyed by the request's digest.
 ANSWERS = "digest string, ok boolean, mem long, steps long, error string"
+#: Answers, of some 150 bytes each, up to which they are broadcast.
+BROADCAST_ROWS = 50_000
 
 
 def request_digest(columns: Sequence[str]) -> Column:
@@ -51,5 +53,6 @@ def evaluate_scripts(requests: DataFrame, columns: Sequence[str], call: Callable
         every = answers
     else:  # rounds that ask nothing new add no table to read
         every = known if answers.isEmpty() else known.unionByName(answers)
-    # the answers, few against what is asked, are the side that a task holds; what is asked streams by
-    return asked.join(every.hint("shuffle_hash"), "digest").drop("digest"), every
+    # the answers, few against what is asked, are the side that a task holds; what is asked streams by, and is not shuffled if they are few
+    few = every.count() <= BROADCAST_ROWS
+    return asked.join(every.hint("broadcast" if few else "shuffle_hash"), "digest").drop("digest"), every
